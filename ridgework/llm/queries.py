@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filter
+from . import bpe, exact_dedup, token_files, url_filter
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op9_token_files": token_files.op9_token_files,
 }
 
 ORACLES = {

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -237,7 +238,7 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterat
         c = b.column(column)
         if not b.num_rows:
             continue
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(c), 0).to_numpy(zero_copy_only=False), "int64")
+        size = np.asarray(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False), "int64")
         group = np.cumsum(size) // most
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
         for i, j in zip(cuts, cuts[1:], strict=False):

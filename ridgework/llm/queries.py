@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, token_files, url_filter
+from . import bpe, exact_dedup, mixing, token_files, url_filter
 
 QUERIES = {
+    "op1_pfair_mix": mixing.op1_pfair_mix,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_pfair_mix": mixing.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
 }

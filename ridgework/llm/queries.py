@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, token_files, url_filter
+from . import bpe, exact_dedup, mixing, quality, token_files, url_filter
 
 QUERIES = {
     "op1_pfair_mix": mixing.op1_pfair_mix,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_quality": quality.op8_quality,
     "op9_token_files": token_files.op9_token_files,
 }
 

@@ -9,8 +9,10 @@ recomputes the entries after it.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .segments import SegmentCache
+from .segments import Generations, SegmentCache
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -37,9 +39,10 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
+        self.size = {r: len(t) for t, r in ranks.items()}
         self.merge: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
-        self.longest = [1] * 256  # by last byte
+        self.longest = max(map(len, ranks))
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 continue
@@ -47,8 +50,11 @@ class Vocabulary:
             if len(parts) == 2:  # else no merge ever forms it
                 self.merge[parts[0], parts[1]] = rank
                 self.halves[rank] = (parts[0], parts[1])
-                self.longest[token[-1]] = max(self.longest[token[-1]], len(token))
-        self.usable = {t: r for t, r in ranks.items() if len(t) == 1 or r in self.halves}
+        self.tokens = ahocorasick.Automaton(ahocorasick.STORE_INTS)  # a string of code points below 256 stands for bytes
+        for token, rank in ranks.items():
+            if len(token) == 1 or rank in self.halves:
+                self.tokens.add_word(token.decode("latin-1"), rank)
+        self.tokens.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
 
     def _parts(self, token: bytes, below: int) -> list[int]:
@@ -99,18 +105,27 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         """Extend the piece; entries so far stay as they are."""
-        usable, longest, fits, last = self.v.usable, self.v.longest, self.v.fits, self.last
+        known, fits, size, last = self.v.compatible.get, self.v.fits, self.v.size, self.last
         at = len(self.piece)
         self.piece += more
-        piece = bytes(self.piece)
-        for end in range(at + 1, len(piece) + 1):
-            for start in range(max(0, end - longest[piece[end - 1]]), end):
-                token = usable.get(piece[start:end])
-                if token is not None and (start == 0 or fits(last[start - 1], token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks single bytes")
+        skip = max(0, at + 1 - self.v.longest)  # tokens that end after `at` start after it
+        done = at
+        for end, token in self.v.tokens.iter(self.piece[skip:].decode("latin-1")):
+            end += skip
+            if end < done:
+                continue  # one of the tokens that end here has been found already, or is older
+            start = end + 1 - size[token]
+            if start:
+                left = last[start - 1]
+                fit = known((left, token))
+                if fit is None:
+                    fit = fits(left, token)
+                if not fit:
+                    continue
+            last.append(token)
+            done += 1
+        if done < len(self.piece):
+            raise ValueError("the vocabulary lacks single bytes")
 
     def cut(self, n: int) -> None:
         """Keep the first n bytes only."""
@@ -126,11 +141,13 @@ class PrefixTable:
         """The encoding, read backwards through the table."""
         if (whole := self.v.ranks.get(bytes(self.piece))) is not None:
             return [whole]
-        out, end = [], len(self.piece)
+        out, end, last, size = [], len(self.piece), self.last, self.v.size
         while end:
-            out.append(self.last[end - 1])
-            end -= len(self.v.bytes_of[out[-1]])
-        return out[::-1]
+            token = last[end - 1]
+            out.append(token)
+            end -= size[token]
+        out.reverse()
+        return out
 
 
 class Encoder:
@@ -141,20 +158,23 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN):
         self.v, self.pattern = vocabulary, regex.compile(pattern)
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Generations(200_000)
         self.cache = SegmentCache(self._segment)
 
+    def _piece(self, piece: bytes) -> list[int]:
+        """A new piece's encoding; a piece that is a token itself stands for that token."""
+        if (whole := self.v.ranks.get(piece)) is not None:
+            return [whole]
+        return PrefixTable(self.v, piece).ids()
+
     def _segment(self, text: str) -> bytes:
         out, pieces = [], self.pieces
-        for m in self.pattern.finditer(text):
-            piece = m.group()
-            code = pieces.get(piece)
-            if code is None:
-                code = np.array(PrefixTable(self.v, piece.encode()).ids(), "<i4").tobytes()
-                if len(pieces) >= 300_000:
-                    pieces.clear()
+        for piece in self.pattern.findall(text):
+            code = pieces.young.get(piece)
+            if code is None and (code := pieces.find(piece)) is None:
+                code = array("i", self._piece(piece.encode())).tobytes()
                 if len(piece) < 200:
-                    pieces[piece] = code
+                    pieces.put(piece, code)
             out.append(code)
         return b"".join(out)
 
@@ -277,7 +297,9 @@ def decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", bytes
         enc = encoder(path)
         for b in batches:
             for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
-                out = [enc.decode(x) if x else b"" for x in part.column(ids_col).to_pylist()]
+                c = part.column(ids_col).fill_null([])
+                ends, flat = np.cumsum([0, *pc.list_value_length(c).to_pylist()]), c.flatten().to_numpy(zero_copy_only=False)
+                out = [enc.decode(flat[i:j].tolist()) for i, j in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=names)
 
     return docs.mapInArrow(run, schema)

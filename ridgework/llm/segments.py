@@ -23,21 +23,41 @@ def merged(parts: list[str]) -> list[str]:
     return out
 
 
+class Generations:
+    """A bounded cache of two generations: what is used while the young one fills up outlives the old one."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def find(self, key):
+        if (value := self.young.get(key)) is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.limit:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class SegmentCache(dict):
     """Encoded bytes by word (the part after a lone space); None where the word can't stand alone.
 
-    encode turns a segment into the bytes of its ids. The cache is emptied at limit entries, so its
-    memory is bounded; results never depend on it.
+    encode turns a segment into the bytes of its ids. The cache is the young one of two bounded
+    generations, so its memory is bounded; results never depend on it.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 300_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 150_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, word: str) -> bytes | None:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        code = None if not word or word[0].isspace() or word[-1].isspace() else self.encode(" " + word)
+        code = self.old.get(word)
+        if code is None:
+            code = None if not word or word[0].isspace() or word[-1].isspace() else self.encode(" " + word)
         if len(word) < 200:
             self[word] = code
         return code

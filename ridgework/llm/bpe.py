@@ -158,7 +158,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN):
         self.v, self.pattern = vocabulary, regex.compile(pattern)
-        self.pieces = Generations(200_000)
+        self.pieces = Generations(150_000)
         self.cache = SegmentCache(self._segment)
 
     def _piece(self, piece: bytes) -> list[int]:

@@ -47,19 +47,22 @@ class SegmentCache(dict):
     generations, so its memory is bounded; results never depend on it.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 150_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 120_000):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 
-    def __missing__(self, word: str) -> bytes | None:
+    def keep(self, word: str, code: bytes | None) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
+        self[word] = code
+
+    def __missing__(self, word: str) -> bytes | None:
         code = self.old.get(word)
         if code is None:
             code = None if not word or word[0].isspace() or word[-1].isspace() else self.encode(" " + word)
         if len(word) < 200:
-            self[word] = code
+            self.keep(word, code)
         return code
 
     def text(self, text: str) -> bytes:

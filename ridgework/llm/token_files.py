@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bpe import _slices
 from .common import materialize, partitions, read, table_path
-from .segments import SegmentCache
+from .segments import merged
 
 TOKENIZER, END_ID, BLOCK = "byte_bpe_50k.json", 2, 512
 #: Ids of one segment at most, unless one document has more.
@@ -106,33 +106,89 @@ class Segment:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-_CODERS: dict[str, SegmentCache] = {}
+class Coder:
+    """A library tokenizer that encodes the new words of a batch of texts in one call.
 
+    known has the ids of " " + word, as bytes, or None where white space at the word's border keeps it
+    from standing alone. It and the generation before it hold LIMIT words each at most.
+    """
 
-def coder(path: str) -> SegmentCache:
-    """One library tokenizer with its segment cache per worker process and file."""
-    if path not in _CODERS:
+    #: A white-space run that is one token and stands between words in that call.
+    GAP = "\n\n"
+    LIMIT = 300_000
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _CODERS[path] = SegmentCache(lambda s: np.array(t.encode(s, add_special_tokens=False).ids, "<u4").tobytes())
+        self.t = Tokenizer.from_file(path)
+        self.t.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.gap = np.frombuffer(self.one(self.GAP), "<u4")
+        self.known: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Make words known."""
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > self.LIMIT:
+            self.known, self.old = {}, self.known
+            new = words
+        again = new & self.old.keys()
+        self.known.update({w: self.old[w] for w in again})
+        new -= again
+        names = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        self.known.update(dict.fromkeys(new.difference(names)))
+        if not names:
+            return
+        raw = self.one(" " + (self.GAP + " ").join(names))
+        gaps = np.flatnonzero(np.frombuffer(raw, "<u4") == self.gap[0])
+        if len(self.gap) == 1 and len(gaps) == len(names) - 1:
+            starts, ends = [0, *(4 * gaps + 4).tolist()], [*(4 * gaps).tolist(), len(raw)]
+            self.known.update(zip(names, [raw[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
+        else:  # a word holds the gap itself
+            self.known.update({w: self.one(" " + w) for w in names})
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, as bytes."""
+        split = [t.split(" ") for t in texts]
+        self.learn(set().union(*(p[1:] for p in split)))
+        out = []
+        for parts in split:
+            codes = list(map(self.known.__getitem__, parts[1:]))
+            if None in codes or len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
+                out.append(b"".join(map(self.one, merged(parts))))
+            else:
+                out.append((self.one(parts[0]) if parts[0] else b"") + b"".join(codes))
+        return out
+
+
+_CODERS: dict[str, Coder] = {}
+
+
+def coder(path: str) -> Coder:
+    """One coder per worker process and file."""
+    if path not in _CODERS:
+        _CODERS[path] = Coder(path)
     return _CODERS[path]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, ids) with ids as the bytes of unsigned 16-bit or, where one needs it, 32-bit integers after a width byte."""
+def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, cuts: list[int]) -> DataFrame:
+    """(key_range, doc_id, ids) with ids as the bytes of unsigned 16-bit or, where one needs it, 32-bit integers after a width byte."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        c, end = coder(path), np.array([end_id], "<u4").tobytes()
-        for b in _slices(batches, "text", 4 << 20):
+        c, end, bounds = coder(path), np.array([end_id], "<u4").tobytes(), np.array(cuts, "i8")
+        for b in _slices(batches, "text", 2 << 20):
             out = []
-            for t in b.column("text").fill_null("").to_pylist():
-                ids = np.frombuffer(c.text(t) + end, "<u4")
+            for code in c.texts(b.column("text").fill_null("").to_pylist()):
+                ids = np.frombuffer(code + end, "<u4")
                 out.append(b"\2" + ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\4" + ids.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            doc = b.column("doc_id")
+            at = np.searchsorted(bounds, doc.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), doc, pa.array(out, pa.binary())], names=["key_range", "doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "key_range int, doc_id long, ids binary")
 
 
 def ids_of(code: bytes) -> np.ndarray:
@@ -142,8 +198,8 @@ def ids_of(code: bytes) -> np.ndarray:
 def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> None:
     """Write the ids of all documents as segments in ascending id order.
 
-    out gets a table whose rows are (key_range, segment, n_ids, payload), where payload is a segment as
-    described above; null texts are empty and null ids come first. Ranges of ids, cut at quantiles so
+    out gets a table whose rows are (key_range, segment, before, n_ids, payload): payload is a segment as
+    described above, before the ids of its range that precede it; null texts are empty and null ids come first. Ranges of ids, cut at quantiles so
     that each is about one shuffle partition, make the order: texts are encoded where they are read and
     only ids are shuffled. A heavily repeated id makes its range larger; a range is written segment by
     segment, so memory does not follow it.
@@ -154,22 +210,15 @@ def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int =
     cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / n for i in range(1, n)] or [0.5], 100_000).alias("q")).first().q
     cuts = sorted(set(cuts or []))
 
-    def ranged(batches: Iterator[pa.RecordBatch]):
-        bounds = np.array(cuts, "i8")
-        for b in batches:
-            ids = b.column("doc_id")
-            at = np.searchsorted(bounds, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), *b.columns], names=["key_range", *b.schema.names])
-
     def segments(batches: Iterator[pa.RecordBatch]):
-        key, number, docs_, codes, held = None, 0, [], [], 0
+        key, number, before, docs_, codes, held = None, 0, 0, [], [], 0
 
         def flush():
-            nonlocal number, docs_, codes, held
+            nonlocal number, before, docs_, codes, held
             parts = [ids_of(x) for x in codes]
             starts = np.cumsum([0, *map(len, parts)])
-            row = pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([number], pa.int64()), pa.array([held], pa.int64()), pa.array([pack(np.array(docs_, "i8"), starts, np.concatenate(parts))], pa.binary())], names=["key_range", "segment", "n_ids", "payload"])
-            number, docs_, codes, held = number + 1, [], [], 0
+            row = pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([pack(np.array(docs_, "i8"), starts, np.concatenate(parts))], pa.binary())], names=["key_range", "segment", "before", "n_ids", "payload"])
+            number, before, docs_, codes, held = number + 1, before + held, [], [], 0
             return row
 
         for b in batches:
@@ -178,31 +227,27 @@ def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int =
                 if codes and (k != key or held + m > SEGMENT_IDS):
                     yield flush()
                 if k != key:
-                    key, number = k, 0
+                    key, number, before = k, 0, 0
                 docs_.append(-(2**63) if d is None else d)
                 codes.append(code)
                 held += m
         if codes:
             yield flush()
 
-    rows = encoded(docs, path, end_id, id_col, text_col).mapInArrow(ranged, "key_range int, doc_id long, ids binary")
-    dealt = rows.repartition(max(1, min(n, partitions(spark))), "key_range").sortWithinPartitions("key_range", "doc_id")
-    dealt.mapInArrow(segments, "key_range int, segment long, n_ids long, payload binary").write.option("compression", "none").parquet(out)
+    dealt = encoded(docs, path, end_id, id_col, text_col, cuts).repartition(max(1, min(n, partitions(spark))), "key_range").sortWithinPartitions("key_range", "doc_id")
+    dealt.mapInArrow(segments, "key_range int, segment long, before long, n_ids long, payload binary").write.option("compression", "none").parquet(out)
 
 
 def offsets(files: DataFrame) -> DataFrame:
-    """(key_range, segment, base): ids before each segment, from the sizes stored beside the segments."""
-    sizes = files.select("key_range", "segment", "n_ids")
-    per = sizes.groupBy("key_range").agg(F.sum("n_ids").alias("n"))
-    before = per.select("key_range", (F.sum("n").over(Window.orderBy("key_range")) - F.col("n")).alias("start"))  # at most MOST_RANGES rows
-    within = F.sum("n_ids").over(Window.partitionBy("key_range").orderBy("segment")) - F.col("n_ids")
-    return sizes.withColumn("within", within).join(F.broadcast(before), "key_range").select("key_range", "segment", (F.col("start") + F.col("within")).alias("base"))
+    """(key_range, start): ids before each range, from the sizes stored beside the segments; MOST_RANGES rows at most."""
+    per = files.groupBy("key_range").agg(F.sum("n_ids").alias("n"))
+    return per.select("key_range", (F.sum("n").over(Window.orderBy("key_range")) - F.col("n")).alias("start"))
 
 
 def documents_of(spark: SparkSession, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
     files = spark.read.parquet(out)
-    rows = files.select("key_range", "segment", "payload").join(offsets(files), ["key_range", "segment"])
+    rows = files.join(F.broadcast(offsets(files)), "key_range").select("payload", (F.col("start") + F.col("before")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -212,7 +257,7 @@ def documents_of(spark: SparkSession, out: str) -> DataFrame:
                 ids = pa.array(s.doc_ids, mask=s.doc_ids == -(2**63))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(base + s.starts[:-1]), pa.array(np.diff(s.starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("payload", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,8 +126,7 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text") -> Dat
     pairs = materialize(pairs.join(of_entity, "entity"), "pii-pairs")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
     of_term = words.groupBy("term").agg(F.count("*").alias("df_t"))
-    wanted = pairs.select("term").distinct()
-    both = pairs.join(of_term.join(wanted, "term", "left_semi"), "term")
+    both = pairs.join(of_term, "term")  # inner, since a semi-join would go below the counts and shuffle every word
     ic = F.log(F.lit(float(n)) / F.col("df_e"))
     # a word may stand in a context more freely cut than in the text, so its frequency is that of the pair at least
     pmi = F.log(F.lit(float(n)) * F.col("df_et") / (F.col("df_e") * F.greatest("df_t", "df_et")))

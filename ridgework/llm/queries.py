@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, pii, quality, token_files, url_filter
+from . import bpe, exact_dedup, mixing, near_dedup, pii, quality, token_files, url_filter
 
 QUERIES = {
     "op1_pfair_mix": mixing.op1_pfair_mix,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_pii": pii.op5_pii,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_quality": quality.op8_quality,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dedup, pii, quality, token_files, url_filter
+from . import bpe, embedding_dedup, exact_dedup, mixing, near_dedup, pii, quality, token_files, url_filter
 
 QUERIES = {
     "op1_pfair_mix": mixing.op1_pfair_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_pii": pii.op5_pii,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_quality": quality.op8_quality,
     "op9_token_files": token_files.op9_token_files,

@@ -17,6 +17,8 @@ from .common import materialize, partitions, read
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "|", "!", "?", "*#$%&@", "<>{}[]()", "'\"`", ":;", "=+~^_/\\-"]
 NAMES = ["log_bytes", "log_words", "word_mean", "word_sd", "distinct_words", "top_word", "log_lines", "line_mean", "distinct_lines", "long_words", "symbol_ends", "capital_words", *(f"class_{i}" for i in range(len(CLASSES) + 1))]
 FEATURES, GAMMA, RIDGE, SEED, BINS = 384, 0.04, 1e-3, 20240, 1024
+#: Score below which the filter rejects a document: label 0 is likelier.
+REJECT = 0.5
 #: The split of the labels: a remainder of crc32(id as text) by 4.
 HELD_OUT, CALIBRATE = 2, 3
 
@@ -180,6 +182,24 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return stats.mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = REJECT) -> DataFrame:
+    """The rows of docs whose score is `least` or more, with docs' own columns.
+
+    Fits like scored(); then each text's statistics are taken again where the row is read, so that no
+    text is shuffled. Nulls, repeats and empty tables as there.
+    """
+    model = fit(materialize(describe(docs, id_col, text_col), "quality-stats"), labels, label_col)
+    names, schema = docs.columns, docs.schema
+
+    def run(batches):
+        table = _class_table()
+        for b in _slices(batches, text_col, 8 << 20):
+            stats = np.array([statistics(t, table) for t in b.column(text_col).fill_null("").to_pylist()])
+            yield pa.RecordBatch.from_arrays(b.columns, names=names).filter(pa.array(model.score(stats) >= least))
+
+    return docs.mapInArrow(run, schema)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: a score for every document, learned from rows that are not held out."""
     s = scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

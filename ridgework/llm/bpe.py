@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 from .segments import Generations, SegmentCache
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -271,6 +271,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids
 
     A map without a shuffle: rows and their other columns stay where they are, whatever their names.
     """
+    small_batches(docs.sparkSession)
     path = path or public_tokenizers.path(RANKS)
     if ids_col != text_col and ids_col in docs.columns:
         raise ValueError(f"the table has a column {ids_col} already; name another by ids_col")

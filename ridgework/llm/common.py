@@ -59,6 +59,17 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Bytes of an Arrow batch at most, so that a worker's memory doesn't follow the length of texts.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Have this session send Python batches of BATCH_BYTES at most."""
+    if int(spark.conf.get(BATCH_KEY).rstrip("b") or 0) > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return spark
+
+
 def text_or_empty(c: str | Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

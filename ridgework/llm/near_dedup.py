@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _slices
-from .common import components, materialize, partitions, read, text_or_empty
+from .common import components, materialize, partitions, read, small_batches, text_or_empty
 
 WORDS, THRESHOLD = 5, 0.8
 SLOTS = 1 << 20
@@ -30,14 +30,14 @@ LEAST_EQUAL = 10
 #: Members of a bucket up to which they are compared with one another at once; a larger one goes by pivot, then blocks.
 SMALL = 48
 BLOCK = 512
-_DRAWS = 1 << 16
+_DRAWS = 1 << 15
 
 
 class Words(dict):
     """64-bit hashes of words, in a bounded cache."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -71,21 +71,31 @@ class Sampler:
 
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
+        self.shift = np.uint64(64 - _DRAWS.bit_length() + 1)
         self.odd = rng.integers(1, 1 << 62, SAMPLES, dtype="u8") * np.uint64(2) + np.uint64(1)
         self.r = rng.gamma(2, 1, (SAMPLES, _DRAWS)).astype("f4")
         self.ln_c = np.log(rng.gamma(2, 1, (SAMPLES, _DRAWS))).astype("f4")
         self.b = rng.uniform(0, 1, (SAMPLES, _DRAWS)).astype("f4")
 
-    def samples(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """SAMPLES 32-bit samples; two texts agree on each with the probability of their weighted Jaccard similarity."""
+    def samples(self, h: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """SAMPLES 32-bit samples per text; two texts agree on each with the probability of their weighted Jaccard similarity.
+
+        h and weight hold the shingles of many texts, one after the other; text i begins at starts[i].
+        """
         ln_w = np.log(weight).astype("f4")
-        out = np.empty(SAMPLES, "u4")
+        out = np.empty((len(starts), SAMPLES), "<u4")
+        size = np.diff(np.append(starts, len(h)))
+        text = np.repeat(np.arange(len(starts)), size)
         for k in range(SAMPLES):
-            at = ((h * self.odd[k]) >> np.uint64(48)).astype("i8")
-            r, b = self.r[k][at], self.b[k][at]
+            at = ((h * self.odd[k]) >> self.shift).astype("i8")
+            r, b = self.r[k].take(at), self.b[k].take(at)
             t = np.floor(ln_w / r + b)
-            i = int(np.argmin(self.ln_c[k][at] - r * (t - b) - r))
-            out[k] = (int(h[i]) * 0x9E3779B97F4A7C15 + (int(t[i]) + 1000003) * 0xC2B2AE3D27D4EB4F >> 24) & 0xFFFFFFFF
+            ln_a = self.ln_c[k].take(at) - r * (t - b + np.float32(1))
+            low = np.minimum.reduceat(ln_a, starts)
+            hit = np.flatnonzero(ln_a == low.repeat(size))
+            first = hit[np.searchsorted(text[hit], np.arange(len(starts)))]  # of ties the smallest hash
+            mixed = h[first] * np.uint64(0x9E3779B97F4A7C15) + (t[first].astype("i8") + 1000003).astype("u8") * np.uint64(0xC2B2AE3D27D4EB4F)
+            out[:, k] = mixed >> np.uint64(32)
         return out
 
 
@@ -109,7 +119,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for t in b.column("text").fill_null("").to_pylist():
                 s = slot(shingles(t)[0])  # sorted, so equal slots are neighbours
                 if len(s):
-                    np.add.at(df, s[np.concatenate([[True], s[1:] != s[:-1]])], 1)
+                    df[s[np.concatenate([[True], s[1:] != s[:-1]])]] += 1
         if df.any():
             small = df.astype("<i4") if df.max() < 1 << 31 else df
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array([small[i * chunk : (i + 1) * chunk].tobytes() for i in range(256)], pa.binary())], names=names)
@@ -159,12 +169,17 @@ def signatures(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str =
         import hashlib
 
         s, w = sampler(), weights.value
-        for b in _slices(batches, "text", 8 << 20):
-            sigs, digests = [], []
-            for t in b.column("text").fill_null("").to_pylist():
-                h, c = shingles(t)
-                sigs.append(s.samples(h, c * w[slot(h)]).astype("<u4").tobytes() if len(h) else None)
-                digests.append(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest())
+        for b in _slices(batches, "text", 1 << 20):
+            texts = b.column("text").fill_null("").to_pylist()
+            sets = [shingles(t) for t in texts]
+            some = [i for i, x in enumerate(sets) if len(x[0])]
+            sigs = [None] * len(texts)
+            if some:
+                h, c = (np.concatenate([sets[i][j] for i in some]) for j in (0, 1))
+                starts = np.cumsum([0, *(len(sets[i][0]) for i in some[:-1])])
+                for i, row in zip(some, s.samples(h, c * w[slot(h)], starts), strict=True):
+                    sigs[i] = row.tobytes()
+            digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "th", "sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, th binary, sig binary")
@@ -222,20 +237,29 @@ def candidates(bands: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar enough."""
+    """The pairs (a, b) whose whole texts are similar enough.
+
+    Each a meets its partners in blocks of about BLOCK: a's text goes once to each block, ahead of theirs,
+    so neither a pivot of any number of partners nor its text is gathered or repeated per pair.
+    """
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
+    left = dealt.select("a", "block").distinct().join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "text")
+    right = dealt.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "block", "b", "text")
 
     def run(batches):
-        w, last, cached = weights.value, None, None
+        w, at, mine = weights.value, None, None
         for b in batches:
             keep = []
-            for a, ta, tb in zip(b.column("a").to_pylist(), b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
-                if a != last:
-                    last, cached = a, shingles(ta)
-                keep.append(similarity(cached, shingles(tb), w) >= THRESHOLD)
+            for a, x, text in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("text"), strict=True):
+                made = shingles(text.as_py())
+                if x is None:
+                    at, mine = a, made
+                keep.append(x is not None and at == a and similarity(mine, made, w) >= THRESHOLD)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    both = left.union(right).repartition(partitions(pairs.sparkSession), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return both.mapInArrow(run, "a long, b long")
 
 
 def remaining(bands: DataFrame, sizes: DataFrame, labels: DataFrame, texts: DataFrame, weights) -> DataFrame:
@@ -298,7 +322,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     their row's class. An empty table gives an empty result. Copies are collapsed before anything is
     compared, hot buckets go by pivot and blocks, and joins on hot keys are left to the skew join.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     weights = spark.sparkContext.broadcast(slot_weights(docs, text_col))  # SLOTS numbers, for any corpus
     sigs = materialize(signatures(docs, weights, id_col, text_col), "near-signatures")
     reps = materialize(sigs.where("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")), "near-texts")

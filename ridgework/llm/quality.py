@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _slices
-from .common import materialize, partitions, read
+from .common import materialize, partitions, read, small_batches
 
 #: Byte classes whose shares are statistics. Bytes from 128 on are the last class.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "|", "!", "?", "*#$%&@", "<>{}[]()", "'\"`", ":;", "=+~^_/\\-"]
@@ -56,6 +56,8 @@ def statistics(text: str, table: np.ndarray) -> list[float]:
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, stats), a row per row of docs, from whole texts; null counts as empty."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]):
         table = _class_table()
         for b in _slices(batches, "text", 8 << 20):

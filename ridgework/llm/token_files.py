@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import _slices
-from .common import materialize, partitions, read, table_path
+from .common import materialize, partitions, read, small_batches, table_path
 from .segments import merged
 
 TOKENIZER, END_ID, BLOCK = "byte_bpe_50k.json", 2, 512
@@ -204,7 +204,7 @@ def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int =
     only ids are shuffled. A heavily repeated id makes its range larger; a range is written segment by
     segment, so memory does not follow it.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     n = min(MOST_RANGES, ranges or 2 * partitions(spark))
     cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / n for i in range(1, n)] or [0.5], 100_000).alias("q")).first().q

@@ -55,7 +55,7 @@ class Vocabulary:
             if len(token) == 1 or rank in self.halves:
                 self.tokens.add_word(token.decode("latin-1"), rank)
         self.tokens.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}  # by left << 20 | right
 
     def _parts(self, token: bytes, below: int) -> list[int]:
         ids = [self.ranks[token[i : i + 1]] for i in range(len(token))]
@@ -73,9 +73,9 @@ class Vocabulary:
         Undoes the two tokens' merges from the latest backwards; the pair is incompatible if at some
         point a merge over the border would have been made earlier than the merge that hides it.
         """
-        key = (left, right)
+        key = left << 20 | right
         if (known := self.compatible.get(key)) is None:
-            if len(self.compatible) > 1_000_000:
+            if len(self.compatible) > 150_000:
                 self.compatible.clear()
             known = self.compatible[key] = self._fits(left, right)
         return known
@@ -117,7 +117,7 @@ class PrefixTable:
             start = end + 1 - size[token]
             if start:
                 left = last[start - 1]
-                fit = known((left, token))
+                fit = known(left << 20 | token)
                 if fit is None:
                     fit = fits(left, token)
                 if not fit:
@@ -158,7 +158,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN):
         self.v, self.pattern = vocabulary, regex.compile(pattern)
-        self.pieces = Generations(150_000)
+        self.pieces = Generations(100_000)
         self.cache = SegmentCache(self._segment)
 
     def _piece(self, piece: bytes) -> list[int]:

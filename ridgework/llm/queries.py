@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, mixing, near_dedup, pii, quality, token_files, url_filter
+from . import bpe, embedding_dedup, exact_dedup, mixing, near_dedup, passages, pii, quality, token_files, url_filter
 
 QUERIES = {
     "op1_pfair_mix": mixing.op1_pfair_mix,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_quality": quality.op8_quality,
     "op9_token_files": token_files.op9_token_files,
+    "op10_passages": passages.op10_passages,
 }
 
 ORACLES = {

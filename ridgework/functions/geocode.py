@@ -7,12 +7,18 @@ import struct
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the curve: position of a quadrant by orientation, and the turn each position makes.
 IJ_TO_POS = np.array([[0, 1, 3, 2], [0, 3, 1, 2], [2, 3, 1, 0], [2, 1, 3, 0]])
 POS_TURN = np.array([1, 0, 0, 3])
 
 
+def _face_uv(face, x, y, z):
+    on = [face == k for k in range(5)]
+    return np.select(on, [y / x, -x / y, -x / z, z / x, z / y], -y / z), np.select(on, [z / x, z / y, -y / z, y / x, -x / y], -x / z)
+
+
 def cell_ids(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     """Leaf cell ids as signed 64-bit integers."""
     la, lo = np.radians(np.asarray(lat, float)), np.radians(np.asarray(lon, float))
@@ -21,8 +27,8 @@ def cell_ids(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     at = np.take_along_axis(p, axis[None], 0)[0]
     face = np.where(at < 0, axis + 3, axis)
     x, y, z = p
-    u = np.select([face == 0, face == 1, face == 2, face == 3, face == 4], [y / x, -x / y, -x / z, z / x, z / y], -y / z)
-    v = np.select([face == 0, face == 1, face == 2, face == 3, face == 4], [z / x, z / y, -y / z, y / x, -x / y], -x / z)
+    with np.errstate(divide="ignore", invalid="ignore"):  # of the faces that are not chosen
+        u, v = _face_uv(face, x, y, z)
     to_st = lambda t: np.where(t >= 0, 0.5 * np.sqrt(1 + 3 * np.abs(t)), 1 - 0.5 * np.sqrt(1 + 3 * np.abs(t)))
     i, j = (np.clip(np.floor(to_st(t) * (1 << 30)), 0, (1 << 30) - 1).astype("i8") for t in (u, v))
     turn, pos = face & 1, np.zeros(len(face), "u8")
@@ -33,7 +39,7 @@ def cell_ids(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return ((face.astype("u8") << np.uint64(61)) | (pos << np.uint64(1)) | np.uint64(1)).view("i8")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def geocode(lat: pd.Series, lon: pd.Series) -> pd.Series:
     return pd.Series(cell_ids(lat.to_numpy(), lon.to_numpy()))
 
@@ -47,17 +53,17 @@ def line_wkb(points) -> bytes | None:
     return struct.pack("<BII", 1, 2, len(pts)) + b"".join(struct.pack("<dd", *p) for p in pts)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def wkb_line(paths: pd.Series) -> pd.Series:
     return paths.map(line_wkb)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def wkb_point(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([struct.pack("<BIdd", 1, 1, a, b) for a, b in zip(x, y, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def wkb_lines(paths: pd.Series) -> pd.Series:
     """MULTILINESTRING of the lists that hold points; None without any."""
 

@@ -307,7 +307,7 @@ SELECT DISTINCT id, tile_x, CAST(unnest(range(CAST(floor(y0 / 512.0) AS BIGINT),
     "p4_chunks": f"""
 SELECT CAST(floor(x / 16.0) AS INT) AS tx, CAST(floor(y / 16.0) AS INT) AS ty, CAST(floor((x - 8) / 64.0) AS INT) AS tx1, CAST(floor((y - 8) / 64.0) AS INT) AS ty1, count(*) AS n FROM ({R2}) GROUP BY ALL""",
     "t5_overlaid": """
-SELECT 0 AS grid_id, CAST(l_partkey % 64 AS INT) AS x, CAST(l_suppkey % 64 AS INT) AS y, arg_max(l_quantity, concat(lpad(CAST(l_orderkey AS VARCHAR), 9, '0'), CAST(l_linenumber AS VARCHAR))) AS z
+SELECT 0 AS grid_id, CAST(l_partkey % 64 AS INT) AS x, CAST(l_suppkey % 64 AS INT) AS y, arg_max(l_quantity, row(concat(lpad(CAST(l_orderkey AS VARCHAR), 9, '0'), CAST(l_linenumber AS VARCHAR)), l_quantity)) AS z
 FROM lineitem WHERE l_linenumber < 6 GROUP BY ALL""",
     "m1_adjacency": _sql(R2, "SELECT c.x, c.y, o.i, c.x + o.dx AS nx, c.y + o.dy AS ny FROM cells c JOIN off o ON (c.x + c.y) % 2 = 0 OR o.i % 2 = 0"),
     "m2_classify": _sql(R2, _CLS),

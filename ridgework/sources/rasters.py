@@ -43,10 +43,14 @@ def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select((F.col("p_partkey") % 32).cast("int").alias("x"), F.expr("cast(p_partkey div 32 as int)").alias("y"), F.col("p_retailprice").alias("z"))
 
 
-CATALOG = T.StructType.fromDDL(
-    "grids array<struct<id:int,srs:string,spacing:double,x_stretch:double,subpx_offset:array<double>,origin_offset:array<int>>>,"
-    "dems array<struct<path:string,sidecars:array<string>,grid_id:int,width:int,height:int,origin:array<int>,flip_xy:boolean,inv_x:boolean,inv_y:boolean,bound:string,nodata:double,z_unit:double>>"
-)
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+_INT, _DBL, _STR, _BOOL = T.IntegerType(), T.DoubleType(), T.StringType(), T.BooleanType()
+GRID = _struct(id=_INT, srs=_STR, spacing=_DBL, x_stretch=_DBL, subpx_offset=T.ArrayType(_DBL), origin_offset=T.ArrayType(_INT))
+DEM = _struct(path=_STR, sidecars=T.ArrayType(_STR), grid_id=_INT, width=_INT, height=_INT, origin=T.ArrayType(_INT), flip_xy=_BOOL, inv_x=_BOOL, inv_y=_BOOL, bound=_STR, nodata=_DBL, z_unit=_DBL)
+CATALOG = _struct(grids=T.ArrayType(GRID), dems=T.ArrayType(DEM))
 
 
 def load_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -80,9 +84,8 @@ def index_catalog(spark: SparkSession, entries: list[dict]) -> tuple[DataFrame,
     """Number the distinct grids of described files and refer to them by id."""
     grids: dict[str, int] = {}
     rows = [{**{k: v for k, v in e.items() if k != "grid"}, "sidecars": e.get("sidecars", []), "grid_id": grids.setdefault(json.dumps(e["grid"], sort_keys=True), len(grids))} for e in sorted(entries, key=lambda e: e["path"])]
-    kinds = {f.name: f.dataType.elementType for f in CATALOG.fields}
     g = [{**json.loads(k), "id": i, "origin_offset": [0, 0]} for k, i in grids.items()]
-    return spark.createDataFrame(g, kinds["grids"]), spark.createDataFrame(rows, kinds["dems"])
+    return spark.createDataFrame(g, GRID), spark.createDataFrame(rows, DEM)
 
 
 def files_of(spark: SparkSession, root: str, series: dict[str, str]) -> DataFrame:
@@ -129,6 +132,10 @@ def _crosses(a: tuple, b: tuple, p: Column, q: Column) -> Column:
     return (s1 * s2 <= 0) & (s3 * s4 <= 0) & inside
 
 
+def _side(a: tuple, b: tuple):
+    return lambda s: _crosses(a, b, s["p"], s["q"])
+
+
 def overlaps(bound: Column, corners: list[tuple[float, float]]) -> Column:
     """Whether a polygon (WKT) and a region meet: an edge crosses, or one holds a corner of the other."""
     ring = wkt_corners(bound)
@@ -136,7 +143,7 @@ def overlaps(bound: Column, corners: list[tuple[float, float]]) -> Column:
     sides = list(zip(corners, [*corners[1:], corners[0]], strict=True))
     cross = F.lit(False)
     for a, b in sides:
-        cross = cross | F.exists(segs, lambda s, a=a, b=b: _crosses(a, b, s["p"], s["q"]))
+        cross = cross | F.exists(segs, _side(a, b))
 
     def ray(x, y, p, q):
         return ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.when(q["y"] == p["y"], F.lit(1.0)).otherwise(q["y"] - p["y"]) + p["x"])
@@ -199,5 +206,5 @@ def samples(rasters: DataFrame, dems: DataFrame, ocean: bool = True) -> DataFram
 
 
 def overlaid(cells: DataFrame) -> DataFrame:
-    """T5: one height per cell; of overlapping files the last path with data there wins."""
-    return cells.where("z is not null").groupBy("grid_id", "x", "y").agg(F.max_by("z", "path").alias("z"))
+    """T5: one height per cell; of overlapping files the last path with data there wins, of one path the highest."""
+    return cells.where("z is not null").groupBy("grid_id", "x", "y").agg(F.max_by("z", F.struct("path", "z")).alias("z"))

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import read, small_batches, trimmed
 from .segments import Generations, SegmentCache
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -161,6 +161,12 @@ class Encoder:
         self.pieces = Generations(100_000)
         self.cache = SegmentCache(self._segment)
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.pieces = Generations(self.pieces.limit)
+        self.cache = SegmentCache(self._segment)
+        self.v.compatible.clear()
+
     def _piece(self, piece: bytes) -> list[int]:
         """A new piece's encoding; a piece that is a token itself stands for that token."""
         if (whole := self.v.ranks.get(piece)) is not None:
@@ -266,16 +272,15 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterat
                 yield b.slice(i, j - i)
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids", keep_cache: bool = True) -> DataFrame:
     """docs without text_col, with its ids as array<int>; null and empty texts give an empty array.
 
-    A map without a shuffle: rows and their other columns stay where they are, whatever their names.
+    A map without a shuffle: rows and their other columns stay where they are, whatever their names; a
+    column named ids_col is replaced. Without keep_cache a worker forgets its words at the end of a task.
     """
     small_batches(docs.sparkSession)
     path = path or public_tokenizers.path(RANKS)
-    if ids_col != text_col and ids_col in docs.columns:
-        raise ValueError(f"the table has a column {ids_col} already; name another by ids_col")
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, ids_col)]
     schema = docs.select(*rest).withColumn(ids_col, F.array(F.lit(0))).schema
 
     def run(batches):
@@ -285,8 +290,10 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids
             ends = np.cumsum([0, *(len(c) // 4 for c in codes)], dtype="int64")
             ids = pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(np.frombuffer(b"".join(codes), "<i4")))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), ids], names=[*rest, ids_col])
+        if not keep_cache:
+            enc.forget()
 
-    return docs.select(*rest, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*rest, F.col(text_col).alias("__text")).mapInArrow(trimmed(run), schema)
 
 
 def decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

@@ -2,58 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import functools
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgework.functions.store import materialize, remove, shared_dir, table_path
+
+__all__ = ["components", "materialize", "partitions", "read", "remove", "shared_dir", "small_batches", "table_path", "text_or_empty", "trimmed"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One input table, by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made for a local session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if got.isDefined():
-            found = got.get()
-        else:
-            found = "file://" + tempfile.mkdtemp(prefix="ridgework-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that materialize() wrote."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def materialize(df: DataFrame, name: str, *, with_path: bool = False):
-    """Write df as a table in the shared folder and read it back, which cuts its lineage.
-
-    A lost executor costs a re-read of the files, not a re-run of what made them.
-    """
-    spark = df.sparkSession
-    path = table_path(spark, name)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    return (back, path) if with_path else back
-
-
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """The session's shuffle width, so that it follows the deployment."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -70,6 +36,21 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def trimmed(run):
+    """A batch function that gives its worker's free memory back to the system when a task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def text_or_empty(c: str | Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

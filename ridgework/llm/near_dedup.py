@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _slices
-from .common import components, materialize, partitions, read, small_batches, text_or_empty
+from .common import components, materialize, partitions, read, small_batches, text_or_empty, trimmed
 
 WORDS, THRESHOLD = 5, 0.8
 SLOTS = 1 << 20
@@ -133,8 +133,8 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=names)
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "i int, v binary")
-    rows = parts.repartition(min(256, partitions(docs.sparkSession)), "i").mapInArrow(add, "i int, v binary").collect()
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(trimmed(count), "i int, v binary")
+    rows = parts.repartition(min(256, partitions(docs.sparkSession)), "i").mapInArrow(trimmed(add), "i int, v binary").collect()
     df = np.zeros(SLOTS, "i8")
     for r in rows:
         df[r.i * chunk : (r.i + 1) * chunk] = np.frombuffer(r.v, "<i8")
@@ -182,7 +182,7 @@ def signatures(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str =
             digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "th", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, th binary, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, th binary, sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -233,7 +233,7 @@ def candidates(bands: DataFrame, sizes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
     small = known.where((F.col("size") > 1) & (F.col("size") <= SMALL)).groupBy("band", "key").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
-    return star.mapInArrow(close, "a long, b long").union(small.select("band", "members").mapInArrow(within, "a long, b long")).distinct()
+    return star.mapInArrow(trimmed(close), "a long, b long").union(small.select("band", "members").mapInArrow(trimmed(within), "a long, b long")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
@@ -259,7 +259,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = left.union(right).repartition(partitions(pairs.sparkSession), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(trimmed(run), "a long, b long")
 
 
 def remaining(bands: DataFrame, sizes: DataFrame, labels: DataFrame, texts: DataFrame, weights) -> DataFrame:

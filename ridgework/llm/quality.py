@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _slices
-from .common import materialize, partitions, read, small_batches
+from .common import materialize, partitions, read, small_batches, trimmed
 
 #: Byte classes whose shares are statistics. Bytes from 128 on are the last class.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "|", "!", "?", "*#$%&@", "<>{}[]()", "'\"`", ":;", "=+~^_/\\-"]
@@ -64,7 +64,7 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             stats = [statistics(t, table) for t in b.column("text").fill_null("").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(stats, pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, stats array<double>")
 
 
 def remainder(id_col: str = "doc_id") -> Column:
@@ -199,7 +199,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             stats = np.array([statistics(t, table) for t in b.column(text_col).fill_null("").to_pylist()])
             yield pa.RecordBatch.from_arrays(b.columns, names=names).filter(pa.array(model.score(stats) >= least))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ class Vocabulary:
         """
         key = left << 20 | right
         if (known := self.compatible.get(key)) is None:
-            if len(self.compatible) > 150_000:
+            if len(self.compatible) > 400_000:
                 self.compatible.clear()
             known = self.compatible[key] = self._fits(left, right)
         return known
@@ -96,6 +96,42 @@ class Vocabulary:
                 bound, b = b + 1, hb[0]
 
 
+def extend(v: Vocabulary, text: str, skip: int, last: list[int]) -> None:
+    """Add to last, the last tokens of all prefixes so far, those of the prefixes that end in text.
+
+    text (bytes as code points below 256) begins at byte `skip` of the whole, early enough for every
+    token that ends beyond the prefixes so far.
+    """
+    known, fits, size, push = v.compatible.get, v.fits, v.size, last.append
+    done = len(last) - skip
+    for end, token in v.tokens.iter(text):  # of tokens with one end the longest comes first
+        if end < done:
+            continue  # the one that fits has been found already, or the prefix is older
+        start = end + 1 - size[token]
+        if start + skip:
+            left = last[start + skip - 1]
+            fit = known(left << 20 | token)
+            if fit is None:
+                fit = fits(left, token)
+            if not fit:
+                continue
+        push(token)
+        done += 1
+    if done < len(text):
+        raise ValueError("the vocabulary lacks single bytes")
+
+
+def tokens_of(last: list[int], size: dict[int, int]) -> list[int]:
+    """The encoding, read backwards through the table of last tokens."""
+    out, end = [], len(last)
+    while end:
+        token = last[end - 1]
+        out.append(token)
+        end -= size[token]
+    out.reverse()
+    return out
+
+
 class PrefixTable:
     """Last token of every prefix of one piece of bytes."""
 
@@ -105,27 +141,9 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         """Extend the piece; entries so far stay as they are."""
-        known, fits, size, last = self.v.compatible.get, self.v.fits, self.v.size, self.last
-        at = len(self.piece)
+        skip = max(0, len(self.piece) + 1 - self.v.longest)  # tokens that end later start after it
         self.piece += more
-        skip = max(0, at + 1 - self.v.longest)  # tokens that end after `at` start after it
-        done = at
-        for end, token in self.v.tokens.iter(self.piece[skip:].decode("latin-1")):
-            end += skip
-            if end < done:
-                continue  # one of the tokens that end here has been found already, or is older
-            start = end + 1 - size[token]
-            if start:
-                left = last[start - 1]
-                fit = known(left << 20 | token)
-                if fit is None:
-                    fit = fits(left, token)
-                if not fit:
-                    continue
-            last.append(token)
-            done += 1
-        if done < len(self.piece):
-            raise ValueError("the vocabulary lacks single bytes")
+        extend(self.v, self.piece[skip:].decode("latin-1"), skip, self.last)
 
     def cut(self, n: int) -> None:
         """Keep the first n bytes only."""
@@ -138,16 +156,10 @@ class PrefixTable:
         self.append(by + tail)
 
     def ids(self) -> list[int]:
-        """The encoding, read backwards through the table."""
+        """The encoding; a piece that is a token itself stands for that token."""
         if (whole := self.v.ranks.get(bytes(self.piece))) is not None:
             return [whole]
-        out, end, last, size = [], len(self.piece), self.last, self.v.size
-        while end:
-            token = last[end - 1]
-            out.append(token)
-            end -= size[token]
-        out.reverse()
-        return out
+        return tokens_of(self.last, self.v.size)
 
 
 class Encoder:
@@ -158,29 +170,34 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN):
         self.v, self.pattern = vocabulary, regex.compile(pattern)
-        self.pieces = Generations(100_000)
-        self.cache = SegmentCache(self._segment)
+        self.pieces = Generations(50_000)
+        self.cache = SegmentCache(self._segment, 200_000)
 
     def forget(self) -> None:
         """Empty the caches."""
         self.pieces = Generations(self.pieces.limit)
-        self.cache = SegmentCache(self._segment)
+        self.cache = SegmentCache(self._segment, 200_000)
         self.v.compatible.clear()
 
-    def _piece(self, piece: bytes) -> list[int]:
-        """A new piece's encoding; a piece that is a token itself stands for that token."""
-        if (whole := self.v.ranks.get(piece)) is not None:
-            return [whole]
-        return PrefixTable(self.v, piece).ids()
+    def _piece(self, piece: str) -> bytes:
+        """A new piece's ids, as bytes; a piece that is a token itself stands for that token."""
+        raw, last = piece.encode(), []
+        if (whole := self.v.ranks.get(raw)) is not None:
+            return array("i", (whole,)).tobytes()
+        extend(self.v, raw.decode("latin-1"), 0, last)
+        return array("i", tokens_of(last, self.v.size)).tobytes()
 
     def _segment(self, text: str) -> bytes:
-        out, pieces = [], self.pieces
+        if text[0] == " " and text[1:].isalpha():  # one match; the caller keeps it
+            return self._piece(text)
+        out, pieces, words = [], self.pieces, self.cache
         for piece in self.pattern.findall(text):
-            code = pieces.young.get(piece)
-            if code is None and (code := pieces.find(piece)) is None:
-                code = array("i", self._piece(piece.encode())).tobytes()
+            word = piece[1:] if piece[0] == " " and piece[1:].isalpha() else ""
+            code = (dict.get(words, word) or words.old.get(word)) if word else pieces.find(piece)
+            if code is None:
+                code = self._piece(piece)
                 if len(piece) < 200:
-                    pieces.put(piece, code)
+                    words.keep(word, code) if word else pieces.put(piece, code)
             out.append(code)
         return b"".join(out)
 

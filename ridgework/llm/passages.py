@@ -21,13 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, read, small_batches, table_path
+from .common import materialize, partitions, read, small_batches, table_path, trimmed
 from .induced import suffix_order
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of a blob, more only if one document has more.
-BLOB = 1 << 20
+BLOB = 1 << 19
+#: Parts of a key range, and bytes of stretches that are sorted at once: neighbouring parts up to about that many.
+PARTS, SHARD = 64, 1 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(50).integers(0, 1 << 64, 256, dtype="u8")
 _POWER: dict[str, np.ndarray] = {}
@@ -286,7 +288,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             at += m
         return pa.table({"blob": t.column("blob"), "m": pa.array([{"r": r, "n": k, "mask": x} for r, k, x in zip(t.column("r").to_pylist(), n, masks, strict=True)], pa.struct([("r", pa.int32()), ("n", pa.int32()), ("mask", pa.binary())]))})
 
-    asked = with_skip.select("blob", "ends", "skip", "raw").mapInArrow(ask, "r int, blob long, n int, vals binary, several binary")
+    asked = with_skip.select("blob", "ends", "skip", "raw").mapInArrow(trimmed(ask), "r int, blob long, n int, vals binary, several binary")
     masks = asked.groupBy("r").applyInArrow(share, "blob long, m struct<r:int,n:int,mask:binary>").groupBy("blob").agg(F.collect_list("m").alias("masks"))
     masks = materialize(masks, "passages-masks")
     marked = with_skip.join(masks, "blob", "left")
@@ -294,7 +296,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def send(batches):
         for blob, ids, ends, skips, raw, ms in _rows(batches, "masks"):
             (start, count, doc, _), (value, heads, n) = stretches(ids, ends, skips, raw, ms)
-            r = _range_of(value, n_ranges)
+            part = _range_of(value, n_ranges * PARTS)
+            r = part // PARTS
             cuts = [0, *(np.flatnonzero(np.diff(r)) + 1).tolist(), len(r)]
             out = []
             for i, j in zip(cuts, cuts[1:], strict=False):
@@ -302,23 +305,40 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     b, c = start[heads[i:j]], n[i:j]
                     size = c + LENGTH - 1
                     at = np.repeat(b - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    out.append((int(r[i]), blob, c.astype("<u4").tobytes(), ids[doc[heads[i:j]]].astype("<i8").tobytes(), raw[at].tobytes()))
+                    parts = np.bincount(part[i:j] % PARTS, minlength=PARTS)
+                    out.append((int(r[i]), blob, c.astype("<u4").tobytes(), ids[doc[heads[i:j]]].astype("<i8").tobytes(), parts.astype("<u4").tobytes(), raw[at].tobytes()))
             if out:
                 c = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.binary()) for x in c[2:])], names=["r", "blob", "counts", "docs", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.binary()) for x in c[2:])], names=["r", "blob", "counts", "docs", "parts", "raw"])
 
     def sort(t: pa.Table) -> pa.Table:
         counts = [np.frombuffer(x, "<u4").astype("i8") for x in t.column("counts").to_pylist()]
-        docs_ = np.frombuffer(b"".join(t.column("docs").to_pylist()), "<i8")
-        flags = earlier(np.concatenate(counts), docs_, np.frombuffer(b"".join(t.column("raw").to_pylist()), "u1"))
-        out, at = [], 0
-        for c in counts:
-            m = int(c.sum())
-            out.append(np.packbits(flags[at : at + m]).tobytes())
-            at += m
-        return pa.table({"blob": t.column("blob"), "f": pa.array([{"r": r, "n": int(c.sum()), "flags": x} for r, c, x in zip(t.column("r").to_pylist(), counts, out, strict=True)], pa.struct([("r", pa.int32()), ("n", pa.int64()), ("flags", pa.binary())]))})
-
-    sent = marked.select("blob", "ids", "ends", "skip", "raw", "masks").mapInArrow(send, "r int, blob long, counts binary, docs binary, raw binary")
+        docs_ = [np.frombuffer(x, "<i8") for x in t.column("docs").to_pylist()]
+        raws = [x.as_buffer() for x in t.column("raw")]
+        first = np.array([np.append(0, np.cumsum(np.frombuffer(x, "<u4").astype("i8"))) for x in t.column("parts").to_pylist()])  # stretch by row and part
+        begin = [np.append(0, np.cumsum(c + LENGTH - 1)) for c in counts]  # byte by stretch
+        size = sum(b[f] for b, f in zip(begin, first, strict=True))  # bytes before each part
+        out: list[list[np.ndarray]] = [[] for _ in counts]
+        p = 0
+        while p < PARTS:
+            e = p + 1
+            while e < PARTS and size[e + 1] - size[p] <= SHARD:
+                e += 1
+            rows = [i for i in range(len(counts)) if first[i, e] > first[i, p]]
+            if rows:
+                cs = [counts[i][first[i, p] : first[i, e]] for i in rows]
+                raw = np.concatenate([np.frombuffer(raws[i], "u1")[begin[i][first[i, p]] : begin[i][first[i, e]]] for i in rows])
+                flags = earlier(np.concatenate(cs), np.concatenate([docs_[i][first[i, p] : first[i, e]] for i in rows]), raw)
+                at = 0
+                for i, c in zip(rows, cs, strict=True):
+                    m = int(c.sum())
+                    out[i].append(flags[at : at + m])
+                    at += m
+            p = e
+        done = [np.concatenate(x) for x in out]
+        return pa.table({"blob": t.column("blob"), "f": pa.array([{"r": r, "n": len(x), "flags": np.packbits(x).tobytes()} for r, x in zip(t.column("r").to_pylist(), done, strict=True)], pa.struct([("r", pa.int32()), ("n", pa.int64()), ("flags", pa.binary())]))})
+
+    sent = marked.select("blob", "ids", "ends", "skip", "raw", "masks").mapInArrow(trimmed(send), "r int, blob long, counts binary, docs binary, parts binary, raw binary")
     flags = sent.groupBy("r").applyInArrow(sort, "blob long, f struct<r:int,n:long,flags:binary>").groupBy("blob").agg(F.collect_list("f").alias("flags"))
     flags = materialize(flags, "passages-flags")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
@@ -351,7 +371,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4]), *([pa.array(c[5], pa.binary())] if with_kept else [])], names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    out = marked.join(flags, "blob", "left").select("blob", "ids", "ends", "skip", "raw", "masks", "flags").mapInArrow(cut, schema)
+    out = marked.join(flags, "blob", "left").select("blob", "ids", "ends", "skip", "raw", "masks", "flags").mapInArrow(trimmed(cut), schema)
     return out.withColumnRenamed("doc_id", id_col)
 
 

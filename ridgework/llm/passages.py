@@ -183,7 +183,7 @@ def stretches(ids, ends, skip, raw, masks):
     shared = uniq[bits]
     if not len(shared):
         none = np.zeros(0, "i8")
-        return (none,) * 4, (none,) * 3
+        return (none,) * 4, (none.astype("u8"), none, none)
     at = np.minimum(np.searchsorted(shared, value), len(shared) - 1)
     keep = shared[at] == value
     start, count, value, doc = start[keep], count[keep], value[keep], doc[keep]

@@ -229,9 +229,14 @@ def domains(rel: DataFrame, edges: DataFrame, other_anc: DataFrame) -> DataFrame
     chains = other_anc.groupBy("up", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda e: e["node"]).alias("chain")).select((~F.col("up")).alias("up"), F.col("start").alias("q"), "chain")
     x = seeds.join(anch, ["up", "s"]).join(chains, ["up", "q"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "t"])
-        lines = _meet([[int(s), *map(int, c), None] for s, c in zip(pdf["s"], pdf["chain"], strict=True)])
-        return pd.DataFrame({"up": [bool(pdf["up"].iloc[0])], "p": [int(pdf["p"].iloc[0])], "lines": [[[-1 if v is None else v for v in ln] for ln in lines]]})
+    tasks = x.groupBy("up", "p").agg(F.array_sort(F.collect_list(F.struct("s", "t", "chain"))).alias("seeds"))
 
-    return x.select("up", "p", "s", "t", "chain").groupBy("up", "p").applyInPandas(run, "up boolean, p long, lines array<array<long>>")
+    def run(batches):
+        for b in batches:
+            out = []
+            for seeds in b.column("seeds").to_pylist():
+                lines = _meet([[v["s"], *v["chain"], None] for v in seeds])
+                out.append([[-1 if v is None else v for v in ln] for ln in lines])
+            yield pa.RecordBatch.from_arrays([b.column("up"), b.column("p"), pa.array(out, pa.list_(pa.list_(pa.int64())))], names=["up", "p", "lines"])
+
+    return tasks.mapInArrow(run, "up boolean, p long, lines array<array<long>>")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgework.functions import ids
-from ridgework.operators import mesh, network, peaks
+from ridgework.operators import combine, mesh, network
 from ridgework.plans import viewer
 from ridgework.plans.terrain import Terrain
 from ridgework.sources import rasters
@@ -169,7 +169,51 @@ def j20_behind_saddles(spark, sf_dir):
     return viewer.around_sql(spark, first.p if first else ids.NULL_ID)
 
 
+def a1_consolidate(spark, sf_dir):
+    """Partial rows per part: some have one column, some another, some a list."""
+    li = rasters.read(spark, sf_dir, "lineitem")
+    kind = F.col("l_linenumber") % 3
+    parts = li.select("l_partkey", F.when(kind == 0, F.col("l_quantity")).alias("q"), F.when(kind == 1, F.col("l_shipdate")).alias("d"), F.when(kind == 2, F.array("l_suppkey")).otherwise(F.array().cast("array<bigint>")).alias("s"))
+    return combine.consolidate(parts, ["l_partkey"]).withColumn("s", F.array_join(F.col("s").cast("array<string>"), ","))
+
+
+def a2_latest(spark, sf_dir):
+    li = rasters.read(spark, sf_dir, "lineitem")
+    return combine.latest(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), ["l_orderkey"], "l_linenumber")
+
+
+def a11_flags(spark, sf_dir):
+    """Saddles of up and of down edges, once each, with two flags."""
+    e = terrain(spark, sf_dir).edges
+    return combine.union_with_flags(e.where("up"), e.where("not up"), ["sx", "sy", "seq"], "in_up", "in_down")
+
+
+def j15_crossref(spark, sf_dir):
+    """Edges with the traces of their saddles."""
+    t = terrain(spark, sf_dir)
+    key = lambda x, y: (F.col(x) * 65536 + F.col(y)).cast("long")
+    tr = mesh.split_saddles(t.leads).where("seq = 0").select(key("x", "y").alias("s"), F.col("trace").alias("dir"), F.col("bx").alias("tx"), F.col("by").alias("ty"))
+    users = t.edges.where("seq = 0").select(key("sx", "sy").alias("s"), F.when(F.col("tag_a") < 2, key("sx", "sy")).otherwise(F.lit(-1).cast("long")).alias("ix"), F.col("tag_a").alias("edge_dir"), "up")
+    return combine.crossref(tr, users)
+
+
+def w4_running_maxima(spark, sf_dir):
+    o = rasters.read(spark, sf_dir, "orders")
+    return combine.running_maxima(o.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey", "o_totalprice")
+
+
+def w6_first_where(spark, sf_dir):
+    o = rasters.read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return combine.first_where(o, ["o_custkey"], "o_orderkey", F.col("o_totalprice") > 200000)
+
+
 QUERIES = {
+    "a1_consolidate": a1_consolidate,
+    "a2_latest": a2_latest,
+    "a11_flags": a11_flags,
+    "j15_crossref": j15_crossref,
+    "w4_running_maxima": w4_running_maxima,
+    "w6_first_where": w6_first_where,
     "m2_class_counts": m2_class_counts,
     "f1_point_index": f1_point_index,
     "f_scalars": f_scalars,
@@ -284,6 +328,25 @@ _CLS = "SELECT x, y, class, changes FROM cls"
 _KEYS = '(SELECT sx, sy, seq FROM edges WHERE up AND ax IS NOT NULL AND bx IS NOT NULL AND NOT (ax = bx AND ay = "by"))'
 
 ORACLES = {
+    "a1_consolidate": """
+SELECT l_partkey, max(CASE WHEN l_linenumber % 3 = 0 THEN l_quantity END) AS q, max(CASE WHEN l_linenumber % 3 = 1 THEN l_shipdate END) AS d,
+       coalesce(array_to_string(list_sort(list(DISTINCT l_suppkey) FILTER (WHERE l_linenumber % 3 = 2)), ','), '') AS s
+FROM lineitem GROUP BY l_partkey""",
+    "a2_latest": """
+SELECT l_orderkey, r.a AS l_linenumber, r.b AS l_partkey, r.c AS l_suppkey, r.d AS l_quantity
+FROM (SELECT l_orderkey, max({'a': l_linenumber, 'b': l_partkey, 'c': l_suppkey, 'd': l_quantity}) AS r FROM lineitem GROUP BY l_orderkey)""",
+    "a11_flags": _sql(R2, "SELECT sx, sy, seq, max(CASE WHEN up THEN 1 ELSE 0 END) AS in_up, max(CASE WHEN up THEN 0 ELSE 1 END) AS in_down FROM edges GROUP BY sx, sy, seq", *_ALL),
+    "j15_crossref": _sql(
+        R2,
+        """SELECT e.s, e.ix, e.edge_dir, e.up, t.trace AS dir, t.bx AS tx, t."by" AS ty
+FROM (SELECT CAST(sx * 65536 + sy AS BIGINT) AS s, CASE WHEN tag_a < 2 THEN CAST(sx * 65536 + sy AS BIGINT) ELSE -1 END AS ix, tag_a AS edge_dir, up FROM edges WHERE seq = 0) e
+JOIN split t ON t.seq = 0 AND e.s = t.x * 65536 + t.y WHERE (e.ix <> e.s OR e.edge_dir = t.trace) AND e.up = (t.trace % 2 = 0)""",
+        *_ALL,
+    ),
+    "w4_running_maxima": """
+SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM orders)
+WHERE m IS NULL OR o_totalprice > m""",
+    "w6_first_where": "SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_totalprice > 200000 GROUP BY o_custkey",
     "m2_class_counts": _sql(R2, "SELECT class, count(*) AS n FROM cls GROUP BY class"),
     "f1_point_index": f"""
 WITH c AS (SELECT x - 100 AS x, y - 7 AS y, CAST(((x - 100) % 3 + 3) % 3 - 1 AS INT) AS seq FROM ({R1})),

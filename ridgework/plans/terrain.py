@@ -31,7 +31,7 @@ class Terrain:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return materialize(network.edges(self.cells), "t-edges")
+        return materialize(network.edges(self.cells, self.classes, self.leads), "t-edges")
 
     @cached_property
     def graph(self) -> DataFrame:
@@ -130,6 +130,16 @@ class Terrain:
         self.subsaddle_table().repartitionByRange("point").sortWithinPartitions("point", "saddle").write.mode("overwrite").parquet(f"{out}/subsaddles")
 
 
+    def debug(self, out: str) -> None:
+        """The tree's hops and the points of each step as text geometries, per direction."""
+        xy = lambda c: tuple(ids.unpack(c)[k] for k in ("x", "y"))
+        ends = lambda df, a, b: df.where(f"{b} is not null").select("up", geocode.wkt_line(F.array(*[F.struct(xy(c)[0].alias("x"), xy(c)[1].alias("y")) for c in (a, b)])).alias("geometry"))
+        at = lambda df, c: df.where(f"{c} is not null").select("up", geocode.wkt_point(*xy(c)).alias("geometry"))
+        dumps = {"fullmst": ends(self.tree, "node", "next"), "pmst": ends(self.pruned, "src", "dst"), "keypoints": at(self.tasks.select("up", F.explode(F.array("p", "target")).alias("id")).distinct(), "id"), "saddles": at(self.relations.where("notable").select("up", "s"), "s")}
+        for name, df in dumps.items():
+            df.write.mode("overwrite").partitionBy("up").parquet(f"{out}/{name}")
+
+
 INDEXES = [("points", "geocode"), ("points", "elev_mm"), ("prom", "point"), ("prom", "saddle"), ("prom", "prom_mm"), ("prom", "prom_parent"), ("prom", "line_parent"), ("subsaddles", "point"), ("subsaddles", "saddle")]
 
 

@@ -6,6 +6,8 @@ import json
 import math
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,8 +100,19 @@ def files_of(spark: SparkSession, root: str, series: dict[str, str]) -> DataFram
 
 
 
+#: Named regions.
+REGIONS = {
+    "global": "box:-180,180,-90,90",
+    "northeast-us": "43.78696,-77.60742 45.33670,-75.25635 46.98025,-72.55371 48.06340,-70.18066 49.33944,-67.43408 49.53947,-65.14893 48.93693,-63.67676 47.78363,-61.10596 47.24941,-59.85352 46.10371,-59.15039 45.04248,-60.73242 43.27721,-65.45654 41.02964,-69.74121 40.22922,-73.23486 38.66836,-74.72900 38.73695,-75.47607 40.22922,-77.25586",
+    "africa": "38.06539,11.51367 36.77409,-5.88867 27.21556,-15.24902 21.90228,-18.32520 11.43696,-17.70996 2.94304,-7.51465 -37.43997,18.45703 -34.74161,30.05859 -26.74561,48.69141 -13.41099,52.55859 13.75272,53.26172 16.46769,41.04492 32.62087,35.50781",
+    "western-us": "48.90806,-123.35449 48.89362,-112.93945 45.84411,-108.30322 44.22946,-102.98584 40.81381,-101.16211 37.94420,-101.66748 34.37971,-101.95313 30.69461,-104.52393 31.54109,-108.85254 31.18461,-113.79639 31.24099,-117.39990 37.38762,-123.13477 43.22920,-125.39795",
+    "satest": "-33.39476,17.64954 -34.60156,18.20984 -35.12440,19.91272 -34.37064,23.74695 -34.18909,26.12000 -32.99024,28.29529 -31.01057,30.58594 -29.95018,31.18469 -27.82450,30.21240 -26.98083,26.98242 -30.72295,20.86304 -29.89781,19.11621 -30.43447,17.10571",
+}
+
+
 def region_polygon(spec: str) -> list[tuple[float, float]] | None:
     """Corners (lon, lat) of a region given as box:x0,x1,y0,y1 or as lat,lon pairs; None for :global and the like."""
+    spec = REGIONS.get(spec, spec)
     if spec.startswith(":"):
         return None
     if m := re.fullmatch(r"box:([^,]+),([^,]+),([^,]+),([^,]+)", spec):
@@ -186,6 +199,24 @@ def pages(extents: DataFrame, res: int, width: int | None = None) -> DataFrame:
     return rows.withColumn("tile_y", F.explode(F.sequence(ids.tile("y0", res), ids.tile("y1", res)))).distinct()
 
 
+def read_raw(dems: DataFrame, root: str) -> DataFrame:
+    """Raster rows (path, row, values) of headerless little-endian float32 files under root.
+
+    A file that is not in the catalog, or of another size than its entry says, is left out.
+    """
+    files = dems.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    name = F.element_at(F.split("path", "/" + re.escape(root.rstrip("/").rsplit("/", 1)[-1]) + "/"), -1)
+    held = files.select(name.alias("path"), "content").join(dems.select("path", "width", "height"), "path").where(F.length("content") == F.col("width").cast("long") * F.col("height") * 4)
+
+    def rows(batches):
+        for b in batches:
+            for path, content, w, h in zip(*(b.column(c).to_pylist() for c in ("path", "content", "width", "height")), strict=True):
+                v = np.frombuffer(content, "<f4").reshape(h, w)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * h), pa.array(np.arange(h), pa.int32()), pa.array(list(v), pa.list_(pa.float32()))], names=["path", "row", "values"])
+
+    return held.mapInArrow(rows, "path string, row int, values array<float>")
+
+
 def samples(rasters: DataFrame, dems: DataFrame, ocean: bool = True) -> DataFrame:
     """(grid_id, x, y, z, path) from raster rows (path, row, values array<float>) and their catalog.
 

@@ -115,7 +115,7 @@ class Coder:
 
     #: A white-space run that is one token and stands between words in that call.
     GAP = "\n\n"
-    LIMIT = 300_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -188,7 +188,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str,
             at = np.searchsorted(bounds, doc.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right")
             yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), doc, pa.array(out, pa.binary())], names=["key_range", "doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "key_range int, doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "key_range int, doc_id long, ids binary")
 
 
 def ids_of(code: bytes) -> np.ndarray:
@@ -215,9 +215,10 @@ def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int =
 
         def flush():
             nonlocal number, before, docs_, codes, held
-            parts = [ids_of(x) for x in codes]
-            starts = np.cumsum([0, *map(len, parts)])
-            row = pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([pack(np.array(docs_, "i8"), starts, np.concatenate(parts))], pa.binary())], names=["key_range", "segment", "before", "n_ids", "payload"])
+            starts = np.cumsum([0, *((len(x) - 1) // x[0] for x in codes)])
+            narrow = all(x[0] == 2 for x in codes)
+            ids = np.frombuffer(b"".join([x[1:] for x in codes]), "<u2") if narrow else np.concatenate([ids_of(x) for x in codes])
+            row = pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([pack(np.array(docs_, "i8"), starts, ids)], pa.binary())], names=["key_range", "segment", "before", "n_ids", "payload"])
             number, before, docs_, codes, held = number + 1, before + held, [], [], 0
             return row
 
@@ -235,7 +236,7 @@ def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int =
             yield flush()
 
     dealt = encoded(docs, path, end_id, id_col, text_col, cuts).repartition(max(1, min(n, partitions(spark))), "key_range").sortWithinPartitions("key_range", "doc_id")
-    dealt.mapInArrow(segments, "key_range int, segment long, before long, n_ids long, payload binary").write.option("compression", "none").parquet(out)
+    dealt.mapInArrow(trimmed(segments), "key_range int, segment long, before long, n_ids long, payload binary").write.option("compression", "none").parquet(out)
 
 
 def offsets(files: DataFrame) -> DataFrame:
@@ -253,11 +254,12 @@ def documents_of(spark: SparkSession, out: str) -> DataFrame:
         for b in batches:
             for payload, base in zip(b.column("payload"), b.column("base").to_pylist(), strict=True):
                 s = Segment(payload.as_py())
-                crc = [zlib.crc32(s.document(k).tobytes()) for k in range(len(s.doc_ids))]
+                raw, at = memoryview(s.slice(0, s.n_ids).tobytes()), (4 * s.starts).tolist()
+                crc = [zlib.crc32(raw[i:j]) for i, j in zip(at, at[1:], strict=False)]
                 ids = pa.array(s.doc_ids, mask=s.doc_ids == -(2**63))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(base + s.starts[:-1]), pa.array(np.diff(s.starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

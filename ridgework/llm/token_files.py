@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import _slices
-from .common import materialize, partitions, read, small_batches, table_path
+from .common import partitions, read, small_batches, table_path, trimmed
 from .segments import merged
 
 TOKENIZER, END_ID, BLOCK = "byte_bpe_50k.json", 2, 512

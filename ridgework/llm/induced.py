@@ -39,21 +39,24 @@ class Queues:
         """Append positions to the queues of their characters, in order."""
         if not len(pos):
             return
+        if len(pos) == 1:
+            self.put(int(chars[0]), pos)
+            return
         order = np.argsort(chars, kind="stable")
         chars, pos = chars[order], pos[order]
-        cuts = np.flatnonzero(np.diff(chars)) + 1
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pos)], strict=True):
-            self.put(int(chars[i]), pos[i:j])
+        cuts = [0, *(np.flatnonzero(chars[1:] != chars[:-1]) + 1).tolist(), len(pos)]
+        for i, j, c in zip(cuts, cuts[1:], chars[cuts[:-1]].tolist(), strict=False):
+            self.put(c, pos[i:j])
 
     def read(self, part) -> np.ndarray:
         if isinstance(part, tuple):
             self.file.seek(part[0])
-            return np.frombuffer(self.file.read(8 * part[1]), "i8")
+            return np.frombuffer(self.file.read(4 * part[1]), "i4")
         return part
 
     def all(self, c: int) -> np.ndarray:
         parts = [self.read(p) for p in self.parts[c]]
-        return np.concatenate(parts) if parts else np.zeros(0, "i8")
+        return np.concatenate(parts) if parts else np.zeros(0, "i4")
 
     def close(self) -> None:
         if self.file is not None:
@@ -64,7 +67,7 @@ def _induce(t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, size: int, memor
     """All positions in suffix order, given the order of the leftmost S ones within each character."""
     low, seed = Queues(size, memory), Queues(size, memory)
     seed.deal(t[seeds], seeds)
-    last = np.array([len(t) - 1], "i8")
+    last = np.array([len(t) - 1], "i4")
     if not is_s[-1]:
         low.deal(t[last], last)  # the empty suffix comes first and induces this one
     for c in range(size):
@@ -100,23 +103,24 @@ def _induce(t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, size: int, memor
 
 
 def suffix_order(t: np.ndarray, size: int, depth: int, memory: int = MEMORY) -> np.ndarray:
-    """Positions of t (characters below size) in suffix order, exact for the first `depth` characters."""
+    """Positions of t (below 2**31 characters, each below size) in suffix order, exact for the first `depth` characters."""
     n = len(t)
     if n < 2:
-        return np.arange(n, dtype="i8")
+        return np.arange(n, dtype="i4")
     d = np.sign(t[1:].astype("i4") - t[:-1])
     # equal neighbours have the type of what follows their run; the last suffix is L
     where = np.append(d != 0, True)
     kind = np.append(d > 0, False)
-    nxt = np.minimum.accumulate(np.where(where, np.arange(n), n)[::-1])[::-1]
+    nxt = np.minimum.accumulate(np.where(where, np.arange(n, dtype="i4"), np.int32(n))[::-1])[::-1]
     is_s = kind[nxt]
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    del d, where, kind, nxt
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype("i4")
     if len(lms) > 1:
         first = _induce(t, is_s, lms, size, memory)
         mark = np.zeros(n, bool)
         mark[lms] = True
         order = first[mark[first]]  # leftmost S positions by their substrings
-        length = np.empty(n, "i8")
+        length = np.empty(n, "i4")
         length[lms] = np.append(np.diff(lms) + 1, n - lms[-1])
         # names: equal substrings share one; compared by length and a hash of their characters
         mul = np.uint64(0x9E3779B97F4A7C15)
@@ -130,9 +134,10 @@ def suffix_order(t: np.ndarray, size: int, depth: int, memory: int = MEMORY) ->
         end = order + length[order]
         h = (total[end] - total[order]) * power[n - order]  # shifted to one exponent
         new = np.append(False, (h[1:] != h[:-1]) | (length[order[1:]] != length[order[:-1]]))
-        name = np.empty(n, "i8")
+        name = np.empty(n, "i4")
         name[order] = np.cumsum(new)
-        rank = name[lms]
+        rank = name[lms].astype("i8")
+        del power, mixed, total, h, name, length, first, mark, order
         k, m = 1, len(lms)
         while rank.max() < m - 1 and 2 * k <= depth + 2:  # each name stands for two characters at least
             after = np.full(m, -1, "i8")

@@ -28,8 +28,10 @@ LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of a blob, more only if one document has more.
 BLOB = 1 << 19
+#: Bytes hashed at once, few enough for a processor's cache.
+CHUNK = 1 << 14
 #: Parts of a key range, and bytes of stretches that are sorted at once: neighbouring parts up to about that many.
-PARTS, SHARD = 64, 1 << 20
+PARTS, SHARD = 64, 2 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(50).integers(0, 1 << 64, 256, dtype="u8")
 _POWER: dict[str, np.ndarray] = {}
@@ -47,33 +49,38 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWER["p"], _POWER["q"]
 
 
-def anchors(raw: np.ndarray, ends: np.ndarray, skip: np.ndarray):
-    """(start, count, value, document) of runs of strings with one anchor value, of documents not in skip.
-
-    A run is `count` strings of LENGTH that begin one byte after the other in one document.
-    """
-    empty = np.zeros(0, "i8")
-    n = len(raw) - LENGTH + 1
-    if n < 1:
-        return empty, empty, empty.astype("u8"), empty
+def _least(raw: np.ndarray) -> np.ndarray:
+    """The smallest hashed gram in the LENGTH bytes from each byte on, 48 bits each."""
     h, m = _TABLE[raw], 1
-    eight = None
     while m < 16:
-        b = np.uint64(pow(int(_B), m, 1 << 64))
-        h = h[:-m] * b + h[m:]
-        m *= 2
         if m == 8:
             eight = h
-    h = h[: len(h) - 8] * np.uint64(pow(int(_B), 8, 1 << 64)) + eight[16:]
+        g = h[:-m] * np.uint64(pow(int(_B), m, 1 << 64))
+        g += h[m:]
+        h, m = g, 2 * m
+    h = h[: len(h) - 8]
+    h *= np.uint64(pow(int(_B), 8, 1 << 64))
+    h += eight[16:]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
     h >>= np.uint64(16)
-    low, k = h, 1
+    k = 1
     while 2 * k <= WINDOW:
-        low = np.minimum(low[:-k], low[k:])
+        h = np.minimum(h[:-k], h[k:])
         k *= 2
-    low = np.minimum(low[: n], low[WINDOW - k : WINDOW - k + n])
+    return np.minimum(h[: len(h) - (WINDOW - k)], h[WINDOW - k :])
+
+
+def anchors(raw: np.ndarray, ends: np.ndarray, skip: np.ndarray):
+    """(start, count, value, document) of runs of strings with one anchor value, of documents not in skip.
+
+    A run is `count` strings of LENGTH that begin one byte after the other in one document.
+    """
+    empty = np.zeros(0, "i8")
+    n = len(raw) - LENGTH + 1
+    if n < 1:
+        return empty, empty, empty.astype("u8"), empty
+    low = np.concatenate([_least(raw[i : i + CHUNK + LENGTH - 1]) for i in range(0, n, CHUNK)])
     starts = np.append(0, ends[:-1])
     count = np.where(skip, 0, np.maximum(0, ends - starts - LENGTH + 1))
     change = np.zeros(n + 1, "i1")
@@ -223,11 +230,12 @@ def earlier(lengths: np.ndarray, docs: np.ndarray, raw: np.ndarray) -> np.ndarra
     ends2 = np.cumsum(hs + 1)
     begins2 = ends2 - hs - 1
     text = np.zeros(int(ends2[-1]), "u2")
-    to = np.repeat(begins2 - (np.cumsum(hs) - hs), hs) + np.arange(int(hs.sum()))
-    source = np.repeat(begins[heads] - (np.cumsum(hs) - hs), hs) + np.arange(int(hs.sum()))
-    text[to] = raw[source].astype("u2") + 1
+    step = np.arange(int(hs.sum()), dtype="i4")
+    source = raw[np.repeat((begins[heads] - (np.cumsum(hs) - hs)).astype("i4"), hs) + step]
+    text[np.repeat((begins2 - (np.cumsum(hs) - hs)).astype("i4"), hs) + step] = source.astype("u2") + 1
+    del step, source, total
     sa = suffix_order(text, 257, LENGTH)
-    owner = np.searchsorted(ends2, sa, side="right")
+    owner = np.repeat(np.arange(len(heads), dtype="i4"), hs + 1)[sa]
     whole = ends2[owner] - 1 - sa >= LENGTH
     sa, owner = sa[whole], owner[whole]
     same = np.zeros(len(sa), bool)
@@ -339,6 +347,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         return pa.table({"blob": t.column("blob"), "f": pa.array([{"r": r, "n": len(x), "flags": np.packbits(x).tobytes()} for r, x in zip(t.column("r").to_pylist(), done, strict=True)], pa.struct([("r", pa.int32()), ("n", pa.int64()), ("flags", pa.binary())]))})
 
     sent = marked.select("blob", "ids", "ends", "skip", "raw", "masks").mapInArrow(trimmed(send), "r int, blob long, counts binary, docs binary, parts binary, raw binary")
+    sent = sent.repartition(n_ranges, "r")  # as many tasks as ranges, since sorting costs far more than reading
     flags = sent.groupBy("r").applyInArrow(sort, "blob long, f struct<r:int,n:long,flags:binary>").groupBy("blob").agg(F.collect_list("f").alias("flags"))
     flags = materialize(flags, "passages-flags")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept

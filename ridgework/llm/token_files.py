@@ -11,9 +11,11 @@ the bitmap (bit i of byte i // 8), u32 ranks before each block of 512 bits.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -118,6 +120,7 @@ class Coder:
     LIMIT = 400_000
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -138,7 +141,7 @@ class Coder:
         again = new & self.old.keys()
         self.known.update({w: self.old[w] for w in again})
         new -= again
-        names = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        names = [w for w in new if w and w.strip() == w]
         self.known.update(dict.fromkeys(new.difference(names)))
         if not names:
             return
@@ -153,14 +156,17 @@ class Coder:
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as bytes."""
         split = [t.split(" ") for t in texts]
-        self.learn(set().union(*(p[1:] for p in split)))
-        out = []
-        for parts in split:
-            codes = list(map(self.known.__getitem__, parts[1:]))
-            if None in codes or len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
-                out.append(b"".join(map(self.one, merged(parts))))
-            else:
-                out.append((self.one(parts[0]) if parts[0] else b"") + b"".join(codes))
+        self.learn(set().union(*split))
+        at, out = self.known.__getitem__, []
+        firsts = self.t.encode_batch_fast([p[0] for p in split], add_special_tokens=False)
+        for parts, first in zip(split, firsts, strict=True):
+            try:
+                if len(parts) > 1 and not parts[0][-1:].strip():
+                    raise TypeError  # white space meets white space, or the text begins with it
+                code = np.array(first.ids, "<u4").tobytes() + b"".join(map(at, islice(parts, 1, None)))
+            except TypeError:  # a word that can't stand alone has None
+                code = b"".join(map(self.one, merged(parts)))
+            out.append(code)
         return out
 
 

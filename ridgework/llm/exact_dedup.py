@@ -87,9 +87,13 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' own columns."""
-    kept = annotate(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that stay, with docs' own columns.
+
+    Rows with a null id are told apart by their text, so one of them may stay where another goes.
+    """
+    kept = annotate(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"), F.when(F.col(id_col).isNull(), F.col("text_sha256")).alias("_kept_sha")).distinct()
+    sha = F.when(docs[id_col].isNull(), F.sha2(normalised(docs[text_col]), 256))
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]) & sha.eqNullSafe(kept["_kept_sha"]), "left_semi")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,8 +312,8 @@ def remaining(bands: DataFrame, sizes: DataFrame, labels: DataFrame, texts: Data
     return target.unionByName(query).groupBy("band", "key", "tb", "qb").applyInArrow(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, kept), a row per row of docs.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False) -> DataFrame:
+    """(doc_id, class_id, kept[, digest]), a row per row of docs.
 
     class_id is the smallest id of the document's class, the texts reachable by links; equal texts are
     always one class, and kept marks the one that stays. Null and empty texts, and texts without words,
@@ -341,13 +341,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         labels = components(links.union(more))
     by_text = reps.select("th", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("th", F.coalesce("component", "doc_id").alias("class_id"))
     out = sigs.select("doc_id", "th").join(by_text, "th", "left")
-    return out.select(F.col("doc_id").alias(id_col), "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select(F.col("doc_id").alias(id_col), "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), *([F.col("th").alias("digest")] if with_digest else []))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one text of each class, with docs' own columns."""
-    kept = classes(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that stay, one text of each class, with docs' own columns.
+
+    Rows with a null id are told apart by their text, so one of them may stay where another goes.
+    """
+    kept = classes(docs, id_col, text_col, with_digest=True).where("kept").select(F.col(id_col).alias("_kept_id"), F.when(F.col(id_col).isNull(), F.lower(F.hex("digest"))).alias("_kept_sha")).distinct()
+    sha = F.when(docs[id_col].isNull(), F.sha2(text_or_empty(docs[text_col]), 256))
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]) & sha.eqNullSafe(kept["_kept_sha"]), "left_semi")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

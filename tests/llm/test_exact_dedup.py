@@ -49,3 +49,11 @@ def test_chains_of_one_fingerprint(spark, monkeypatch):
     real = exact_dedup.distinct_texts
     monkeypatch.setattr(exact_dedup, "distinct_texts", lambda *a: real(*a).selectExpr("cast(7 as long) as fp", "keep_id", "group_size", "text_sha256"))
     assert sorted(r.chain for r in exact_dedup.build_index(df).collect()) == [0, 1]
+
+
+def test_null_ids_by_text(spark):
+    from ridgework.llm import near_dedup
+
+    df = spark.createDataFrame([(1, "a b"), (None, "a b"), (None, "c d"), (None, None)], "doc_id long, text string")
+    for op in (exact_dedup.deduplicate, near_dedup.deduplicate):
+        assert sorted(map(repr, map(tuple, op(df).collect()))) == sorted(map(repr, [(1, "a b"), (None, "c d"), (None, None)]))

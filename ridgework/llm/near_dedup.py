@@ -211,6 +211,7 @@ def candidates(bands: DataFrame, sizes: DataFrame) -> DataFrame:
     popular = known.groupBy("doc_id").agg(F.sum("size").alias("popular"))
     large = known.where(F.col("size") > SMALL)
     pivots = large.join(popular, "doc_id").groupBy("band", "key").agg(F.max(F.struct("popular", (-F.col("doc_id")).alias("neg"), "sig")).alias("p")).select("band", "key", (-F.col("p.neg")).alias("pivot"), F.col("p.sig").alias("psig"))
+    pivots = materialize(pivots, "near-pivots")  # a side of its own, so that the join can split a hot bucket
     star = large.join(pivots, ["band", "key"]).where("doc_id <> pivot").select("band", F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"), "sig", "psig")
 
     def close(batches):

@@ -158,6 +158,7 @@ def copies(blobs: DataFrame) -> DataFrame:
     """(blob, skip): positions in each blob of documents that equal one with a smaller id."""
     d = blobs.select("blob", F.posexplode(F.arrays_zip("ids", "digests")).alias("k", "d")).select("blob", "k", F.col("d.ids").alias("id"), F.col("d.digests").alias("digest"))
     first = d.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = materialize(first, "passages-copies")  # a side of its own, so that the join can split a hot text
     return d.join(first, "digest").where("id > first").groupBy("blob").agg(F.collect_list("k").alias("skip"))
 
 

@@ -134,19 +134,26 @@ def suffix_order(t: np.ndarray, size: int, depth: int, memory: int = MEMORY) ->
         end = order + length[order]
         h = (total[end] - total[order]) * power[n - order]  # shifted to one exponent
         new = np.append(False, (h[1:] != h[:-1]) | (length[order[1:]] != length[order[:-1]]))
-        name = np.empty(n, "i4")
-        name[order] = np.cumsum(new)
-        rank = name[lms].astype("i8")
-        del power, mixed, total, h, name, length, first, mark, order
-        k, m = 1, len(lms)
-        while rank.max() < m - 1 and 2 * k <= depth + 2:  # each name stands for two characters at least
-            after = np.full(m, -1, "i8")
-            after[: m - k] = rank[k:]
-            key = rank * (m + 1) + after + 1
-            by = np.argsort(key, kind="stable")
-            step = np.append(False, np.diff(key[by]) != 0)
-            rank = np.empty(m, "i8")
-            rank[by] = np.cumsum(step)
+        m = len(lms)
+        at = np.arange(m)
+        place = np.empty(n, "i8")
+        place[order] = np.maximum.accumulate(np.where(np.append(True, new[1:]), at, 0))
+        rank = place[lms]  # where the group of equals begins in the order
+        single = np.append(new[1:], True) & np.append(True, new[1:])
+        place[order] = single
+        open_ = np.flatnonzero(place[lms] == 0)
+        del power, mixed, total, h, place, length, first, mark, order, new, single
+        k = 1
+        while len(open_) and 2 * k <= depth + 2:  # each name stands for two characters at least
+            after = np.where(open_ + k < m, rank[np.minimum(open_ + k, m - 1)], -1)
+            key = rank[open_] * (m + 1) + after + 1
+            by = np.argsort(key)
+            open_, key = open_[by], key[by]
+            r, at = rank[open_], np.arange(len(open_))
+            change = np.append(True, key[1:] != key[:-1])
+            begin = np.maximum.accumulate(np.where(np.append(True, r[1:] != r[:-1]), at, 0))
+            rank[open_] = np.maximum.accumulate(np.where(change, r + at - begin, 0))
+            open_ = open_[~(change & np.append(change[1:], True))]
             k *= 2
-        lms = lms[np.argsort(rank, kind="stable")]
+        lms = lms[np.argsort(rank)]
     return _induce(t, is_s, lms, size, memory)

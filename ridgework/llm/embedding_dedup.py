@@ -286,3 +286,15 @@ def audit(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: links and components of all vectors."""
     return annotate(read(spark, sf_dir, "embeddings"))
+
+
+#: DuckDB: all pairs and their closure.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS n, vec_id AS c FROM v UNION SELECT l.b, r.c FROM reach r JOIN l ON l.a = r.n),
+comp AS (SELECT n, min(c) AS c FROM reach GROUP BY n),
+links AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, c AS component_id, v.vec_id = c AS kept FROM v LEFT JOIN links ON a = v.vec_id JOIN comp ON n = v.vec_id
+"""

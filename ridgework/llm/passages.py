@@ -388,3 +388,19 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: what goes and what stays of every document."""
     return removals(read(spark, sf_dir, "documents"))
+
+
+#: DuckDB: every string of 50 bytes with the smallest document that has it.
+ORACLE = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS e, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, e[p + 1 : p + 50] AS s FROM (SELECT doc_id, e, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+bad AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE m < doc_id),
+bytes AS (SELECT doc_id, p, hex(e[p + 1 : p + 1]) AS x FROM (SELECT doc_id, e, unnest(range(0, n)) AS p FROM d)),
+seen AS (SELECT b.doc_id, b.p, x, max(bad.p) OVER (PARTITION BY b.doc_id ORDER BY b.p) AS last FROM bytes b LEFT JOIN bad ON bad.doc_id = b.doc_id AND bad.p = b.p),
+cut AS (SELECT doc_id, p, x, coalesce(last >= p - 49, false) AS gone FROM seen),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM cut)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (WHERE opens) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone), ''))) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id, n
+"""

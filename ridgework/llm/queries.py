@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_embedding_dedup": embedding_dedup.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
+    "op10_passages": passages.ORACLE,
     "op1_pfair_mix": mixing.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
 }

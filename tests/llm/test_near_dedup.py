@@ -16,7 +16,7 @@ def brute(rows):
         if (t or "") not in first and i is not None:
             first[t or ""] = i
             sets[i] = (h, c)
-    w = np.log1p(len(rows) / np.maximum(df, 1)).astype("f4")
+    w = near.damped_idf(df, len(rows))
     inv, up = defaultdict(list), {i: i for i in sets}
 
     def root(x):

@@ -203,19 +203,19 @@ def _first_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def banded(reps: DataFrame) -> DataFrame:
-    """(band, key, doc_id, sig), BANDS rows per text."""
-    width = 8 * ROWS
-    return reps.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.hex(F.substring("sig", i * (width // 2) + 1, F.lit(width // 2))))).alias("band", "key"), "doc_id", "sig")
+    """(band, key, doc_id), BANDS rows per text; a key is a hash of the band's samples."""
+    width = 4 * ROWS
+    return reps.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring("sig", i * width + 1, F.lit(width))))).alias("band", "key"), "doc_id")
 
 
-def candidates(bands: DataFrame, sizes: DataFrame) -> DataFrame:
+def candidates(members: DataFrame, sigs: DataFrame) -> DataFrame:
     """(a, b): pairs with enough equal samples, from each small bucket all, from each large one those with its pivot.
 
     The pivot of a large bucket is its member whose buckets are the largest in sum, which is the one that
     most others resemble.
     """
-    known = bands.join(sizes, ["band", "key"])
-    popular = known.groupBy("doc_id").agg(F.sum("size").alias("popular"))
+    popular = members.groupBy("doc_id").agg(F.sum("size").alias("popular"))
+    known = members.join(sigs, "doc_id")
     large = known.where(F.col("size") > SMALL)
     pivots = large.join(popular, "doc_id").groupBy("band", "key").agg(F.max(F.struct("popular", (-F.col("doc_id")).alias("neg"), "sig")).alias("p")).select("band", "key", (-F.col("p.neg")).alias("pivot"), F.col("p.sig").alias("psig"))
     pivots = materialize(pivots, "near-pivots")  # a side of its own, so that the join can split a hot bucket
@@ -240,7 +240,7 @@ def candidates(bands: DataFrame, sizes: DataFrame) -> DataFrame:
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-    small = known.where((F.col("size") > 1) & (F.col("size") <= SMALL)).groupBy("band", "key").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
+    small = known.where(F.col("size") <= SMALL).groupBy("band", "key").agg(F.collect_list(F.struct("doc_id", "sig")).alias("members"))
     return star.mapInArrow(trimmed(close), "a long, b long").union(small.select("band", "members").mapInArrow(trimmed(within), "a long, b long")).distinct()
 
 
@@ -270,14 +270,14 @@ def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return both.mapInArrow(trimmed(run), "a long, b long")
 
 
-def remaining(bands: DataFrame, sizes: DataFrame, labels: DataFrame, texts: DataFrame, weights) -> DataFrame:
+def remaining(members: DataFrame, sigs: DataFrame, labels: DataFrame, texts: DataFrame, weights) -> DataFrame:
     """Links of large buckets that the pivots have not shown.
 
     Inside a bucket only a link between two components matters, and one of its ends lies outside the
     bucket's largest component. So the members outside it are compared with all members, in blocks of
     BLOCK by BLOCK, each pair in the first bucket that it shares, until the components meet.
     """
-    large = bands.join(sizes.where(F.col("size") > SMALL), ["band", "key"]).join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    large = members.where(F.col("size") > SMALL).join(sigs, "doc_id").join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     per = large.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
     main = per.groupBy("band", "key").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all")).select("band", "key", F.col("m.c").alias("main"), (F.col("all") - F.col("m.n")).alias("rest")).where("rest > 0")
     rows = large.join(main, ["band", "key"]).withColumn("out", F.col("c") != F.col("main"))
@@ -336,15 +336,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
     reps = materialize(sigs.where("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")), "near-texts")
     bands = banded(reps.where("sig is not null"))
     sizes = materialize(bands.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1"), "near-buckets")
-    pairs = materialize(candidates(bands, sizes), "near-pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(bands.join(sizes.where(F.col("size") > SMALL), ["band", "key"]).select("doc_id")).distinct()
+    members = materialize(bands.join(sizes, ["band", "key"]), "near-members")  # (band, key, doc_id, size) of buckets that are shared
+    sig_of = reps.select("doc_id", "sig")
+    pairs = materialize(candidates(members, sig_of), "near-pairs")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.where(F.col("size") > SMALL).select("doc_id")).distinct()
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     # of rows that repeat an id only the one whose text is compared counts
     wanted = ends.join(reps.select("doc_id", "th"), "doc_id")
     texts = materialize(whole.join(wanted, "doc_id").where(F.sha2("text", 256) == F.lower(F.hex("th"))).select("doc_id", "text").dropDuplicates(["doc_id"]), "near-candidates")
     links = materialize(verified(pairs, texts, weights), "near-links")
     labels = components(links)
-    more = materialize(remaining(bands, sizes, labels, texts, weights), "near-more")
+    more = materialize(remaining(members, sig_of, labels, texts, weights), "near-more")
     if not more.isEmpty():
         labels = components(links.union(more))
     by_text = reps.select("th", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("th", F.coalesce("component", "doc_id").alias("class_id"))

@@ -3,6 +3,8 @@
 A term discloses a protected entity when the corpus says so: with document frequencies df over all N
 documents, PMI(e; t) = ln(N df(e, t) / (df(e) df(t))) is what t tells of e, IC(e) = ln(N / df(e)) is all
 there is to tell, and their ratio is the share that t gives away. It is 1 if t occurs with e alone.
+Frequencies are those of whole documents, base spans blanked, and a disclosing term is marked wherever
+it stands, in documents without the entity too.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ PATTERNS = {
 #: What a text must hold for its pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTETS = r"\A(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|\z)){4}\z"
-#: A term: letters between white space and white space or punctuation, up to CONTEXT characters from the entity.
-TERM = r"(?<=\s)\p{L}{3,}(?=[\s.,;:!?])"
-CONTEXT = 80
+#: A term: a whole run of letters and their marks, of any length, lower-cased for comparison.
+TERM = r"[\p{L}\p{M}]++"
+#: Bits per disclosing term, and bits at most, of the filter that words pass before they are shuffled; it only saves work.
+FILTER_BITS, MOST_BITS = 16, 1 << 27
 #: Disclosure from which a term is generalised, and removed; co-occurrences that make evidence.
 GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 2
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
-SPAN = "struct<s:int,e:int,m:string>"
+SPAN, MARK = "struct<s:int,e:int,m:string>", "struct<s:int,e:int,action:string>"
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -93,62 +96,98 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def blanked(text: Column, base: Column) -> Column:
+    """The text with base spans as spaces, so that places stay; spans may overlap."""
+
+    def step(a, x):
+        start, end = F.greatest(a["at"], x["s"]), F.greatest(a["at"], x["e"])
+        return F.struct(end.alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, start - a["at"]), F.repeat(F.lit(" "), end - start)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.when(F.size(base) > 0, F.aggregate(base, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))).otherwise(text)
+
+
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a blanked text."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, base, contexts) of every document, kept in the shared folder.
+    """(row, doc_id, text, base, entities) of every document, kept in the shared folder.
 
-    contexts: per base span its entity (kind and value, letters lower) and the terms around it.
+    text is blanked; an entity is a kind and a value, letters lower.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     got = src.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
+    entities = F.array_distinct(F.transform("base", lambda x: F.concat(x["k"].cast("string"), F.lit(":"), F.lower(x["m"]))))
+    return materialize(got.select(F.monotonically_increasing_id().alias("row"), "doc_id", blanked(F.col("text"), F.col("base")).alias("text"), "base", entities.alias("entities")), "pii-base")
 
-    def around(x):
-        left_at = F.greatest(x["s"] - CONTEXT, F.lit(0))
-        left = F.substring(F.col("text"), left_at + 1, x["s"] - left_at)
-        right = F.substring(F.col("text"), x["e"] + 1, F.lit(CONTEXT))
-        move = lambda spans, by: F.transform(spans, lambda t: F.struct((t["s"] + by).alias("s"), (t["e"] + by).alias("e"), F.lower(t["m"]).alias("m")))
-        return F.struct(F.concat(x["k"].cast("string"), F.lit(":"), F.lower(x["m"])).alias("entity"), F.concat(move(located(left, TERM), left_at), move(located(right, TERM), x["e"])).alias("terms"))
-
-    rows = got.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.transform("base", around).alias("contexts"))
-    return materialize(rows, "pii-base")
 
-
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+def disclosing(found: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of pairs from GENERALISE on, with frequencies over all documents.
 
-    Counts are combined on the map side; a pair is an entity with a term in its context, so there are at
-    most a few dozen per mention however often either occurs.
+    A pair is an entity with any term of a document that mentions it. Counts are combined on the map
+    side by entity and term, so an entity of any frequency is spread over its terms. Entities of fewer
+    than SUPPORT documents have no pair of that support and go first.
     """
     n = found.count()
-    mention = found.select("row", F.explode("contexts").alias("c")).select("row", "c.entity", "c.terms")
-    of_entity = mention.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    pair = mention.select("row", "entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["m"]))).alias("term")).distinct()
-    pairs = pair.groupBy("entity", "term").agg(F.count("*").alias("df_et")).where(F.col("df_et") >= SUPPORT)
-    pairs = materialize(pairs.join(of_entity, "entity"), "pii-pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
-    of_term = words.groupBy("term").agg(F.count("*").alias("df_t"))
+    mention = found.select("row", F.explode("entities").alias("entity"))
+    of_entity = mention.groupBy("entity").agg(F.count("*").alias("df_e")).where((F.col("df_e") >= SUPPORT) & (F.col("df_e") < n))
+    shared = materialize(mention.join(of_entity, "entity"), "pii-mentions")
+    words = found.where(F.size("entities") > 0).select("row", terms_of(F.col("text")).alias("terms"))
+    pair = shared.join(words, "row").select("entity", "df_e", F.explode("terms").alias("term"))
+    pairs = materialize(pair.groupBy("entity", "df_e", "term").agg(F.count("*").alias("df_et")).where(F.col("df_et") >= SUPPORT), "pii-pairs")
+    of_term = found.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     both = pairs.join(of_term, "term")  # inner, since a semi-join would go below the counts and shuffle every word
     ic = F.log(F.lit(float(n)) / F.col("df_e"))
-    # a word may stand in a context more freely cut than in the text, so its frequency is that of the pair at least
-    pmi = F.log(F.lit(float(n)) * F.col("df_et") / (F.col("df_e") * F.greatest("df_t", "df_et")))
-    return both.where(F.col("df_e") < n).select("entity", "term", (pmi / ic).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    pmi = F.log(F.lit(float(n)) * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
+    return both.select("entity", "term", (pmi / ic).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+
+
+def _maybe(bad: DataFrame) -> Column:
+    """False for terms that are surely not in bad: a hashed bitmap, a value of MOST_BITS at most."""
+    bits = 1 << 10
+    want = FILTER_BITS * bad.count()
+    while bits < min(want, MOST_BITS):
+        bits *= 2
+    at = F.pmod(F.xxhash64("term"), F.lit(bits))
+    filled = bad.select(at.alias("h")).groupBy(F.shiftright("h", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b"))
+    dense = bad.sparkSession.range(bits // 64).join(filled, "id", "left").select(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")).alias("x"))
+    bitmap = dense.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]).alias("bitmap"))
+    word = F.get(materialize(bitmap, "pii-filter").scalar(), F.shiftright(at, 6).cast("int"))
+    return F.getbit(word, F.pmod(at, F.lit(64)).cast("int")) == 1
+
+
+def marked(text: Column, bad: Column) -> Column:
+    """array<struct<s, e, action>> of the terms of a blanked text that bad, term to disclosure, holds."""
+    found, pieces = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    words = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), F.element_at(bad, F.lower(m)).alias("d")))
+
+    def step(a, x):
+        s = a["at"] + x["gap"]
+        e = s + x["n"]
+        action = F.when(x["d"] >= REMOVE, F.lit("removed")).otherwise(F.lit("generalised"))
+        hit = F.array(F.struct(s.alias("s"), e.alias("e"), action.alias("action")))
+        return F.struct(e.alias("at"), F.when(x["d"].isNotNull(), F.concat(a["out"], hit)).otherwise(a["out"]).alias("out"))
+
+    none = F.from_json(F.lit("[]"), f"array<{MARK}>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out")).cast(f"struct<at:int,out:array<{MARK}>>")
+    return F.when(bad.isNotNull(), F.aggregate(words, start, step, lambda a: a["out"])).otherwise(none)
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, terms), a row per row of docs: base spans, and spans of disclosing terms near them.
+    """(doc_id, base, terms), a row per row of docs: base spans, and spans of disclosing terms outside them.
 
-    terms: array<struct<s, e, action>> with action generalised or removed. Null texts count as empty and
-    have no spans, rows that repeat an id are annotated each, and an empty table gives an empty result.
+    terms: array<struct<s, e, action>> with action generalised or removed, of every occurrence in any
+    document; a term that discloses several entities goes by the largest share. Null texts count as empty
+    and have no spans, rows that repeat an id are annotated each, and an empty table gives an empty result.
     """
     found = find(docs, id_col, text_col)
-    bad = disclosing(found, docs, text_col)
-    places = found.select("row", F.explode("contexts").alias("c")).select("row", "c.entity", F.explode("c.terms").alias("t")).select("row", "entity", F.col("t.m").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
-    hits = places.join(bad, ["entity", "term"]).groupBy("row", "s", "e").agg(F.max("disclosure").alias("d"))
-    action = F.when(F.col("d") >= REMOVE, F.lit("removed")).otherwise(F.lit("generalised"))
-    per_row = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "e", action.alias("action")))).alias("terms"))  # CONTEXT bounds them per mention
-    out = found.select("row", "doc_id", "base").join(per_row, "row", "left")
-    empty = F.array().cast("array<struct<s:int,e:int,action:string>>")
-    clear = F.filter(F.coalesce("terms", empty), lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    return out.select(F.col("doc_id").alias(id_col), "base", clear.alias("terms"))
+    bad = materialize(disclosing(found).groupBy("term").agg(F.max("disclosure").alias("d")), "pii-terms")
+    words = found.select("row", F.explode(terms_of(F.col("text"))).alias("term")).where(_maybe(bad))
+    hits = words.join(bad, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("bad"))  # a document's own terms at most
+    out = found.join(hits, "row", "left")
+    return out.select(F.col("doc_id").alias(id_col), "base", marked(F.col("text"), F.col("bad")).alias("terms"))
 
 
 def sanitised(text: Column, base: Column, terms: Column) -> Column:

@@ -68,6 +68,18 @@ def test_disclosing_terms(spark):
     assert "[EMAIL]" in out[0] and "jane" not in out[0] and "Zyxwvut" not in out[0] and out[5] == text[5]
 
 
+def test_terms_of_whole_documents(spark):
+    far = " and so on with words that everybody writes" * 9
+    rows = [(i, f"Zyxwvut{far}, number {i}, jane@x.org" if i < 2 else f"jane@x.org{far}. \u201cZyxwvut\u201d wrote{far} to (zyxwvut)") for i in range(10)]
+    rows += [(10, f"No mail here{far}, but Qqrst."), *((i, f"Somebody else wrote to us{far} at the number {i}") for i in range(11, 400))]
+    rows += [(400 + i, f"Qqrst at tom@y.org{far}") for i in range(30)]
+    df, text = spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
+    hits = {r.doc_id: [(text[r.doc_id][t.s : t.e], t.action) for t in r.terms] for r in pii.annotate(df).collect()}
+    assert all(hits[i] == [("Zyxwvut", "removed")] for i in range(2))  # the first word, far from the mail
+    assert all(hits[i] == [("Zyxwvut", "removed"), ("zyxwvut", "removed")] for i in range(2, 10))
+    assert hits[10] == [("Qqrst", "removed")] and not any(hits[i] for i in range(11, 400))  # a document without the mail
+
+
 def test_odd_rows(odd, none):
     got = pii.annotate(odd)
     assert got.count() == odd.count()

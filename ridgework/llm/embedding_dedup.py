@@ -1,9 +1,10 @@
 """Embedding near-dedup: a robust-pruned flat graph over overlapping cluster shards.
 
 Each distinct vector belongs to the shards of its two nearest centres. A task builds the pruned
-neighbour lists of one shard slice; the lists of a vector from all its shards are united. Queries then
-walk the united graph of every shard near them from its medoids, best first, and go on expanding for as
-long as nodes within the widened range turn up. What they reach is verified by cosine in double
+neighbour lists of one shard slice, with an edge back for every edge, however many meet in one vector;
+the lists of a vector from all its shards are united. Queries then walk the united graph of every shard
+near them, best first, from its medoids and from a vector of each part that no medoid leads to, and go
+on expanding for as long as nodes within the widened range turn up. What they reach is verified by cosine in double
 precision; pairs are counted where they are found and never listed.
 """
 
@@ -24,7 +25,7 @@ THRESHOLD = 0.95
 SAMPLE, MOST_CENTRES, PER_SHARD = 20_000, 8_192, 700
 #: Vectors of one slice of a shard, and queries of one search task.
 SLICE, QUERIES = 2_000, 2_000
-#: Out-degree, pruning factor (on distances), pool for pruning, nodes expanded at least, medoids.
+#: Edges kept by pruning, pruning factor (on distances), pool for pruning, nodes expanded at least, medoids.
 DEGREE, ALPHA, POOL, BEAM, MEDOIDS = 24, 1.2, 96, 40, 8
 #: Nodes of this cosine or more are expanded without end; centres this much farther than the nearest are probed.
 WIDE, MARGIN = 0.88, 0.10
@@ -56,7 +57,10 @@ def centres_of(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 5) -> np
 
 
 def pruned(x: np.ndarray) -> list[np.ndarray]:
-    """Neighbour lists of one slice: of each vector's POOL nearest, those no kept neighbour stands in for."""
+    """Neighbour lists of one slice: of each vector's POOL nearest, those no kept neighbour stands in for, and all edges back.
+
+    A hub's list may be as long as the slice: its copies often have no other edge.
+    """
     m = len(x)
     if m == 1:
         return [np.zeros(0, "i4")]
@@ -81,8 +85,7 @@ def pruned(x: np.ndarray) -> list[np.ndarray]:
     back: list[list[int]] = [[] for _ in range(m)]
     for i, ns in enumerate(out):
         for j in ns:
-            if len(back[j]) < DEGREE:
-                back[j].append(i)
+            back[j].append(i)
     return [np.array(list(dict.fromkeys(a + b)), "i4") for a, b in zip(out, back, strict=True)]
 
 
@@ -96,30 +99,61 @@ def medoids(x: np.ndarray, n: int = MEDOIDS) -> np.ndarray:
     return np.array(at)
 
 
+def seeds(x: np.ndarray, deg: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Where a walk begins: the medoids, and a vector of each part of the graph that they don't lead to."""
+    ends = np.cumsum(deg)
+    start = np.unique(medoids(x)).tolist()  # equal vectors may be one medoid again and again
+    seen = np.zeros(len(x), bool)
+    more = list(start)
+    for i in range(-1, len(x)):
+        if i >= 0:
+            if seen[i]:
+                continue
+            start.append(i)
+            more = [i]
+        seen[more] = True
+        while more:
+            j = more.pop()
+            near = flat[ends[j] - deg[j] : ends[j]]
+            fresh = near[~seen[near]]
+            seen[fresh] = True
+            more.extend(fresh.tolist())
+    return np.array(start)
+
+
+#: Cosines of pairs that a walk takes at once.
+PAIRS = 1 << 14
+
+
 def walk(x: np.ndarray, lists: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Cosines of queries with the nodes that a range-expanding greedy search reaches, -inf elsewhere.
 
     lists: neighbour positions, padded by -1.
     """
     sim = np.full((len(queries), len(x)), -np.inf)
-    start = medoids(x)
+    held = lists >= 0
+    deg, flat = held.sum(axis=1), lists[held]
+    ends = np.cumsum(deg)
+    start = seeds(x, deg, flat)
     sim[:, start] = queries @ x[start].T
+    unseen = np.full(len(queries), len(x) - len(start))
     todo = sim.copy()  # -inf once expanded
     live, expanded = np.arange(len(queries)), 0
     while len(live):
         best = todo[live].argmax(axis=1)
         top = todo[live, best]
-        go = (top > -np.inf) & ((expanded < BEAM) | (top >= WIDE))
+        go = (top > -np.inf) & ((expanded < BEAM) | (top >= WIDE)) & (unseen[live] > 0)
         live, best = live[go], best[go]
         todo[live, best] = -np.inf
-        near = lists[best]
-        r, c = np.nonzero(near >= 0)
-        q, node = live[r], near[r, c]
+        n = deg[best]
+        q = live.repeat(n)
+        node = flat[np.arange(len(q)) + (ends[best] - np.cumsum(n)).repeat(n)]
         new = sim[q, node] == -np.inf
         q, node = q[new], node[new]
-        s = np.einsum("ij,ij->i", queries[q], x[node])
-        sim[q, node] = s
-        todo[q, node] = s
+        for i in range(0, len(q), PAIRS):
+            qi, ni = q[i : i + PAIRS], node[i : i + PAIRS]
+            sim[qi, ni] = todo[qi, ni] = np.einsum("ij,ij->i", queries[qi], x[ni])
+        unseen -= np.bincount(q, minlength=len(queries))
         expanded += 1
     return sim
 
@@ -182,7 +216,7 @@ def _links(reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         return pa.table({"rep": ids, "near": pa.array(lists, pa.list_(pa.int64()))})
 
     lists = held.select("shard", "slice", "rep", "u").groupBy("shard", "slice").applyInArrow(build, "rep long, near array<long>")
-    graph = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # two lists of 2 DEGREE at most
+    graph = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # two lists of a slice's length at most, 2 DEGREE on average
     graph = materialize(graph, "vec-graph")
     asked = placed.select("rep", "mult", "u", "probe", F.explode("probe").alias("shard")).join(F.broadcast(sizes), "shard")
     blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
@@ -212,13 +246,15 @@ def _links(reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         lists = np.full((len(ids), max(1, int(deg.max(initial=0)))), -1, "i4")
         lists[owner, np.arange(len(owner)) - np.repeat(np.cumsum(deg) - deg, deg)] = at
         mult = a.column("mult").to_numpy()[order]
-        owns = [a.column("in_shards")[int(i)].as_py() for i in order]
-        qid, probes = b.column("rep").to_numpy(), b.column("in_shards").to_pylist()
+        first = np.array([min(o) for o in a.column("in_shards").to_pylist()])[order]
+        qid, probes = b.column("rep").to_numpy(), b.column("in_shards").combine_chunks()
+        looks = np.zeros((len(qid), int(max(first.max(), probes.values.to_numpy().max())) + 1), bool)
+        looks[np.repeat(np.arange(len(qid)), np.diff(probes.offsets.to_numpy())), probes.flatten().to_numpy()] = True
         q, node = np.nonzero(walk(x, lists, _vectors(b.column("u"))) >= threshold)
         other = qid[q] != ids[node]
         q, node = q[other], node[other]
         # a pair counts in the first shard where the query looks and the node is
-        ok = np.array([min(s for s in owns[j] if s in probes[i]) == shard for i, j in zip(q.tolist(), node.tolist(), strict=True)], bool)
+        ok = (first[node] == shard) | ~looks[q, first[node]]
         q, node = q[ok], node[ok]
         got = np.bincount(q, weights=mult[node], minlength=len(qid)).astype("i8")
         every = np.unique(np.concatenate([qid[q], ids[node]]))

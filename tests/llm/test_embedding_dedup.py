@@ -47,6 +47,29 @@ def test_groups(spark):
     assert emb.audit(df, every=3) >= 0.99
 
 
+def test_hub(spark):
+    rng = np.random.default_rng(4)
+    hub = emb.unit(rng.normal(size=(1, 256)))[0]
+    noise = rng.normal(size=(1950, 256))
+    noise = emb.unit(noise - np.outer(noise @ hub, hub))
+    rows = [hub, *(0.98 * hub + math.sqrt(1 - 0.98**2) * noise), *rng.normal(size=(300, 256))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in emb.annotate(df).collect()}
+    assert got[0].n_links == 1950 and all(got[i].component_id == 0 for i in range(1951))
+    assert emb.audit(df, every=3) >= 0.999
+
+
+def test_seeds_reach_every_vector():
+    rng = np.random.default_rng(5)
+    x = emb.unit(np.repeat(rng.normal(size=(15, 32)), 100, axis=0) + 0.1 * rng.normal(size=(1500, 32)))
+    lists = emb.pruned(x)
+    padded = np.full((len(x), max(map(len, lists))), -1)
+    for i, a in enumerate(lists):
+        padded[i, : len(a)] = a
+    found = emb.walk(x, padded, x) >= emb.THRESHOLD
+    assert (found == (x @ x.T >= emb.THRESHOLD)).mean() == 1.0
+
+
 def test_odd_rows(spark):
     rows = [(0, None), (1, []), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), (7, [1.0, 0.0]), (8, [float("inf"), 1.0]), (9, [1.0, 0.0, 0.0]), (10, [1e300, 1e-300])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -1,29 +1,29 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Shingles are five words; a text of fewer words is one shingle. A shingle weighs its count in the text
-times 1 + ln(1 + N / df) / ln(1 + N), where df counts the documents of the shingle's slot among SLOTS
-hashed ones, over the whole corpus, so the table of weights has one size for every corpus. The weights
-of a rare and a frequent shingle differ by a factor of two at most, so that samples also find pairs
-that are alike by counts. Two texts are linked if their
+times 1 + ln(1 + N / df) / ln(1 + N), where df counts the documents that hold the shingle (its 64-bit
+hash), over the whole corpus: blocks of documents send their shingles to ranges of hashes, which count
+them and send the frequencies back. The weights of a rare and a frequent shingle differ by a factor of
+two at most, so that samples also find pairs that are alike by counts. Two texts are linked if their
 weighted Jaccard similarity is at least THRESHOLD, by these weights or by counts alone: the second keeps
 near copies together whose few differing shingles are rare. Classes are the connected components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import _slices
 from .common import components, materialize, partitions, read, small_batches, text_or_empty, trimmed
 
 WORDS, THRESHOLD = 5, 0.8
+#: Slots of a weight table for similarity() of texts whose shingles have no weights of their own.
 SLOTS = 1 << 20
+#: Blocks of documents per shuffle partition.
+BLOCKS = 4
 #: Samples per text and per band: 12 bands of 2 let 0.0005 % of pairs of similarity 0.8 slip by, 0.5 % at 0.6.
 SAMPLES, ROWS = 24, 2
 BANDS = SAMPLES // ROWS
@@ -110,37 +110,46 @@ def sampler() -> Sampler:
     return _SAMPLER[0]
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Documents per slot, over all rows: SLOTS numbers, added up in streams of fixed chunks."""
-    chunk = SLOTS // 256
-    names = ["i", "v"]
-
-    def count(batches: Iterator[pa.RecordBatch]):
-        df = np.zeros(SLOTS, "i8")
-        for b in _slices(batches, "text", 8 << 20):
-            for t in b.column("text").fill_null("").to_pylist():
-                s = slot(shingles(t)[0])  # sorted, so equal slots are neighbours
-                if len(s):
-                    df[s[np.concatenate([[True], s[1:] != s[:-1]])]] += 1
-        if df.any():
-            small = df.astype("<i4") if df.max() < 1 << 31 else df
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array([small[i * chunk : (i + 1) * chunk].tobytes() for i in range(256)], pa.binary())], names=names)
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, v in zip(b.column("i").to_pylist(), b.column("v").to_pylist(), strict=True):
-                x = np.frombuffer(v, "<i4" if len(v) == 4 * chunk else "<i8").astype("i8")
-                sums[i] = sums[i] + x if i in sums else x
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=names)
+def _packed(h: np.ndarray) -> bytes:
+    """Sorted hashes as the bytes of their differences, the highest bytes of all first, which compress."""
+    return np.diff(h, prepend=np.uint64(0)).astype(">u8").view("u1").reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(v: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(v, "u1").reshape(8, -1).T).view(">u8").ravel().astype("u8"), dtype="u8")
+
+
+def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(block, doc_id, text): documents dealt by id and text, so that copies under different ids are spread."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return src.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS * partitions(docs.sparkSession))).cast("int").alias("block"), "doc_id", "text")
+
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(trimmed(count), "i int, v binary")
-    rows = parts.repartition(min(256, partitions(docs.sparkSession)), "i").mapInArrow(trimmed(add), "i int, v binary").collect()
-    df = np.zeros(SLOTS, "i8")
-    for r in rows:
-        df[r.i * chunk : (r.i + 1) * chunk] = np.frombuffer(r.v, "<i8")
-    return df
+def document_frequencies(blocks: DataFrame) -> DataFrame:
+    """(block, r, df): for the distinct shingles of a block in range r, by hash, the documents of the corpus that hold each."""
+    bits = max(1, (partitions(blocks.sparkSession) - 1).bit_length())
+    names = ["block", "r", "h", "n"]
+
+    def send(t: pa.Table) -> pa.Table:
+        h, n = np.unique(np.concatenate([shingles(x)[0] for x in t.column("text").to_pylist()]), return_counts=True)
+        ends = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+        rows = [(r, _packed(h[i:j]), n[i:j].astype("<u4").tobytes()) for r, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if j > i]
+        r, hs, ns = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.Table.from_arrays([pa.array([t.column("block")[0].as_py()] * len(r), pa.int32()), pa.array(r, pa.int32()), pa.array(hs, pa.binary()), pa.array(ns, pa.binary())], names=names)
+
+    def answer(t: pa.Table) -> pa.Table:
+        parts = [_unpacked(v) for v in t.column("h").to_pylist()]
+        n = np.concatenate([np.frombuffer(v, "<u4") for v in t.column("n").to_pylist()]).astype("i8")
+        h = np.concatenate(parts)
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]) != 0)
+        df = np.empty(len(h), "<u4")
+        df[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(h))))
+        got = [x.tobytes() for x in np.split(df, np.cumsum([len(x) for x in parts])[:-1])]
+        return pa.Table.from_arrays([t.column("block").combine_chunks(), t.column("r").combine_chunks(), pa.array(got, pa.binary())], names=["block", "r", "df"])
+
+    sent = blocks.groupBy("block").applyInArrow(send, "block int, r int, h binary, n binary")
+    return sent.groupBy("r").applyInArrow(answer, "block int, r int, df binary")
 
 
 def damped_idf(df: np.ndarray, n: int) -> np.ndarray:
@@ -149,47 +158,60 @@ def damped_idf(df: np.ndarray, n: int) -> np.ndarray:
     return (1 + np.log1p(n / np.maximum(df, 1)) / np.log1p(n)).astype("f4")
 
 
-def slot_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The weight of every slot."""
-    return damped_idf(document_frequencies(docs, text_col), docs.count())
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: np.ndarray | tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity, the larger of that by TF-IDF and that by counts.
 
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> float:
-    """Weighted Jaccard similarity, the larger of that by TF-IDF and that by counts."""
+    weights: those of a's and of b's shingles, or one table by slot.
+    """
     (ha, ca), (hb, cb) = a, b
     if not len(ha) or not len(hb):
         return 0.0
+    wa, wb = weights if isinstance(weights, tuple) else (weights[slot(ha)], weights[slot(hb)])
     at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
     same = hb[at] == ha
     low = np.minimum(ca[same], cb[at[same]])
-    w = weights[slot(ha[same])]
     best = 0.0
-    for part, whole in ((float(low.sum()), float(ca.sum() + cb.sum())), (float((low * w).sum()), float((ca * weights[slot(ha)]).sum() + (cb * weights[slot(hb)]).sum()))):
+    for part, whole in ((float(low.sum()), float(ca.sum() + cb.sum())), (float((low * wa[same]).sum()), float((ca * wa).sum() + (cb * wb).sum()))):
         best = max(best, part / (whole - part))
     return best
 
 
-def signatures(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, sig): digest of the exact text and the samples; sig is null for a text without words."""
+def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, th, sig, df): digest of the exact text, the samples and its shingles' frequencies; sig and df are null for a text without words. n counts the documents."""
+    blocks = in_blocks(docs, id_col, text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]):
+    def run(answers: pa.Table, t: pa.Table) -> pa.Table:
         import hashlib
 
-        s, w = sampler(), weights.value
-        for b in _slices(batches, "text", 1 << 20):
-            texts = b.column("text").fill_null("").to_pylist()
-            sets = [shingles(t) for t in texts]
-            some = [i for i, x in enumerate(sets) if len(x[0])]
-            sigs = [None] * len(texts)
-            if some:
-                h, c = (np.concatenate([sets[i][j] for i in some]) for j in (0, 1))
-                starts = np.cumsum([0, *(len(sets[i][0]) for i in some[:-1])])
-                for i, row in zip(some, s.samples(h, c * w[slot(h)], starts), strict=True):
-                    sigs[i] = row.tobytes()
-            digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "th", "sig"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, th binary, sig binary")
+        s, texts = sampler(), t.column("text").to_pylist()
+        sets = [shingles(x) for x in texts]
+        every = np.unique(np.concatenate([x[0] for x in sets])) if sets else np.zeros(0, "u8")
+        by_range = sorted(zip(answers.column("r").to_pylist(), answers.column("df").to_pylist(), strict=True))
+        df_of = np.frombuffer(b"".join(v for _, v in by_range), "<u4")
+        if len(df_of) != len(every):
+            raise RuntimeError("a block's frequencies are not those of its shingles")
+        sigs, dfs = [None] * len(texts), [None] * len(texts)
+        some = [i for i, x in enumerate(sets) if len(x[0])]
+        while some:
+            part, size = [], 0
+            while some and size < 1 << 17:
+                part.append(some.pop())
+                size += len(sets[part[-1]][0])
+            h, c = (np.concatenate([sets[i][j] for i in part]) for j in (0, 1))
+            ends = np.cumsum([len(sets[i][0]) for i in part])
+            df = df_of[np.searchsorted(every, h)]
+            starts = np.concatenate([[0], ends[:-1]])
+            for i, row, x in zip(part, s.samples(h, c * damped_idf(df, n), starts), np.split(df, ends[:-1]), strict=True):
+                sigs[i], dfs[i] = row.tobytes(), x.tobytes()
+        digests = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest() for x in texts]
+        return pa.Table.from_arrays([t.column("doc_id").combine_chunks(), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(dfs, pa.binary())], names=["doc_id", "th", "sig", "df"])
+
+    return document_frequencies(blocks).groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(run, "doc_id long, th binary, sig binary, df binary")
+
+
+def _weighed(text: str, df: bytes | None, n: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """A text's shingles and counts, and the shingles' weights."""
+    return shingles(text), damped_idf(np.frombuffer(df or b"", "<u4"), n)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -244,7 +266,7 @@ def candidates(members: DataFrame, sigs: DataFrame) -> DataFrame:
     return star.mapInArrow(trimmed(close), "a long, b long").union(small.select("band", "members").mapInArrow(trimmed(within), "a long, b long")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar enough.
 
     Each a meets its partners in blocks of about BLOCK: a's text goes once to each block, ahead of theirs,
@@ -252,25 +274,25 @@ def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     """
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
-    left = dealt.select("a", "block").distinct().join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "text")
-    right = dealt.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "block", "b", "text")
+    left = dealt.select("a", "block").distinct().join(texts.select(F.col("doc_id").alias("a"), "text", "df"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "text", "df")
+    right = dealt.join(texts.select(F.col("doc_id").alias("b"), "text", "df"), "b").select("a", "block", "b", "text", "df")
 
     def run(batches):
-        w, at, mine = weights.value, None, None
+        at, mine = None, None
         for b in batches:
             keep = []
-            for a, x, text in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("text"), strict=True):
-                made = shingles(text.as_py())
+            for a, x, text, df in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("text"), b.column("df"), strict=True):
+                made = _weighed(text.as_py(), df.as_py(), n)
                 if x is None:
                     at, mine = a, made
-                keep.append(x is not None and at == a and similarity(mine, made, w) >= THRESHOLD)
+                keep.append(x is not None and at == a and similarity(mine[0], made[0], (mine[1], made[1])) >= THRESHOLD)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = left.union(right).repartition(partitions(pairs.sparkSession), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
     return both.mapInArrow(trimmed(run), "a long, b long")
 
 
-def remaining(members: DataFrame, sigs: DataFrame, labels: DataFrame, texts: DataFrame, weights) -> DataFrame:
+def remaining(members: DataFrame, sigs: DataFrame, labels: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
     """Links of large buckets that the pivots have not shown.
 
     Inside a bucket only a link between two components matters, and one of its ends lies outside the
@@ -283,16 +305,17 @@ def remaining(members: DataFrame, sigs: DataFrame, labels: DataFrame, texts: Dat
     rows = large.join(main, ["band", "key"]).withColumn("out", F.col("c") != F.col("main"))
     rows = rows.join(texts, "doc_id").withColumn("t_blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("q_blocks", F.ceil(F.col("rest") / BLOCK).cast("int"))
     mine = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    cols = ["band", "key", "doc_id", "c", "sig", "text", "out"]
+    cols = ["band", "key", "doc_id", "c", "sig", "text", "df", "out"]
     target = rows.select(*cols, F.lit(False).alias("q"), mine(F.col("t_blocks")).alias("tb"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"))
     query = rows.where("out").select(*cols, F.lit(True).alias("q"), F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("tb"), mine(F.col("q_blocks")).alias("qb"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(table: pa.Table) -> pa.Table:
-        w, band = weights.value, table.column("band")[0].as_py()
+        band = table.column("band")[0].as_py()
         q = np.array(table.column("q").to_pylist())
         ids, comp, out = (table.column(x).to_numpy() for x in ("doc_id", "c", "out"))
         sig, text = _matrix(table.column("sig").combine_chunks()), table.column("text")
+        df = table.column("df")
         t_at, got, made = np.flatnonzero(~q), [], {}
         met: dict[int, int] = {}
 
@@ -303,7 +326,7 @@ def remaining(members: DataFrame, sigs: DataFrame, labels: DataFrame, texts: Dat
 
         def of(i):
             if i not in made:
-                made[i] = shingles(text[i].as_py() or "")
+                made[i] = _weighed(text[i].as_py() or "", df[i].as_py(), n_docs)
             return made[i]
 
         for i in np.flatnonzero(q):
@@ -312,7 +335,8 @@ def remaining(members: DataFrame, sigs: DataFrame, labels: DataFrame, texts: Dat
             for k in np.flatnonzero(ok)[np.argsort(-equal[ok], kind="stable")]:
                 j = t_at[k]
                 x, y = top(int(comp[i])), top(int(comp[j]))
-                if x != y and similarity(of(int(i)), of(int(j)), w) >= THRESHOLD:
+                mine, other = of(int(i)), of(int(j))
+                if x != y and similarity(mine[0], other[0], (mine[1], other[1])) >= THRESHOLD:
                     met[x] = y
                     got.append((int(ids[i]), int(ids[j])))
         return pa.table([pa.array([min(g) for g in got], pa.int64()), pa.array([max(g) for g in got], pa.int64())], schema=schema)
@@ -330,9 +354,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
     their row's class. An empty table gives an empty result. Copies are collapsed before anything is
     compared, hot buckets go by pivot and blocks, and joins on hot keys are left to the skew join.
     """
-    spark = small_batches(docs.sparkSession)
-    weights = spark.sparkContext.broadcast(slot_weights(docs, text_col))  # SLOTS numbers, for any corpus
-    sigs = materialize(signatures(docs, weights, id_col, text_col), "near-signatures")
+    small_batches(docs.sparkSession)
+    n = docs.count()
+    sigs = materialize(signatures(docs, n, id_col, text_col), "near-signatures")
     reps = materialize(sigs.where("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")), "near-texts")
     bands = banded(reps.where("sig is not null"))
     sizes = materialize(bands.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1"), "near-buckets")
@@ -343,10 +367,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     # of rows that repeat an id only the one whose text is compared counts
     wanted = ends.join(reps.select("doc_id", "th"), "doc_id")
-    texts = materialize(whole.join(wanted, "doc_id").where(F.sha2("text", 256) == F.lower(F.hex("th"))).select("doc_id", "text").dropDuplicates(["doc_id"]), "near-candidates")
-    links = materialize(verified(pairs, texts, weights), "near-links")
+    df_of = sigs.where("df is not null").join(wanted.select("th"), "th", "left_semi").groupBy("th").agg(F.first("df").alias("df"))  # equal for equal texts
+    texts = materialize(whole.join(wanted, "doc_id").where(F.sha2("text", 256) == F.lower(F.hex("th"))).select("doc_id", "text", "th").dropDuplicates(["doc_id"]).join(df_of, "th").select("doc_id", "text", "df"), "near-candidates")
+    links = materialize(verified(pairs, texts, n), "near-links")
     labels = components(links)
-    more = materialize(remaining(members, sig_of, labels, texts, weights), "near-more")
+    more = materialize(remaining(members, sig_of, labels, texts, n), "near-more")
     if not more.isEmpty():
         labels = components(links.union(more))
     by_text = reps.select("th", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("th", F.coalesce("component", "doc_id").alias("class_id"))

@@ -74,6 +74,31 @@ def test_samples_estimate_similarity():
     assert abs(np.mean(est) - near.similarity(*sets, w)) < 0.05
 
 
+def test_exact_document_frequencies(spark, docs):
+    some = docs.limit(60).union(docs.limit(5))
+    rows = [r.text or "" for r in some.collect()]
+    want = Counter(x for t in rows for x in near.shingles(t)[0].tolist())
+    got = near.signatures(some, len(rows)).join(some.select("doc_id", "text").distinct(), "doc_id").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        h = near.shingles(r.text or "")[0].tolist()
+        assert np.frombuffer(r.df or b"", "<u4").tolist() == [want[x] for x in h]
+
+
+def test_weights_are_of_shingles_not_slots(spark, monkeypatch):
+    monkeypatch.setattr(near, "slot", lambda h: np.zeros(len(h), "i8"))  # as crowded as the slots of a large corpus
+    tail = " ".join(f"t{i}" for i in range(29))
+    base = [" ".join(f"u{i}" for i in range(104)), " ".join(f"f{i}" for i in range(29))]
+    rows = [(0, " ".join(base)), (1, f"{base[0]} {tail}")]
+    rows += [(2 + i, f"{t} {' '.join(f'r{i}x{j}' for j in range(200))}") for i in range(300) for t in [f"{base[1]} {tail}"]]
+    h = [near.shingles(t) for _, t in rows]
+    df = Counter(x for s, _ in h for x in s.tolist())
+    w = tuple(near.damped_idf(np.array([df[x] for x in s.tolist()]), len(rows)) for s, _ in h[:2])
+    assert near.similarity(*h[:2], (np.ones(len(w[0])), np.ones(len(w[1])))) < near.similarity(*h[:2], w)
+    got = {r.doc_id: (r.sig, np.frombuffer(r.df, "<u4")) for r in near.signatures(spark.createDataFrame(rows, "doc_id long, text string"), len(rows)).collect()}
+    assert all(np.array_equal(near.damped_idf(got[i][1], len(rows)), w[i]) for i in (0, 1))
+
+
 def test_odd_rows(odd, none):
     got = near.classes(odd)
     rows = [(r.doc_id, r.text) for r in odd.collect()]

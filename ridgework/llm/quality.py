@@ -81,6 +81,7 @@ class Model:
         self.b = rng.uniform(0, 2 * math.pi, features)
         self.coef = np.zeros(features + 1)
         self.knots_x, self.knots_y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+        self.fitted = False
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         """The features whose inner products approximate a Gaussian kernel, and a constant."""
@@ -92,7 +93,9 @@ class Model:
         return self.lift(x) @ self.coef
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Calibrated, with a small share of the raw order left inside flat steps."""
+        """Calibrated, with a small share of the raw order left inside flat steps; 0.5 exactly if unfitted."""
+        if not self.fitted:
+            return np.full(len(x), 0.5)
         r = self.raw(x)
         return np.clip(0.98 * np.interp(r, self.knots_x, self.knots_y) + 0.02 * np.clip(r, 0, 1), 0, 1)
 
@@ -151,8 +154,8 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     parts = rows.where(F.col("fold") != CALIBRATE).select("stats", "y").mapInArrow(part, "i int, v binary")
     got = parts.repartition(min(16, partitions(spark)), "i").mapInArrow(add, "i int, v binary").collect()
     if not got:
-        model.knots_y = np.array([0.5, 0.5])
         return model
+    model.fitted = True
     m = np.array([np.frombuffer(r.v) for r in sorted(got, key=lambda r: r.i)])
     n = m[-1, -2]
     model.coef = np.linalg.solve(m[:, :-1] / n + RIDGE * np.eye(len(m)), m[:, -1] / n)

@@ -29,6 +29,13 @@ def test_odd_rows(spark, odd, none, data):
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
 
+def test_without_labels_every_row_stays(spark, odd):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    for none in (labels.limit(0), labels.where(quality.remainder() == quality.HELD_OUT)):
+        assert {r.score for r in quality.scored(odd, none).collect()} == {0.5}
+        assert quality.accepted(odd, none).count() == odd.count()
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.arange(5.0), np.array([0, 3, 1, 2, 5.0]), np.array([5, 5, 5, 5, 5.0]))
     assert (np.diff(y) > 0).all() and len(y) == 3

@@ -3,7 +3,8 @@
 A string of LENGTH bytes is filed under the smallest of the hashed grams in it, its anchor, so equal
 strings always meet in one key range. A first exchange finds the anchors that two documents share; only
 stretches around shared ones are then sent to the range of their anchor, where a shard of stretches is
-suffix-sorted by external induced sorting and neighbours in that order are compared by their bytes.
+suffix-sorted by external induced sorting, and neighbours in that order whose common prefix has LENGTH
+bytes hold the same string. Hashes only choose candidates: stretches of one hash are compared byte by byte.
 
 Texts are packed into blobs once, in a table bucketed by blob. What goes back from the ranges are bits
 per blob, so texts never move again.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, read, small_batches, table_path, trimmed
-from .induced import suffix_order
+from .induced import Store, suffix_order
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
@@ -32,6 +34,8 @@ BLOB = 1 << 19
 CHUNK = 1 << 14
 #: Parts of a key range, and bytes of stretches that are sorted at once: neighbouring parts up to about that many.
 PARTS, SHARD = 64, 2 << 20
+#: Bytes of documents per key range, so that what a task holds at once doesn't follow the corpus.
+RANGE_BYTES = 32 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(50).integers(0, 1 << 64, 256, dtype="u8")
 _POWER: dict[str, np.ndarray] = {}
@@ -179,6 +183,31 @@ def _rows(batches: Iterator[pa.RecordBatch], *more: str):
             yield b.column("blob")[i].as_py(), ids, ends, _skips(ends, b.column("skip")[i].as_py()), raw, *(b.column(c)[i].as_py() for c in more)
 
 
+def _alike(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether raw[a : a + size] equals raw[b : b + size], pair by pair, all bytes compared; size is 8 at least."""
+    words = np.ndarray((max(0, len(raw) - 7),), "<u8", np.ascontiguousarray(raw), strides=(1,))
+    out = np.ones(len(a), bool)
+    n = (size + 7) // 8
+    ends = np.cumsum(n)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CHUNK)))
+        m = n[i:j]
+        pair = np.repeat(np.arange(i, j), m)
+        at = np.minimum(8 * (np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)), size[pair] - 8)
+        out[pair[words[a[pair] + at] != words[b[pair] + at]]] = False
+        i = j
+    return out
+
+
+def _distinct_stretches(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, content: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which places of an order by size and hash begin a new stretch: one of other bytes than the one before."""
+    new = np.append(True, (size[order][1:] != size[order][:-1]) | (content[order][1:] != content[order][:-1]))[: len(order)]
+    k = np.flatnonzero(~new)
+    new[k] = ~_alike(raw, begin[order[k]], begin[order[k - 1]], size[order[k]])
+    return new
+
+
 def stretches(ids, ends, skip, raw, masks):
     """The stretches of a blob around shared anchors.
 
@@ -200,15 +229,15 @@ def stretches(ids, ends, skip, raw, masks):
     np.cumsum(_TABLE[raw] * p[: len(raw)], out=total[1:])
     content = (total[start + count + LENGTH - 1] - total[start]) * q[start]
     order = np.lexsort((ids[doc], content, count, value))
-    v, c, h = value[order], count[order], content[order]
-    first = np.append(True, (v[1:] != v[:-1]) | (c[1:] != c[:-1]) | (h[1:] != h[:-1]))
+    v = value[order]
+    first = _distinct_stretches(raw, start, count + LENGTH - 1, content, order) | np.append(True, v[1:] != v[:-1])
     number = np.empty(len(order), "i8")
     number[order] = np.cumsum(first) - 1
     heads = order[first]
     return (start, count, doc, number), (value[heads], heads, count[heads])
 
 
-def earlier(lengths: np.ndarray, docs: np.ndarray, raw: np.ndarray) -> np.ndarray:
+def earlier(lengths: np.ndarray, docs: np.ndarray, raw: np.ndarray, store: Store | None = None) -> np.ndarray:
     """Per string of every stretch: whether it occurs in a stretch of a smaller document id.
 
     Stretch i holds lengths[i] strings of document docs[i]; raw has the stretches one after the other.
@@ -222,7 +251,7 @@ def earlier(lengths: np.ndarray, docs: np.ndarray, raw: np.ndarray) -> np.ndarra
     np.cumsum(_TABLE[raw] * p[: len(raw)], out=total[1:])
     content = (total[ends] - total[begins]) * q[begins]
     order = np.lexsort((docs, content, lengths))
-    new = np.append(True, (lengths[order][1:] != lengths[order][:-1]) | (content[order][1:] != content[order][:-1]))
+    new = _distinct_stretches(raw, begins, size, content, order)
     number = np.empty(len(order), "i8")
     number[order] = np.cumsum(new) - 1
     heads = order[new]
@@ -235,17 +264,13 @@ def earlier(lengths: np.ndarray, docs: np.ndarray, raw: np.ndarray) -> np.ndarra
     source = raw[np.repeat((begins[heads] - (np.cumsum(hs) - hs)).astype("i4"), hs) + step]
     text[np.repeat((begins2 - (np.cumsum(hs) - hs)).astype("i4"), hs) + step] = source.astype("u2") + 1
     del step, source, total
-    sa = suffix_order(text, 257, LENGTH)
+    sa, common = suffix_order(text, 257, LENGTH, store)
+    group = np.cumsum(common < LENGTH, dtype="i4")
     owner = np.repeat(np.arange(len(heads), dtype="i4"), hs + 1)[sa]
     whole = ends2[owner] - 1 - sa >= LENGTH
-    sa, owner = sa[whole], owner[whole]
-    same = np.zeros(len(sa), bool)
-    view = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
-    for i in range(1, len(sa), 1 << 16):
-        j = min(len(sa), i + (1 << 16))
-        same[i:j] = (view[sa[i:j]] == view[sa[i - 1 : j - 1]]).all(axis=1)
-    group = np.flatnonzero(~same)
-    least = np.minimum.reduceat(docs[heads][owner], group)[np.cumsum(~same) - 1]
+    sa, owner, group = sa[whole], owner[whole], group[whole]  # a suffix of fewer bytes is alone in its group
+    first = np.append(True, group[1:] != group[:-1])
+    least = np.minimum.reduceat(docs[heads][owner], np.flatnonzero(first))[np.cumsum(first) - 1]
     of = np.empty(int(ends2[-1]), "i8")
     of[sa] = least
     # back to every stretch: string j of stretch i is string j of its distinct one
@@ -253,6 +278,12 @@ def earlier(lengths: np.ndarray, docs: np.ndarray, raw: np.ndarray) -> np.ndarra
     return of[base + np.arange(int(lengths.sum()))] < np.repeat(docs, lengths)
 
 
+def scratch(spark: SparkSession) -> str | None:
+    """A folder in the shared one for the files of sorts beyond their memory bound, if that is a mounted path."""
+    place = urlparse(table_path(spark, "passages-sort"))
+    return place.path if place.scheme in ("", "file") else None
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), a row per row of docs.
 
@@ -260,11 +291,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     smaller id, in the input; matches stay inside documents and overlaps count. Null texts are empty.
     A null id is larger than any other; rows that repeat an id are no earlier than one another. An empty
     table gives an empty result. Any string may be in any number of documents: a blob sends each stretch
-    once, and ranges hold hashed anchors, so no key gathers rows.
+    once, and ranges hold hashed anchors, so no key gathers rows. Columns of docs other than the two are
+    not read, so their names don't matter; ties among equal texts go by id alone.
     """
     spark = small_batches(docs.sparkSession)
     blobs = pack(docs, id_col, text_col)
-    n_ranges = 2 * partitions(spark)
+    held = blobs.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
+    n_ranges = max(2 * partitions(spark), -(-held // RANGE_BYTES))
+    folder = scratch(spark)
     skip = copies(blobs)
     with_skip = blobs.join(skip, "blob", "left")
 
@@ -337,7 +371,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             if rows:
                 cs = [counts[i][first[i, p] : first[i, e]] for i in rows]
                 raw = np.concatenate([np.frombuffer(raws[i], "u1")[begin[i][first[i, p]] : begin[i][first[i, e]]] for i in rows])
-                flags = earlier(np.concatenate(cs), np.concatenate([docs_[i][first[i, p] : first[i, e]] for i in rows]), raw)
+                flags = earlier(np.concatenate(cs), np.concatenate([docs_[i][first[i, p] : first[i, e]] for i in rows]), raw, Store(folder=folder))
                 at = 0
                 for i, c in zip(rows, cs, strict=True):
                     m = int(c.sum())

@@ -1,11 +1,11 @@
 import hashlib
 import random
+from itertools import pairwise
 
 import numpy as np
 import pytest
 
-from ridgework.llm import passages
-from ridgework.llm.induced import suffix_order
+from ridgework.llm import induced, passages
 
 
 def brute(rows):
@@ -48,7 +48,7 @@ def test_shared_passages(spark, monkeypatch, blob):
 
 
 def test_odd_rows(spark, odd, none):
-    check(odd.withColumn("text", passages.F.substring("text", 1, 3000)))
+    check(odd)
     assert passages.removals(none).count() == 0
 
 
@@ -59,9 +59,69 @@ def test_lengths(spark):
     assert kept == {1: t.encode(), 2: b"xy"}
 
 
-def test_suffix_order():
+def shares(a, b, depth):
+    return next((k for k in range(min(len(a), len(b), depth)) if a[k] != b[k]), min(len(a), len(b), depth))
+
+
+@pytest.mark.parametrize(("batch", "step"), [(8, 7), (64, 100), (1 << 14, 1 << 21)])
+def test_suffix_order(monkeypatch, tmp_path, batch, step):
+    monkeypatch.setattr(induced, "BATCH", batch)
+    monkeypatch.setattr(induced, "STEP", step)
     rng = np.random.default_rng(3)
-    for trial in range(300):
-        t = rng.integers(0, int(rng.integers(2, 6)), int(rng.integers(0, 90)))
-        s = t.tolist()
-        assert suffix_order(t, 6, 200, 64 if trial % 3 == 0 else 1 << 20).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+    for trial in range(200):
+        size, n = int(rng.integers(1, 8)), int(rng.integers(0, 110))
+        t = rng.integers(0, size, n)
+        if trial % 4 == 0:
+            t = np.repeat(t, rng.integers(1, 9, n))[:150]
+        elif trial % 4 == 1:
+            t = np.tile(t[: n // 5], 6)
+        depth, s, n = [200, 50, 6, 3][trial % 3], t.tolist(), len(t)
+        order, common = induced.suffix_order(t.astype("u2"), size + 1, depth, induced.Store([1 << 30, 200][trial % 2], str(tmp_path)))
+        assert sorted(order.tolist()) == list(range(n))
+        assert [s[i : i + depth] for i in order] == sorted(s[i : i + depth] for i in range(n))
+        assert common[1:].tolist() == [shares(s[i:], s[j:], depth) for i, j in pairwise(order.tolist())]
+
+
+def test_far_beyond_memory(tmp_path):
+    """A text of 400,000 characters within 64 KB of arrays in memory: the rest is in files."""
+    rng = np.random.default_rng(7)
+    words = [rng.integers(1, 256, int(rng.integers(2, 9))) for _ in range(900)]
+    t = np.concatenate([words[i] for i in rng.zipf(1.3, 80_000) % 900])[:400_000].astype("u2")
+    store = induced.Store(1 << 16, str(tmp_path))
+    order, common = induced.suffix_order(t, 257, 50, store)
+    assert store.spilled > 200 * store.memory and store.held <= store.memory
+    assert not list(tmp_path.iterdir())  # the files have no names
+    view = np.lib.stride_tricks.sliding_window_view(np.append(t, np.zeros(50, "u2")), 50)
+    a, b = view[order[:-1]], view[order[1:]]
+    differs = a != b
+    at = np.where(differs.any(axis=1), differs.argmax(axis=1), 50)
+    low = np.arange(len(at))
+    assert ((at == 50) | (a[low, at % 50] < b[low, at % 50])).all()
+    n = len(t) - np.maximum(order[:-1], order[1:])
+    assert (common[1:] == np.minimum(at, n)).all()
+    with pytest.raises(MemoryError):
+        induced.suffix_order(t, 257, 50, induced.Store(1 << 16))
+
+
+def collision():
+    """Two texts without a common string of 50 bytes whose parts agree in any polynomial hash modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << 11)]
+    block = ["a", "n"]
+    x = "".join(block[b] for b in bits)
+    y = "".join(block[1 - b] for b in bits)
+    return x, y
+
+
+def test_hash_collisions_are_not_equal(spark):
+    x, y = collision()
+    raw = np.frombuffer((x + y).encode(), "u1")
+    half = len(x)
+    p, q = passages._powers(len(raw) + 1)
+    total = np.append(np.zeros(1, "u8"), np.cumsum(passages._TABLE[raw] * p[: len(raw)]))
+    assert (total[half] - total[0]) * q[0] == (total[2 * half] - total[half]) * q[half]  # the hashes are equal, the texts aren't
+    strings = np.array([half - passages.LENGTH + 1] * 2)
+    truth = {x[i : i + 50] for i in range(half - 49)}
+    want = [False] * int(strings[0]) + [y[i : i + 50] in truth for i in range(half - 49)]
+    assert passages.earlier(strings, np.array([1, 2]), raw).tolist() == want
+    pad = "".join(chr(97 + (i * i * 7 + i) % 26) for i in range(60))
+    check(spark.createDataFrame([(1, pad + x + pad), (2, pad + y + pad)], "doc_id long, text string"))

@@ -275,10 +275,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str | int, most: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that column holds about `most` bytes, long rows alone."""
     for b in batches:
-        c = b.column(column)
+        c = b.columns[column] if isinstance(column, int) else b.column(column)
         if not b.num_rows:
             continue
         size = np.asarray(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False), "int64")
@@ -302,20 +302,26 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids
 
     def run(batches):
         enc = encoder(path)
-        for b in _slices(batches, "__text", 4 << 20):
-            codes = [enc.encode_bytes(t) for t in (b.column("__text").fill_null("")).to_pylist()]
+        for b in _slices(batches, -1, 4 << 20):  # the text is the last column; names may clash
+            codes = [enc.encode_bytes(t) for t in (b.column(b.num_columns - 1).fill_null("")).to_pylist()]
             ends = np.cumsum([0, *(len(c) // 4 for c in codes)], dtype="int64")
             ids = pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(np.frombuffer(b"".join(codes), "<i4")))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), ids], names=[*rest, ids_col])
         if not keep_cache:
             enc.forget()
 
-    return docs.select(*rest, F.col(text_col).alias("__text")).mapInArrow(trimmed(run), schema)
+    text = next(c for c in map("text{}".format, ["", *range(len(rest))]) if c.lower() not in {x.lower() for x in rest})
+    return docs.select(*rest, F.col(text_col).alias(text)).mapInArrow(trimmed(run), schema)
 
 
 def decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """docs with the bytes that its ids stand for; null ids give empty bytes. A map without a shuffle."""
+    """docs with the bytes that its ids stand for; null ids give empty bytes. A map without a shuffle.
+
+    Rows and their other columns stay, repeated ones too; a column named bytes_col is replaced, and an
+    empty table gives an empty result.
+    """
     path = path or public_tokenizers.path(RANKS)
+    docs = docs.drop(bytes_col)
     schema, names = docs.withColumn(bytes_col, F.lit(b"")).schema, [*docs.columns, bytes_col]
 
     def run(batches):

@@ -63,11 +63,11 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
     blocks of block_rows; block k of a source takes the source's k-th slot. mix_pos numbers all rows
     from 0 in slot order. Up to the first slot of a source that has no rows left, every prefix holds each
     source's target share to less than one block; after that the source's slots stay empty and the
-    others go on in proportion.
+    others go on in proportion. Of rows that repeat an id any may come first.
 
     Sources without an entry, null ones too, form the stream OTHER, which has one part unless weights
     give it more, so no row is left out. Null ids come first in their source, rows that repeat an id stand next to each other, empty tables give empty results, and
-    columns named mix_* are replaced. Ranks come from counts per (source, digest range) plus a row number
+    columns named mix_stream, mix_slot and mix_pos are replaced; all others go through unchanged, whatever their names. Ranks come from counts per (source, digest range) plus a row number
     inside each range, so a source with a third of all rows is spread over as many tasks as there are.
     """
     spark = docs.sparkSession
@@ -78,29 +78,29 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
     stream = F.when(src.isin(*[s for s in names if s != OTHER]), src).otherwise(F.lit(OTHER))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     keep = [c for c in docs.columns if c not in ("mix_stream", "mix_slot", "mix_pos")]
-    rows = docs.select(*keep, stream.alias("mix_stream"), key.alias("__key")).withColumn("__range", F.substring("__key", 1, width))
-    narrow = docs.select(stream.alias("mix_stream"), F.substring(key, 1, width).alias("__range"))
-    counts = narrow.groupBy("mix_stream", "__range").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("mix_stream").orderBy("__range")) - F.col("__n")
-    base = counts.select("mix_stream", "__range", before.alias("__before"))  # 16**width rows a source at most
-    sizes = {r.mix_stream: r.n for r in counts.groupBy("mix_stream").agg(F.sum("__n").alias("n")).collect()}  # a row per configured source
-    number = F.row_number().over(Window.partitionBy("mix_stream", "__range").orderBy("__key", F.col(id_col).asc_nulls_first())) - 1
-    ranked = rows.withColumn("__in", number).join(base, ["mix_stream", "__range"]).withColumn("__rank", F.col("__before") + F.col("__in"))
+    # docs' own columns travel in one struct, so that no name here can clash with theirs
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), stream.alias("stream"), key.alias("key"), F.col(id_col).alias("id")).withColumn("range", F.substring("key", 1, width))
+    narrow = docs.select(stream.alias("stream"), F.substring(key, 1, width).alias("range"))
+    counts = narrow.groupBy("stream", "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("stream").orderBy("range")) - F.col("n")
+    base = counts.select("stream", "range", before.alias("before"))  # 16**width rows a source at most
+    sizes = {r.stream: r.n for r in counts.groupBy("stream").agg(F.sum("n").alias("n")).collect()}  # a row per configured source
+    number = F.row_number().over(Window.partitionBy("stream", "range").orderBy("key", F.col("id").asc_nulls_first())) - 1
+    ranked = rows.withColumn("inside", number).join(base, ["stream", "range"]).withColumn("rank", F.col("before") + F.col("inside"))
     # the period as a map from stream to its slots; per slot, the blocks of each stream before it
     of = {s: [t for t, x in enumerate(slots) if x == s] for s in names}
     lit_slots = F.create_map(*chain.from_iterable((F.lit(s), F.array(*map(F.lit, of[s]))) for s in names))
     n_of = F.create_map(*chain.from_iterable((F.lit(s), F.lit(parts[s])) for s in names))
-    block = F.expr(f"__rank div {block_rows}")
-    n = n_of[F.col("mix_stream")]
-    slot = F.floor(block / n).cast("long") * total + F.element_at(lit_slots[F.col("mix_stream")], (block % n).cast("int") + 1)
-    ranked = ranked.withColumn("mix_slot", slot)
+    block = F.expr(f"rank div {block_rows}")
+    n = n_of[F.col("stream")]
+    slot = F.floor(block / n).cast("long") * total + F.element_at(lit_slots[F.col("stream")], (block % n).cast("int") + 1)
     counted = _done(spark, slots, names)
-    placed = ranked.withColumn("__t", (F.col("mix_slot") % total).cast("int")).join(F.broadcast(counted), "__t")  # at most MOST_PARTS rows
-    cycle = F.expr(f"mix_slot div {total}")
-    quota = F.zip_with(F.array(*[F.lit(parts[s]) for s in names]), F.col("__done"), lambda p, d: (cycle * p + d) * block_rows)
+    placed = ranked.withColumn("slot", slot).withColumn("t", (F.col("slot") % total).cast("int")).join(F.broadcast(counted), "t")  # at most MOST_PARTS rows
+    cycle = F.expr(f"slot div {total}")
+    quota = F.zip_with(F.array(*[F.lit(parts[s]) for s in names]), F.col("done"), lambda p, d: (cycle * p + d) * block_rows)
     held = F.zip_with(quota, F.array(*[F.lit(int(sizes.get(s, 0))) for s in names]), lambda q, c: F.least(q, c.cast("long")))
-    pos = F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x) + F.col("__rank") % block_rows
-    return placed.select(*keep, "mix_stream", "mix_slot", pos.alias("mix_pos"))
+    pos = F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x) + F.col("rank") % block_rows
+    return placed.select("row.*", F.col("stream").alias("mix_stream"), F.col("slot").alias("mix_slot"), pos.alias("mix_pos"))
 
 
 def _done(spark: SparkSession, slots: list[str], names: list[str]) -> DataFrame:
@@ -109,7 +109,7 @@ def _done(spark: SparkSession, slots: list[str], names: list[str]) -> DataFrame:
     for t, s in enumerate(slots):
         rows.append((t, list(done)))
         done[at[s]] += 1
-    return spark.createDataFrame(rows, "__t int, __done array<int>")
+    return spark.createDataFrame(rows, "t int, done array<int>")
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,9 @@ def test_odd_rows(odd, none):
     assert got.columns == [*[c for c in odd.columns if c not in ("text", "ids")], "ids", "decoded"]
     want = sorted((r.doc_id is None, r.doc_id or 0, (r.text or "").encode()) for r in odd.collect())
     assert sorted((r.doc_id is None, r.doc_id or 0, bytes(r.decoded)) for r in got.collect()) == want
-    assert bpe.encode(none).count() == 0
+    rest = [c for c in odd.columns if c not in ("text", "ids")]
+    assert sorted(map(repr, got.select(*rest).collect())) == sorted(map(repr, odd.select(*rest).collect()))
+    assert bpe.encode(none).count() == 0 and bpe.decode(bpe.encode(none)).count() == 0
 
 
 def test_query(spark, data, docs):

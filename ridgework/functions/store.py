@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder made for a local session that has none."""
+    """spark.checkpoint.dir, or a folder made for a local session that has none; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             found = got.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="ridgework-")
             spark.sparkContext.setCheckpointDir(found)

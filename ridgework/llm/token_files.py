@@ -15,11 +15,12 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,65 +109,176 @@ class Segment:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+_ALNUM, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_SPACE[[*range(9, 14), *range(28, 33)]] = True
+#: How byte-level vocabularies write bytes: 33 to 126, 161 to 172 and 174 to 255 as themselves, the others from 256 on. Zero stands for a line end, and line ends stay.
+_VISIBLE = dict(zip((b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)), range(256, 512), strict=False))
+_VISIBLE |= {0: _VISIBLE[10], 10: 10}
+#: First bytes in UTF-8 of all white space beyond ASCII.
+_WIDE = np.array([0xC2, 0xE1, 0xE2, 0xE3], "u1")
+
+
 class Coder:
-    """A library tokenizer that encodes the new words of a batch of texts in one call.
+    """A library tokenizer that encodes the new pieces of a batch of texts in one call.
 
-    known has the ids of " " + word, as bytes, or None where white space at the word's border keeps it
-    from standing alone. It and the generation before it hold LIMIT words each at most.
+    Texts are cut at spaces, before a full stop or comma after a Latin letter or digit, and around a line
+    end between two characters that are not white space: a pre-token ends at each of these. The ids of LIMIT
+    pieces at most are kept, in arrays. A text in which one of these places is no such border is cut at
+    lone spaces only.
     """
 
-    #: A white-space run that is one token and stands between words in that call.
+    #: Marks of pieces without a space before them and of a text's end, and the ids of that end and of a piece that can't stand alone.
+    GLUED, LINE, END, STOP, BAD = "\1", "\2", "\3", 0xFFFFFFFE, 0xFFFFFFFF
+    #: A white-space run that is one token and stands between words in one call.
     GAP = "\n\n"
-    LIMIT = 400_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.gap = np.frombuffer(self.one(self.GAP), "<u4")
-        self.known: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
+        self.gap, self.line = (np.frombuffer(self.one(x), "<u4") for x in (self.GAP, "\n"))
+        self.bad = np.array([self.BAD], "<u4").tobytes()
+        # the library's model alone, for pieces of letters: one pre-token each, so that its pattern needn't run
+        self.model = Tokenizer(self.t.model)
+        self.model.pre_tokenizer = CharDelimiterSplit("\n")
+        probe = ["Probe", "\u00e9t\u00e9", "\u0101", "x"]
+        if self.t.normalizer is not None or self.letters(probe, " ") != self.joined(probe, " ", self.GAP, self.gap) or self.letters(probe, "") != self.joined(probe, "", "\n", self.line):
+            self.model = None
+        self.forget()
+
+    def forget(self, keep: np.ndarray | None = None) -> None:
+        """Keep only some of the known pieces: their names, ids one after the other, where these begin, how many, and whether they were met since the last time."""
+        if keep is None:
+            self.names, self.flat = pa.array([], pa.large_string()), np.zeros(0, "<u4")
+            self.start, self.size, self.met = np.zeros(0, "i8"), np.zeros(0, "i4"), np.zeros(0, bool)
+            return
+        size = self.size[keep]
+        begin = np.cumsum(size, dtype="i8") - size
+        self.flat = self.flat[np.repeat(self.start[keep] - begin, size) + np.arange(int(size.sum()))]
+        self.names, self.start, self.size, self.met = self.names.take(pa.array(keep)), begin, size, np.zeros(len(keep), bool)
 
     def one(self, text: str) -> bytes:
         return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Make words known."""
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > self.LIMIT:
-            self.known, self.old = {}, self.known
-            new = words
-        again = new & self.old.keys()
-        self.known.update({w: self.old[w] for w in again})
-        new -= again
-        names = [w for w in new if w and w.strip() == w]
-        self.known.update(dict.fromkeys(new.difference(names)))
+    def joined(self, names: list[str], lead: str, between: str, gap: np.ndarray) -> list[bytes]:
+        """The ids of each of lead + name, by one call with `between` between names."""
         if not names:
-            return
-        raw = self.one(" " + (self.GAP + " ").join(names))
-        gaps = np.flatnonzero(np.frombuffer(raw, "<u4") == self.gap[0])
-        if len(self.gap) == 1 and len(gaps) == len(names) - 1:
-            starts, ends = [0, *(4 * gaps + 4).tolist()], [*(4 * gaps).tolist(), len(raw)]
-            self.known.update(zip(names, [raw[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
-        else:  # a word holds the gap itself
-            self.known.update({w: self.one(" " + w) for w in names})
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts, as bytes."""
-        split = [t.split(" ") for t in texts]
-        self.learn(set().union(*split))
-        at, out = self.known.__getitem__, []
-        firsts = self.t.encode_batch_fast([p[0] for p in split], add_special_tokens=False)
-        for parts, first in zip(split, firsts, strict=True):
-            try:
-                if len(parts) > 1 and not parts[0][-1:].strip():
-                    raise TypeError  # white space meets white space, or the text begins with it
-                code = np.array(first.ids, "<u4").tobytes() + b"".join(map(at, islice(parts, 1, None)))
-            except TypeError:  # a word that can't stand alone has None
-                code = b"".join(map(self.one, merged(parts)))
-            out.append(code)
+            return []
+        raw = self.one(lead + (between + lead).join(names))
+        gaps = np.flatnonzero(np.frombuffer(raw, "<u4") == gap[0])
+        if len(gap) != 1 or len(gaps) != len(names) - 1:  # a name holds the gap itself
+            return [self.one(lead + w) for w in names]
+        starts, ends = [0, *(4 * gaps + 4).tolist()], [*(4 * gaps).tolist(), len(raw)]
+        return [raw[i:j] for i, j in zip(starts, ends, strict=True)]
+
+    def letters(self, names: list[str], lead: str) -> list[bytes]:
+        """joined() of names that hold Latin letters only."""
+        if not names:
+            return []
+        text = (lead + f"\n\0\n{lead}".join(names)).encode().decode("latin-1").translate(_VISIBLE)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        raw, gaps = ids.tobytes(), np.flatnonzero(ids == self.line[0])
+        starts, ends = [0, *(4 * gaps + 4).tolist()], [*(4 * gaps).tolist(), len(raw)]
+        return [raw[i:j] for i, j in zip(starts, ends, strict=True)]
+
+    def all_of(self, names: list[str], lead: str, between: str, gap: np.ndarray):
+        """(name, ids of lead + name) of all names."""
+        if self.model is None:
+            return zip(names, self.joined(names, lead, between, gap), strict=True)
+        plain = [w for w in names if w.isalpha() and max(w) < "\u0250"]
+        rest = list(set(names).difference(plain))
+        return chain(zip(plain, self.letters(plain, lead), strict=True), zip(rest, self.joined(rest, lead, between, gap), strict=True))
+
+    def learn(self, names: pa.Array) -> None:
+        """Make pieces known that aren't."""
+        new = names.to_pylist()
+        words = [w for w in new if w and w.strip() == w and w[0] > self.END]
+        lines = [w[1:] for w in new if w[:1] == self.LINE and w[1:].strip() == w[1:] != ""]
+        known = dict.fromkeys(new, self.bad)
+        known.update(self.all_of(words, " ", self.GAP, self.gap))
+        known.update((self.LINE + w, code) for w, code in self.all_of(lines, "", "\n", self.line))
+        known.update((w, self.one(w[1:])) for w in new if w[:1] == self.GLUED and (w[1:].strip() == w[1:] or w[1:] == "\n"))
+        known |= {self.END: np.array([self.STOP], "<u4").tobytes(), self.LINE: b""}
+        codes = [known[w] for w in new]
+        size = np.fromiter(map(len, codes), "i4", len(codes)) // 4
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(size, dtype="i8") - size)
+        self.size, self.met = np.append(self.size, size), np.append(self.met, np.ones(len(new), bool))
+        self.flat = np.append(self.flat, np.frombuffer(b"".join(codes), "<u4"))
+        self.names = pa.concat_arrays([self.names, names])
+
+    def places(self, names: pa.Array) -> np.ndarray:
+        """Where distinct pieces are among the known ones, new ones included."""
+        if len(self.names) + len(names) > self.LIMIT:
+            met = np.flatnonzero(self.met)
+            self.forget(met if len(met) + len(names) < self.LIMIT // 2 else met[len(met) - self.LIMIT // 4 :])
+        at = pc.index_in(names, value_set=self.names)
+        fresh = names.filter(at.is_null())
+        old = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        self.met[old[old >= 0]] = True
+        if len(fresh):
+            old[old < 0] = len(self.names) + np.arange(len(fresh))
+            self.learn(fresh)
+        return old
+
+    @staticmethod
+    def unsafe(raw: np.ndarray) -> np.ndarray:
+        """Places of a full stop, comma or line end, in UTF-8, that may be no border; zero bytes stand around texts."""
+        raw = np.concatenate([np.zeros(3, "u1"), raw, np.zeros(1, "u1")])
+        stops, ends = np.flatnonzero((raw == 46) | (raw == 44)), np.flatnonzero(raw == 10)
+        b, lead = raw[stops - 1], raw[stops - 2]
+        latin = (b >= 128) & (lead >= 0xC3) & (lead <= 0xC8) & ~((lead == 0xC3) & ((b == 0x97) | (b == 0xB7)))
+        plain = _ALNUM[b] | latin
+        b, nxt = raw[ends - 1], raw[ends + 1]
+        space = _SPACE[b] | _SPACE[nxt] | np.isin(nxt, _WIDE) | ((b >= 128) & (np.isin(raw[ends - 2], _WIDE) | np.isin(raw[ends - 3], _WIDE)))
+        marks = np.flatnonzero((raw > 0) & (raw < 4))
+        return np.concatenate([stops[~plain], ends[space], marks]) - 3
+
+    def slow(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that are cut at lone spaces only, or not at all if a special token is in them."""
+        out = []
+        for t in texts:
+            if any(x in t for x in self.special):
+                out.append(self.one(t))
+                continue
+            parts = merged(t.split(" "))
+            new = list(set(parts))
+            ids = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            out.append(b"".join(map(ids.__getitem__, parts)))
+        return out
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts."""
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        begin = np.cumsum([0, *(len(r) + 1 for r in raws)])
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(begin, self.unsafe(np.frombuffer(b"\0".join(raws), "u1")), side="right") - 1] = True
+        del raws
+        for x in self.special:
+            odd |= np.array([x in t for t in texts], bool)
+        clear = np.flatnonzero(~odd).tolist()
+        marked = "".join(f"{self.LINE}{texts[i]} {self.END} " for i in clear)
+        marked = marked.replace(".", f" {self.GLUED}.").replace(",", f" {self.GLUED},").replace("\n", f" {self.GLUED}\n {self.LINE}")
+        pieces = pc.split_pattern(pa.array([marked[:-1]], pa.large_string()), " ").values.dictionary_encode()
+        del marked
+        where = self.places(pieces.dictionary)[pieces.indices.to_numpy()] if clear else np.zeros(0, "i4")
+        size = self.size[where]
+        at = np.repeat((self.start[where] - (np.cumsum(size, dtype="i8") - size)).astype("i4"), size)
+        at += np.arange(len(at), dtype="i4")
+        ids = self.flat[at]
+        del pieces, where, size, at
+        ends = np.flatnonzero(ids == self.STOP)
+        odd[np.array(clear, "i8")[np.searchsorted(ends, np.flatnonzero(ids == self.BAD))]] = True
+        out, at = [None] * len(texts), 0
+        for i, e in zip(clear, ends.tolist(), strict=True):
+            out[i], at = ids[at:e], e + 1
+        rest = np.flatnonzero(odd).tolist()
+        for i, code in zip(rest, self.slow([texts[i] for i in rest]), strict=True):
+            out[i] = np.frombuffer(code, "<u4")
         return out
 
 
@@ -184,12 +296,12 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str,
     """(key_range, doc_id, ids) with ids as the bytes of unsigned 16-bit or, where one needs it, 32-bit integers after a width byte."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        c, end, bounds = coder(path), np.array([end_id], "<u4").tobytes(), np.array(cuts, "i8")
-        for b in _slices(batches, "text", 2 << 20):
-            out = []
-            for code in c.texts(b.column("text").fill_null("").to_pylist()):
-                ids = np.frombuffer(code + end, "<u4")
-                out.append(b"\2" + ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\4" + ids.tobytes())
+        c, bounds = coder(path), np.array(cuts, "i8")
+        ends = {t: np.array([end_id], t).tobytes() for t in ("<u2", "<u4") if end_id < 65536 or t == "<u4"}
+        for b in _slices(batches, "text", 8 << 20):
+            codes = c.batch(b.column("text").fill_null("").to_pylist())
+            kind, mark = ("<u2", b"\2") if end_id < 65536 and max((int(x.max(initial=0)) for x in codes), default=0) < 65536 else ("<u4", b"\4")
+            out = [mark + x.astype(kind).tobytes() + ends[kind] for x in codes]
             doc = b.column("doc_id")
             at = np.searchsorted(bounds, doc.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right")
             yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), doc, pa.array(out, pa.binary())], names=["key_range", "doc_id", "ids"])
@@ -208,7 +320,8 @@ def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int =
     described above, before the ids of its range that precede it; null texts are empty and null ids come first. Ranges of ids, cut at quantiles so
     that each is about one shuffle partition, make the order: texts are encoded where they are read and
     only ids are shuffled. A heavily repeated id makes its range larger; a range is written segment by
-    segment, so memory does not follow it.
+    segment, so memory does not follow it. Rows that repeat an id are written each, in any order among
+    themselves; other columns are not read, so their names don't matter; an empty table gives no segments.
     """
     spark = small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path(TOKENIZER)
@@ -268,6 +381,18 @@ def documents_of(spark: SparkSession, out: str) -> DataFrame:
     return rows.mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def token_at(spark: SparkSession, out: str, i: int) -> int:
+    """Id i of the whole corpus: the sizes beside the segments say which one holds it, and only that one is read."""
+    files = spark.read.parquet(out)
+    starts = files.select("key_range", "segment", "before", "n_ids").join(F.broadcast(offsets(files)), "key_range")
+    base = F.col("start") + F.col("before")
+    at = starts.where((base <= i) & (F.lit(i) < base + F.col("n_ids"))).select("key_range", "segment", (F.lit(i) - base).alias("k")).first()
+    if at is None:
+        raise IndexError(i)
+    row = files.where((F.col("key_range") == at.key_range) & (F.col("segment") == at.segment)).select("payload").first()
+    return Segment(row.payload)[at.k]
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: write every document's ids, read the files back."""
     out = table_path(spark, "token-files")

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -25,11 +26,28 @@ def test_segment_access():
         assert s.slice(a, b).tolist() == ids[a:b].tolist()
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet=list("ab 's\n\té,.1 ll  re日本!? \x1c"), max_size=50), max_size=5))
+PARTS = [*"ab 's\n\té,.1!?_\x00\x01\x02\x03\x1c\x85\u2028²×", "  re", "日本", ".\n", "\n\n", ", ", "ab", "end.\nNext", "<|endoftext|>", " <|endoftext|> "]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=25).map("".join), max_size=5))
 def test_coder_is_the_library(texts):
     c = token_files.coder(public_tokenizers.path(token_files.TOKENIZER))
-    assert [np.frombuffer(x, "<u4").tolist() for x in c.texts(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in c.batch(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_special_tokens_are_the_library_s():
+    c = token_files.coder(public_tokenizers.path(token_files.TOKENIZER))
+    assert [x.tolist() for x in c.batch(["a <|endoftext|> b", ""])] == [[64, 220, 50256, 275], []]
+
+
+def test_cache_is_bounded(monkeypatch, docs):
+    monkeypatch.setattr(token_files.Coder, "LIMIT", 300)
+    c = token_files.Coder(public_tokenizers.path(token_files.TOKENIZER))
+    texts = [r.text or "" for r in docs.limit(60).collect()]
+    for i in range(0, 60, 7):
+        assert [x.tolist() for x in c.batch(texts[i : i + 7])] == [e.ids for e in LIBRARY.encode_batch(texts[i : i + 7], add_special_tokens=False)]
+        assert len(c.names) <= max(300, len(set("".join(texts[i : i + 7]).split(" "))) * 2)
 
 
 def check(spark, docs, **more):
@@ -60,3 +78,13 @@ def test_odd_rows(spark, odd, none):
 
 def test_small_segments(spark, docs, monkeypatch):
     check(spark, docs.limit(40), ranges=1)
+
+
+def test_token_at(spark, docs):
+    out, few = table_path(spark, "files"), docs.limit(30)
+    token_files.write(few, out, ranges=3)
+    want = [i for r in few.orderBy("doc_id").collect() for i in [*LIBRARY.encode(r.text or "", add_special_tokens=False).ids, token_files.END_ID]]
+    for i in [0, 1, len(want) // 3, len(want) // 2, len(want) - 1]:
+        assert token_files.token_at(spark, out, i) == want[i]
+    with pytest.raises(IndexError):
+        token_files.token_at(spark, out, len(want))

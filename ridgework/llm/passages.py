@@ -96,7 +96,9 @@ def anchors(raw: np.ndarray, ends: np.ndarray, skip: np.ndarray):
     new[1:] &= ~valid[:-1] | (low[1:] != low[:-1])
     at = np.flatnonzero(new)
     stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True)) + 1
-    return at, stop - at, low[at], np.searchsorted(ends, at, side="right")
+    # least values crowd together at the low end: spread them, one to one, so that ranges are alike
+    value = (low[at] * _B) & np.uint64((1 << 48) - 1)
+    return at, stop - at, value, np.searchsorted(ends, at, side="right")
 
 
 def _planes(v: np.ndarray) -> bytes:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,3 +48,10 @@ def materialize(df: DataFrame, name: str, *, with_path: bool = False):
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     return (back, path) if with_path else back
+
+
+def materialize_counting(df: DataFrame, name: str, what: Column) -> tuple[DataFrame, int]:
+    """materialize(), and for how many rows `what` holds, counted while they are written."""
+    seen = Observation()
+    back = materialize(df.observe(seen, F.count_if(what).alias("n")), name)
+    return back, seen.get["n"]

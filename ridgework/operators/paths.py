@@ -2,139 +2,94 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgework.functions import ids
 from ridgework.functions.store import materialize
+from ridgework.operators import forest
 
-MOST_STEPS = 100_000
 
+def _nodes(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Nodes of each leg as a list, in order."""
+    return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda e: e["node"]).alias(name))
 
-#: Nodes of a tree that is sent to the tasks whole, as four arrays; a larger one is walked by joins.
-LOCAL_NODES = 1_000_000
 
+def ancestors(tree: DataFrame, starts: DataFrame) -> DataFrame:
+    """(up, start, pos, node): the way from each start to its root, pos 0 the start itself."""
+    rank = forest.ranked(tree)
+    legs = starts.select("up", F.col("start")).distinct().join(rank.select("up", F.col("node").alias("start"), (F.col("depth") + 1).alias("n")), ["up", "start"]).withColumn("node", F.col("start"))
+    return forest.expanded(forest.jumps(tree), legs, ["start"])
 
-def _walk_local(tree: DataFrame, starts: DataFrame) -> DataFrame:
-    spark = tree.sparkSession
-    t = tree.select("up", "node", "next", "s").toPandas()
-    held = spark.sparkContext.broadcast({(bool(u), int(n)): (None if pd.isna(x) else int(x), None if pd.isna(s) else int(s)) for u, n, x, s in zip(t["up"], t["node"], t["next"].astype(object), t["s"].astype(object), strict=True)})
-    names = ["up", "start", "pos", "node", "s", "next"]
 
-    def run(batches):
-        at = held.value
-        for b in batches:
-            rows = []
-            for u, start in zip(b.column("up").to_pylist(), b.column("start").to_pylist(), strict=True):
-                node, pos = start, 0
-                while (got := at.get((u, node))) is not None:
-                    rows.append((u, start, pos, node, got[1], got[0]))
-                    if got[0] is None:
-                        break
-                    node, pos = got[0], pos + 1
-                if len(rows) > 100_000:
-                    yield _batch(rows, names)
-                    rows = []
-            if rows:
-                yield _batch(rows, names)
-
-    return starts.select("up", "start").distinct().mapInArrow(run, "up boolean, start long, pos int, node long, s long, next long")
-
-
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = (pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
-def ancestors(tree: DataFrame, starts: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
-    """(up, start, pos, node, s, next): the way from each start to its root, pos 0 the start itself.
-
-    s is the saddle towards the next node. A tree of up to local_nodes is sent to the tasks; beyond that
-    one frontier join per step, which starts at their root leave.
-    """
-    if tree.count() <= local_nodes:
-        return _walk_local(tree, starts)
-    t = tree.select("up", "node", "next", F.col("s"))
-    front = materialize(starts.select("up", F.col("start"), F.col("start").alias("node")).distinct().join(t, ["up", "node"]).withColumn("pos", F.lit(0)), "way")
-    parts = [front]
-    for d in range(1, MOST_STEPS):
-        step = front.where("next is not null").select("up", "start", F.col("next").alias("node")).join(t, ["up", "node"]).withColumn("pos", F.lit(d))
-        front = materialize(step, "way")
-        if front.isEmpty():
-            break
-        parts.append(front)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("up", "start", "pos", "node", "s", "next")
-
-
-def between(anc: DataFrame, tasks: DataFrame) -> DataFrame:
+def between(tree: DataFrame, tasks: DataFrame) -> DataFrame:
     """(up, p, target, left, right): nodes of the way from p, and from target, to the first common one.
 
     tasks: (up, p, target). Both lists end with the node where they meet; without one, or without a
-    target, each goes on to its root.
+    target, each goes on to its root. The meeting point is found on doubled pointers, so only nodes
+    of the result are ever written.
     """
+    rank, table = forest.ranked(tree), forest.jumps(tree)
     k = tasks.select("up", "p", "target").distinct()
-    a = k.join(anc.select("up", F.col("start").alias("p"), F.col("pos").alias("i"), "node"), ["up", "p"])
-    b = k.join(anc.select("up", F.col("start").alias("target"), F.col("pos").alias("j"), "node"), ["up", "target"])
-    meet = a.join(b, ["up", "p", "target", "node"]).groupBy("up", "p", "target").agg(F.min("i").alias("i1"), F.min("j").alias("j1"))
-
-    def side(x: DataFrame, pos: str, end: str, name: str) -> DataFrame:
-        y = x.join(meet.select("up", "p", "target", end), ["up", "p", "target"], "left").where(F.col(end).isNull() | (F.col(pos) <= F.col(end)))
-        return y.groupBy("up", "p", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, "node"))), lambda e: e["node"]).alias(name))
-
-    free = k.where("target is null").select("up", "p").join(anc.select("up", F.col("start").alias("p"), F.col("pos").alias("i"), "node"), ["up", "p"])
-    alone = free.groupBy("up", "p").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "node"))), lambda e: e["node"]).alias("left")).select("up", "p", F.lit(None).cast("long").alias("target"), "left", F.lit(None).cast("array<bigint>").alias("right"))
-    both = side(a, "i", "i1", "left").join(side(b, "j", "j1", "right"), ["up", "p", "target"])
-    return both.unionByName(alone)
-
-
-def pruned(anc: DataFrame, keys: DataFrame) -> DataFrame:
+    met = forest.meets(table, rank, k.where("target is not null").select("up", F.col("p").alias("a"), F.col("target").alias("b")))
+    met = materialize(met.select("up", F.col("a").alias("p"), F.col("b").alias("target"), "i", "j"), "way-meets")
+    depth = lambda c: rank.select("up", F.col("node").alias(c), (F.col("depth") + 1).alias(f"n_{c}"))
+    x = k.join(met, ["up", "p", "target"], "left").join(depth("p"), ["up", "p"]).join(depth("target"), ["up", "target"], "left")
+    sides = F.array(F.struct(F.lit("left").alias("side"), F.col("p").alias("node"), F.coalesce(F.col("i") + 1, F.col("n_p")).alias("n")), F.struct(F.lit("right").alias("side"), F.col("target").alias("node"), F.coalesce(F.col("j") + 1, F.col("n_target")).alias("n")))
+    legs = x.select("up", "p", "target", F.explode(sides).alias("l")).select("up", "p", "target", "l.*").where("node is not null and n is not null")
+    lists = _nodes(forest.expanded(table, legs, ["p", "target", "side"]), ["up", "p", "target", "side"], "nodes")
+    pick = lambda side: F.max(F.when(F.col("side") == side, F.col("nodes"))).alias(side)
+    return lists.groupBy("up", "p", "target").agg(pick("left"), pick("right")).select("up", "p", "target", "left", "right").where("left is not null and (target is null or right is not null)")
+
+
+def pruned(tree: DataFrame, keys: DataFrame) -> DataFrame:
     """(up, src, dst, interim): the tree cut down to key nodes, roots and the junctions between them.
 
-    anc holds the ways of the key nodes; interim alternates saddle, node, saddle.
+    interim alternates saddle, node, saddle. Nodes in use are the keys and all that lies rootwards of
+    them; every other node in use belongs to one leg, between the next kept nodes on either side.
     """
-    used = anc.select("up", "node", "next", "s").distinct()
-    joins = used.where("next is not null").groupBy("up", F.col("next").alias("node")).agg(F.count("*").alias("n")).where("n >= 2").select("up", "node")
-    keep = materialize(joins.union(keys.select("up", "node")).union(used.where("next is null").select("up", "node")).distinct(), "keep")
-    way = anc.join(keys.select("up", F.col("node").alias("start")).distinct(), ["up", "start"]).join(keep.withColumn("kept", F.lit(True)), ["up", "node"], "left")
-    # along each way: the stretch from one kept node to the next
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("up", "start").orderBy("pos")
-    way = way.withColumn("leg", F.sum(F.when(F.col("kept"), 1).otherwise(0)).over(w)).where("leg > 0")
-    legs = way.groupBy("up", "start", "leg").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "s", "next"))).alias("l"))
-    last = F.element_at("l", -1)
-    out = legs.where(last["next"].isNotNull()).select("up", F.col("l")[0]["node"].alias("src"), last["next"].alias("dst"), F.flatten(F.transform("l", lambda e: F.when(e["pos"] == F.col("l")[0]["pos"], F.array(e["s"])).otherwise(F.array(e["node"], e["s"])))).alias("interim"))
-    return out.distinct()
+    used = materialize(keys.select("up", "node").distinct().join(tree.select("up", "node"), ["up", "node"], "left_semi"), "pruned-used")
+    near, far = forest.jumps(tree)
+    used = used.join(near, ["up", "node"]).select("up", F.explode("way").alias("node")).distinct()
+    for t in far:
+        used = materialize(used.union(used.join(t, ["up", "node"]).select("up", F.col("next").alias("node"))).distinct(), "pruned-used")
+    way = tree.select("up", "node", "next", "s").join(used, ["up", "node"], "left_semi")
+    joins = way.where("next is not null").groupBy("up", F.col("next").alias("node")).agg(F.count("*").alias("n")).where("n >= 2").select("up", "node")
+    roots = way.where("next is null").select("up", "node")
+    keep = joins.union(keys.select("up", "node")).union(roots).distinct().withColumn("kept", F.lit(True))
+    way = materialize(way.join(keep, ["up", "node"], "left"), "pruned-way")
+    # each node that isn't kept points rootwards; the last one before a kept node names the leg
+    stops = way.select("up", F.col("node").alias("next"), F.col("kept").alias("stop"))
+    ptr = way.where("next is not null").join(stops, ["up", "next"], "left").select("up", "node", "next", "s", "kept", F.when(F.col("stop").isNull(), F.col("next")).alias("on"))
+    ptr = materialize(ptr, "pruned-ptr")
+    leg = forest.ranked(ptr.select("up", "node", F.col("on").alias("next")))
+    # a kept node begins its own leg, which ends at the leg of the node that it points to
+    x = ptr.join(leg, ["up", "node"]).groupBy("up", "root").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("k"), "node", "s", "next"))).alias("l"))
+    l0 = F.col("l")[0]
+    return x.select("up", l0["node"].alias("src"), F.element_at("l", -1)["next"].alias("dst"), F.flatten(F.transform("l", lambda e: F.when(e["k"] == l0["k"], F.array(e["s"])).otherwise(F.array(e["node"], e["s"])))).alias("interim"))
 
 
 def traces(split: DataFrame, nxt: DataFrame) -> DataFrame:
     """(x, y, seq, up, trace, cells): the cells from a saddle to where its lead ends.
 
-    cells begins with the saddle; a last element without x says that the way leaves the data. One join
-    per cell of the longest way, of the ways that are still open.
+    cells begins with the saddle; a last element without x says that the way leaves the data. Ways are
+    found on pointers doubled over the cells; a cell of a result is written once.
     """
-    cell = F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))
+    place = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     gone = F.struct(F.lit(None).cast("int").alias("x"), F.lit(None).cast("int").alias("y"))
-    ends = nxt["ends"]
-    step_of = nxt["next"].select(F.col("x").alias("cx"), F.col("y").alias("cy"), "up", "nx", "ny")
-    off = ends.where("class = 'indeterminate'").select(F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(True).alias("off"))
-    front = split.select("x", "y", "seq", "up", "trace", F.col("bx").alias("cx"), F.col("by").alias("cy"), F.array(F.struct("x", "y"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))).alias("cells"))
-    parts = []
-    for _ in range(MOST_STEPS):
-        y = materialize(front.join(step_of, ["cx", "cy", "up"], "left").join(off, ["cx", "cy"], "left"), "trace")
-        parts.append(y.where("nx is null").select("x", "y", "seq", "up", "trace", F.when(F.col("off"), F.concat("cells", F.array(gone))).otherwise(F.col("cells")).alias("cells")))
-        front = y.where("nx is not null").select("x", "y", "seq", "up", "trace", F.col("nx").alias("cx"), F.col("ny").alias("cy"), F.concat("cells", F.array(F.struct(F.col("nx").alias("x"), F.col("ny").alias("y")))).alias("cells"))
-        if front.isEmpty():
-            break
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    steps = nxt["next"].select("up", place("x", "y").alias("node"), place("nx", "ny").alias("next"))
+    off = nxt["ends"].where("class = 'indeterminate'").select(place("x", "y").alias("root"), F.lit(True).alias("off"))
+    ends = nxt["ends"].select(F.explode(F.array(F.lit(True), F.lit(False))).alias("up"), place("x", "y").alias("node")).join(steps.select("up", "node"), ["up", "node"], "left_anti")
+    ptr = materialize(steps.union(ends.select("up", "node", F.lit(None).cast(steps.schema["next"].dataType))), "trace-ptr")
+    rank = forest.ranked(ptr)
+    ids = ["x", "y", "seq", "trace"]
+    first = split.select(*ids, "up", place("bx", "by").alias("node")).join(rank, ["up", "node"]).join(off, "root", "left")
+    first = materialize(first.select(*ids, "up", "node", (F.col("depth") + 1).alias("n"), "off"), "trace-first")
+    way = _nodes(forest.expanded(forest.jumps(ptr), first, ids), [*ids, "up"], "way")
+    out = first.select(*ids, "up", "off").join(way, [*ids, "up"])
+    whole = F.concat(F.array(F.struct("x", "y")), "way", F.when(F.col("off"), F.array(gone)).otherwise(F.array().cast("array<struct<x:int,y:int>>")))
+    return out.select("x", "y", "seq", "up", "trace", whole.alias("cells"))
 
 
 def hops(edges: DataFrame, tr: DataFrame) -> DataFrame:
@@ -178,40 +133,25 @@ def trim(z: Column, level: Column, up: Column) -> Column:
     return F.when((n > 1) & (F.size(at) > 0), (n - 1 - i) + part).otherwise(F.lit(-1.0))
 
 
-def _meet(seeds: list[list]) -> list[list]:
-    """Advance all traces in turn, each one node a turn, until each has met another or left the data."""
-    way = [list(c) for c in seeds]  # the whole chain of each, None last
-    here = [2] * len(way)  # nodes taken so far: the saddle and its first node
-    done: set[int] = set()
-    path = lambda t: way[t][: here[t]]
-    while len(done) < len(way):
-        for t in range(len(way)):
-            head = way[t][here[t] - 1]
-            if head is None:
-                done.add(t)
-            if t in done:
-                continue
-            hit = None
-            for o in range(len(way)):
-                if o == t or head not in path(o):
-                    continue
-                if way[o][here[o] - 1] == head and o in done:
-                    continue  # that one has its partner here; this is the odd one out
-                hit = o
-                break
-            if hit is None:
-                here[t] += 1
-                continue
-            if hit in done:
-                end = way[hit][here[hit] - 1]
-                partner = next((o for o in done if o != hit and end is not None and way[o][here[o] - 1] == end), None)
-                if partner is not None:
-                    done.discard(partner)
-            else:
-                done.add(hit)
-            here[hit] = way[hit].index(head) + 1
-            done.add(t)
-    return [path(t) for t in range(len(way))]
+def settled(seeds: list[list]) -> list[list]:
+    """Where each trace of a domain ends, as the part of it that is left.
+
+    Traces (a saddle, then nodes of the tree towards its root, None last) run over one tree, so from the
+    first common node on two are the same. At every node, those farthest from the root first, the traces
+    that are still running and come together there close off in pairs, in order of their steps so far
+    and then of the seeds; an odd one runs on. One that closes with no other leaves the data.
+    """
+    visits: dict[int, list] = {}
+    for t, way in enumerate(seeds):
+        for step, node in enumerate(way[1:-1], 1):
+            visits.setdefault(node, []).append((step, t))
+    meetings = [(max(len(seeds[t]) - step for step, t in v), node) for node, v in visits.items() if len(v) > 1]
+    stop = [len(way) for way in seeds]
+    for _, node in sorted(meetings, reverse=True):
+        running = sorted(v for v in visits[node] if stop[v[1]] == len(seeds[v[1]]))
+        for step, t in running[: len(running) // 2 * 2]:
+            stop[t] = step + 1
+    return [way[:n] for way, n in zip(seeds, stop, strict=True)]
 
 
 def domains(rel: DataFrame, edges: DataFrame, other_anc: DataFrame) -> DataFrame:
@@ -235,7 +175,7 @@ def domains(rel: DataFrame, edges: DataFrame, other_anc: DataFrame) -> DataFrame
         for b in batches:
             out = []
             for seeds in b.column("seeds").to_pylist():
-                lines = _meet([[v["s"], *v["chain"], None] for v in seeds])
+                lines = settled([[v["s"], *v["chain"], None] for v in seeds])
                 out.append([[-1 if v is None else v for v in ln] for ln in lines])
             yield pa.RecordBatch.from_arrays([b.column("up"), b.column("p"), pa.array(out, pa.list_(pa.list_(pa.int64())))], names=["up", "p", "lines"])
 

@@ -3,25 +3,25 @@
 Everything is said for the up direction; down is the same on negated keys. The drop of a peak is its
 height over its key saddle; a peak is notable if its drop reaches the cutoff.
 
-Networks of up to LOCAL_EDGES edges a direction are solved in one task per direction. Larger ones are
-contracted by rounds of joins: every component merges over its highest saddle into the higher component
-behind it, all at once, so the number of components falls by a factor each round and only ids move.
+Networks are contracted by rounds of joins: every component merges over its highest saddle into the higher
+component behind it, all at once, and only ids move. Each round merges something, so the rounds end; the
+last LAST connections are merged in one task a direction, whatever the network's size was.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgework.functions import ids
-from ridgework.functions.store import materialize
-
-LOCAL_EDGES = 1_000_000
-MOST_ROUNDS = 200
+from ridgework.functions.store import materialize, materialize_counting
+from ridgework.operators import forest
 
-FACT = "up boolean, p long, s long, q_own long, q_far long, min_bound boolean"
-GRAPH = "up boolean, a long, b long, s long, ka {k}, kb {k}, ks {k}, tag_a int, tag_b int"
+#: Connections between components, of both directions, that are left to one task each at the end.
+LAST = 2000
 KEY = "struct<z:double,iso:int,x:int,seq:int>"
 
 
@@ -38,91 +38,75 @@ def graph(e: DataFrame) -> DataFrame:
     return g.where("a is null or b is null or a <> b")
 
 
-def _contract_local(rows: list[tuple]) -> list[tuple]:
-    """Facts (p, s, q_own, q_far, min_bound) of edges (ks, s, a, b, ca, cb, keys...) between components.
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What facts() says of the last components: saddles from the highest down, the lower of two peaks ends there.
 
-    Saddles are taken from the highest down. Of two free components the one with the lower peak ends
-    there; a saddle off the data, or one behind which a stuck lower component lies, stops a component.
+    A component that reaches the edge of the data, or a higher one that did, has no key saddle in the data.
     """
-    top: dict[int, tuple] = {}
-    parent: dict[int, int] = {}
-    for _, _, a, b, ca, cb, pa, pb in rows:
-        for c, k in ((ca, pa), (cb, pb)):
-            if c is not None:
-                top[c], parent[c] = k, c
-
-    def root(c):
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
+    key = lambda v: tuple(v[x] for x in ("z", "iso", "x", "seq"))
+    number = lambda v: None if v is None or v != v else int(v)
+    peak, into, rows, open_end = {}, {}, [], {}
+
+    def home(c):
+        while c in into:
+            c = into[c]
         return c
 
-    facts, stuck = [], {}
-    for _, s, a, b, ca, cb, _, _ in sorted(rows, key=lambda r: (r[0], r[1]), reverse=True):
-        ra, rb = (root(c) if c is not None else None for c in (ca, cb))
-        if ra == rb:
+    edges = []
+    for r in pdf.to_dict("records"):
+        sides = [(number(r[c]), number(r[at]), r[p]) for c, at, p in (("ca", "a", "pa"), ("cb", "b", "pb"))]
+        peak.update({c: key(p) for c, _, p in sides if c is not None})
+        edges.append((key(r["ks"]), int(r["s"]), sides))
+    for _, s, sides in sorted(edges, key=lambda e: e[:2], reverse=True):
+        ends = sorted(((peak[home(c)], home(c), at) for c, at, _ in sides if c is not None), key=lambda e: e[0])
+        low = ends[0]
+        if len(ends) == 1:
+            open_end.setdefault(low[1], (s, low[2], None))
+        elif low[1] == ends[1][1]:
             continue
-        if ra is None or rb is None:
-            r, own = (ra, a) if rb is None else (rb, b)
-            stuck.setdefault(r, (s, own, None))
-            continue
-        low, high, own, far = (ra, rb, a, b) if top[ra] < top[rb] else (rb, ra, b, a)
-        if low not in stuck:
-            facts.append((low, s, own, far, False))
-            parent[low] = high
-        elif high not in stuck:
-            stuck[high] = (s, far, own)
-    return facts + [(r, s, own, far, True) for r, (s, own, far) in stuck.items()]
-
-
-def _local_facts(pdf: pd.DataFrame) -> pd.DataFrame:
-    k = lambda v: None if v is None else tuple(v[x] for x in ("z", "iso", "x", "seq"))
-    n = lambda v: None if pd.isna(v) else int(v)
-    rows = [(k(ks), int(s), n(a), n(b), n(ca), n(cb), k(pa) if n(ca) is not None else None, k(pb) if n(cb) is not None else None) for ks, s, a, b, ca, cb, pa, pb in zip(*(pdf[c].astype(object).tolist() for c in ("ks", "s", "a", "b", "ca", "cb", "pa", "pb")), strict=True)]
-    out = pd.DataFrame(_contract_local(rows), columns=["p", "s", "q_own", "q_far", "min_bound"])
-    out.insert(0, "up", bool(pdf["up"].iloc[0]))
-    for c in ("p", "s", "q_own", "q_far"):
-        out[c] = pd.array([None if v is None or v != v else int(v) for v in out[c].astype(object)], dtype="Int64")
-    return out.astype({"min_bound": bool})
-
-
-def facts(g: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+        elif low[1] not in open_end:
+            into[low[1]] = ends[1][1]
+            rows.append((low[1], s, low[2], ends[1][2], False))
+        else:
+            open_end.setdefault(ends[1][1], (s, ends[1][2], low[2]))
+    rows += [(c, *v, True) for c, v in open_end.items()]
+    out = pd.DataFrame({n: pd.array(v, "Int64") for n, v in zip(("p", "s", "q_own", "q_far"), list(zip(*rows, strict=True))[:4] if rows else [[]] * 4, strict=True)})
+    return out.assign(up=bool(pdf["up"].iloc[0]), min_bound=[r[4] for r in rows])[["up", "p", "s", "q_own", "q_far", "min_bound"]]
+
+
+def facts(g: DataFrame, last: int = LAST) -> DataFrame:
     """(up, p, s, q_own, q_far, min_bound), the key saddle s of every peak p.
 
     q_own and q_far are the peaks next to s on p's side and beyond. min_bound marks peaks whose key
     saddle is unknown because the data end; s is then the highest saddle that may lead off. The highest
     peak of all has no row. Peaks of any cutoff are included.
     """
-    found = None
+    found = []
     conn = g.select("up", "a", "b", "s", "ks", F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("ka").alias("pa"), F.col("kb").alias("pb"))
-    conn = materialize(_best(conn), "contract")
-    for _ in range(MOST_ROUNDS):
-        if conn.count() <= local_edges:
-            last = conn.groupBy("up").applyInPandas(_local_facts, FACT)
-            return last if found is None else found.union(last)
-        ends = conn.select("up", "s", "ks", F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("pa").alias("p"), F.col("a").alias("own"), F.col("cb").alias("o"), F.col("pb").alias("po"), F.col("b").alias("far")), F.struct(F.col("cb").alias("c"), F.col("pb").alias("p"), F.col("b").alias("own"), F.col("ca").alias("o"), F.col("pa").alias("po"), F.col("a").alias("far")))).alias("h")).select("up", "s", "ks", "h.*").where("c is not null")
+    conn = _best(conn)
+    half = lambda c, p, own, o, po, far: F.struct(F.col(c).alias("c"), F.col(p).alias("p"), F.col(own).alias("own"), F.col(o).alias("o"), F.col(po).alias("po"), F.col(far).alias("far"))
+    while True:
+        conn, left = materialize_counting(conn, "contract", F.col("s").isNotNull())
+        if left <= last and found:
+            found.append(conn.groupBy("up").applyInPandas(_merged, "up boolean, p long, s long, q_own long, q_far long, min_bound boolean"))
+            return reduce(DataFrame.union, found)
+        ends = conn.select("up", "s", "ks", F.explode(F.array(half("ca", "pa", "a", "cb", "pb", "b"), half("cb", "pb", "b", "ca", "pa", "a"))).alias("h")).select("up", "s", "ks", "h.*").where("c is not null")
         first = ends.groupBy("up", "c").agg(F.max_by(F.struct("s", "p", "own", "o", "po", "far"), F.struct("ks", "s")).alias("f")).select("up", "c", "f.*")
-        first = materialize(first, "contract-first")
-        merge = first.where(F.col("o").isNotNull() & (F.col("po") > F.col("p")))
-        arrows = materialize(merge.select("up", F.col("c"), F.col("o").alias("to"), F.col("po").alias("k")), "contract-arrows")
-        if arrows.isEmpty():
-            rest = first.select("up", F.col("c").alias("p"), "s", F.col("own").alias("q_own"), F.col("far").alias("q_far"), F.lit(True).alias("min_bound"))
-            return rest if found is None else found.union(rest)
-        new = merge.select("up", F.col("c").alias("p"), "s", F.col("own").alias("q_own"), F.col("far").alias("q_far"), F.lit(False).alias("min_bound"))
-        found = materialize(new if found is None else found.union(new), "contract-facts")
-        while True:  # compress the forest of arrows
-            nxt = arrows.select("up", F.col("c").alias("to"), F.col("to").alias("t2"), F.col("k").alias("k2"))
-            step = arrows.join(nxt, ["up", "to"], "left").select("up", "c", F.coalesce("t2", "to").alias("to"), F.coalesce("k2", "k").alias("k"), F.col("t2").isNotNull().alias("moved"))
-            step = materialize(step, "contract-arrows")
-            more = not step.where("moved").isEmpty()
-            arrows = step.drop("moved")
-            if not more:
-                break
+        first, some = materialize_counting(first.withColumn("merges", F.coalesce(F.col("po") > F.col("p"), F.lit(False))), "contract-first", F.col("merges"))
+        merge = first.where("merges")
+        if not some:
+            found.append(first.select("up", F.col("c").alias("p"), "s", F.col("own").alias("q_own"), F.col("far").alias("q_far"), F.lit(True).alias("min_bound")))
+            return reduce(DataFrame.union, found)
+        found.append(merge.select("up", F.col("c").alias("p"), "s", F.col("own").alias("q_own"), F.col("far").alias("q_far"), F.lit(False).alias("min_bound")))
+        # where each merged component ends up, and the peak there
+        steps = merge.select("up", F.col("c").alias("node"), F.col("o").alias("next"))
+        ends_at = steps.select("up", F.col("next").alias("node")).join(steps.select("up", "node"), ["up", "node"], "left_anti").distinct()
+        to = forest.ranked(steps.union(ends_at.select("up", "node", F.lit(None).cast("long"))))
+        tops = merge.groupBy("up", F.col("o").alias("root")).agg(F.first("po").alias("top"))
+        to = materialize(to.where("depth > 0").join(tops, ["up", "root"]).select("up", F.col("node").alias("c"), "root", "top"), "contract-arrows")
         for side, key in (("ca", "pa"), ("cb", "pb")):
-            to = arrows.select("up", F.col("c").alias(side), F.col("to").alias("_t"), F.col("k").alias("_k"))
-            conn = conn.join(to, ["up", side], "left").withColumns({side: F.coalesce("_t", side), key: F.coalesce("_k", key)}).drop("_t", "_k")
-        conn = materialize(_best(conn.select("up", "a", "b", "s", "ks", "ca", "cb", "pa", "pb").where("ca is null or cb is null or ca <> cb")), "contract")
-    raise RuntimeError(f"contraction did not end in {MOST_ROUNDS} rounds")
+            conn = conn.join(to.select("up", F.col("c").alias(side), F.col("root").alias("_t"), F.col("top").alias("_k")), ["up", side], "left").withColumns({side: F.coalesce("_t", side), key: F.coalesce("_k", key)}).drop("_t", "_k")
+        conn = _best(conn.select("up", "a", "b", "s", "ks", "ca", "cb", "pa", "pb").where("ca is null or cb is null or ca <> cb"))
 
 
 def _best(conn: DataFrame) -> DataFrame:
@@ -151,76 +135,6 @@ def with_keys(f: DataFrame, pts: DataFrame) -> DataFrame:
     return out.withColumn("drop", F.abs(F.col("kp.z") - F.col("ks.z")))
 
 
-def _chains_local(cutoff: float):
-    """thresh, pthresh, parent and secondary saddles of all facts of one direction, in one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = lambda v: tuple(v[x] for x in ("z", "iso", "x", "seq"))
-        key, pair, far, own, key_s, bound, drop = {}, {}, {}, {}, {}, {}, {}
-        inf = float("inf")
-        for r in pdf.itertuples(index=False):
-            if r.s is None or pd.isna(r.s):  # a peak without a fact, the highest
-                key[r.p], pair[r.p], drop[r.p] = k(r.kp), (inf,), inf
-                continue
-            a, b = k(r.kp), k(r.ks)
-            key[r.p], key_s[r.p], drop[r.p], bound[r.p] = a, int(r.s), abs(a[0] - b[0]), r.min_bound
-            pair[r.p] = (drop[r.p], a[1] - b[1], a[2] - b[2], a[3] - b[3], a[2], b[2], b[3], a[1])
-            own[r.p], far[r.p] = int(r.q_own), None if pd.isna(r.q_far) else int(r.q_far)
-        thresh: dict = {}
-        for p in sorted(key_s, key=lambda p: key[p]):  # lower peaks first: their own next ones are known
-            c = None if bound[p] else far[p]
-            while c is not None and key[c] < key[p]:
-                c = thresh.get(c)
-            thresh[p] = c
-        notable = {p for p, d in drop.items() if d >= cutoff}
-        rows = []
-        for p in key_s:
-            pth, par, subs = None, None, {}
-
-            def chain(q, limit):
-                while q is not None and key[q] < limit:
-                    yield q
-                    q = thresh.get(q)
-
-            def add(sub, s, elev, prom):
-                at = rows_sub.setdefault((sub, s), [False, False])
-                at[0] |= elev
-                at[1] |= prom
-
-            rows_sub: dict = {}
-            for side, q in ((0, own[p]), (1, far[p])):
-                best = None
-                for c in chain(q, key[p]):
-                    if c in notable and c != p:
-                        add(c, key_s[p], True, False)
-                        if (side == 0 or bound[p]) and (best is None or pair[c] > best):
-                            best = pair[c]
-                            add(c, key_s[p], False, True)
-            if p in notable and not bound[p]:
-                c, best = far[p], None
-                while c is not None and pair[c] <= pair[p]:
-                    if c in notable and (best is None or pair[c] > best):
-                        best = pair[c]
-                        add(c, key_s[p], False, True)
-                    c = thresh.get(c)
-                par = c
-                c = thresh[p]
-                while c is not None and c not in notable:
-                    c = thresh.get(c)
-                pth = c
-            rows.append((p, key_s[p], thresh[p], pth, par, bool(bound[p]), p in notable, [{"p": a, "s": b, "elev": x[0], "prom": x[1]} for (a, b), x in rows_sub.items()]))
-        out = pd.DataFrame(rows, columns=["p", "s", "thresh", "pthresh", "parent", "min_bound", "notable", "subs"])
-        out.insert(0, "up", bool(pdf["up"].iloc[0]))
-        for c in ("thresh", "pthresh", "parent"):
-            out[c] = pd.array([None if v is None or v != v else int(v) for v in out[c].astype(object)], dtype="Int64")
-        return out
-
-    return run
-
-
-CHAIN = "up boolean, p long, s long, thresh long, pthresh long, parent long, min_bound boolean, notable boolean, subs array<struct<p:long,s:long,elev:boolean,prom:boolean>>"
-
-
 def tops(g: DataFrame, f: DataFrame, pts: DataFrame) -> DataFrame:
     """Peaks without a fact, in the columns of with_keys()."""
     peaks = g.select("up", F.explode(F.array("a", "b")).alias("p")).where("p is not null").distinct()
@@ -229,7 +143,7 @@ def tops(g: DataFrame, f: DataFrame, pts: DataFrame) -> DataFrame:
     return t.select("up", "p", none.cast("long").alias("s"), none.cast("long").alias("q_own"), none.cast("long").alias("q_far"), none.cast("boolean").alias("min_bound"), "kp", none.cast(KEY).alias("ks"))
 
 
-def relations(g: DataFrame, cutoff: float, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def relations(g: DataFrame, cutoff: float, f: DataFrame | None = None) -> DataFrame:
     """(up, p, s, drop, thresh, pthresh, parent, min_bound, notable, subs) of every peak with a key saddle.
 
     thresh: the first higher peak beyond the key saddle; pthresh: the first notable one from thresh on;
@@ -237,74 +151,54 @@ def relations(g: DataFrame, cutoff: float, local_edges: int = LOCAL_EDGES) -> Da
     subs: the saddles where this peak's neighbourhood ends for lower notable peaks.
     """
     pts = materialize(points(g), "points")
-    f = materialize(facts(g, local_edges), "facts")
+    f = materialize(facts(g), "facts") if f is None else f
     keyed = materialize(with_keys(f, pts), "facts-keyed")
     cols = ["up", "p", "s", "q_own", "q_far", "min_bound", "kp", "ks"]
     all_ = keyed.select(*cols).unionByName(tops(g, f, pts))
-    if f.count() <= local_edges:
-        got = all_.groupBy("up").applyInPandas(_chains_local(cutoff), CHAIN)
-    else:
-        got = _chains(all_, cutoff)
-    return got.join(keyed.select("up", "p", "drop"), ["up", "p"])
+    return _chains(all_, cutoff).join(keyed.select("up", "p", "drop"), ["up", "p"])
 
 
 def _chains(all_: DataFrame, cutoff: float) -> DataFrame:
-    """What _chains_local does, by rounds of joins: every open walk goes one pointer further in each."""
+    """What relations() says of peaks with keys, by rounds of joins: every open walk goes one pointer further in each, until none is open."""
     k = all_.withColumn("pair", pair_key(F.col("kp"), F.col("ks"))).withColumn("notable", F.when(F.col("s").isNull(), True).otherwise(F.abs(F.col("kp.z") - F.col("ks.z")) >= cutoff))
     k = materialize(k, "chain-peaks")
     at = k.select("up", F.col("p").alias("c"), F.col("kp").alias("kc"), F.col("pair").alias("pc"), F.col("notable").alias("nc"))
-    # next-higher pointers, lowest first: a walk rests until the pointer it needs is known
-    fixed = [materialize(k.where("s is null or min_bound").select("up", "p", F.lit(None).cast("long").alias("thresh")), "chain-fixed")]
-    todo = materialize(k.where("s is not null and not min_bound").select("up", "p", "kp", F.col("q_far").alias("c")), "chain-todo")
-    for _ in range(MOST_ROUNDS):
-        if todo.isEmpty():
-            break
-        known = fixed[0]
-        for x in fixed[1:]:
-            known = known.union(x)
-        seen = todo.join(at.select("up", "c", "kc"), ["up", "c"])
-        step = seen.join(known.select("up", F.col("p").alias("c"), F.col("thresh").alias("nxt"), F.lit(True).alias("has")), ["up", "c"], "left").select("up", "p", "kp", "c", (F.col("kc") > F.col("kp")).alias("done"), "has", "nxt")
-        step = materialize(step, "chain-step")
-        fixed.append(step.where("done or (has and nxt is null)").select("up", "p", F.when(F.col("done"), F.col("c")).alias("thresh")))
-        todo = step.where("not done and not (coalesce(has, false) and nxt is null)").select("up", "p", "kp", F.when(F.col("has"), F.col("nxt")).otherwise(F.col("c")).alias("c"))
-    else:
-        raise RuntimeError("next-higher pointers did not settle")
-    known = fixed[0]
-    for x in fixed[1:]:
-        known = known.union(x)
-    nxt = materialize(known, "chain-next")
+    # next-higher pointers: a walk over lower peaks takes over their cursors, whether they have arrived or not
+    state = k.select("up", "p", "kp", F.when(~F.col("min_bound"), F.col("q_far")).alias("c"))
+    state = materialize(state.join(at.select("up", "c", "kc"), ["up", "c"], "left"), "chain-next")
+    low, more = F.col("kc") < F.col("kp"), 1
+    while more:
+        on = state.select("up", F.col("p").alias("c"), F.col("c").alias("c2"), F.col("kc").alias("k2"))
+        step = state
+        for _ in range(3):
+            step = step.join(on, ["up", "c"], "left").select("up", "p", "kp", F.when(low, F.col("c2")).otherwise(F.col("c")).alias("c"), F.when(low, F.col("k2")).otherwise(F.col("kc")).alias("kc"))
+        state, more = materialize_counting(step, "chain-next", low)
+    nxt = state.select("up", "p", F.col("c").alias("thresh"))
     base = k.where("s is not null").join(nxt, ["up", "p"])
     live = F.col("notable") & ~F.col("min_bound")
     starts = [("own", F.col("q_own")), ("far", F.col("q_far")), ("parent", F.when(live, F.col("q_far"))), ("pthresh", F.when(live, F.col("thresh")))]
-    walks = base.select("up", "p", "s", "kp", "pair", "notable", "min_bound", "thresh", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), c.alias("c")) for kind, c in starts])).alias("w"))
-    open_ = materialize(walks.select("up", "p", "s", "kp", "pair", "min_bound", "w.kind", "w.c", F.lit(None).cast(k.schema["pair"].dataType).alias("best")).where("c is not null"), "chain-walks")
-    seen_parts, ends = [], []
-    for _ in range(MOST_ROUNDS * 10):
-        if open_.isEmpty():
-            break
-        x = open_.join(at, ["up", "c"]).join(nxt.select("up", F.col("p").alias("c"), F.col("thresh").alias("nxt")), ["up", "c"])
+    walks = base.select("up", "p", "s", "kp", "pair", "min_bound", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), c.alias("c")) for kind, c in starts])).alias("w"))
+    open_ = walks.select("up", "p", "s", "kp", "pair", "min_bound", "w.kind", "w.c", F.lit(None).cast(k.schema["pair"].dataType).alias("best")).where("c is not null")
+    steps = []
+    known = materialize(at.join(nxt.select("up", F.col("p").alias("c"), F.col("thresh").alias("nxt")), ["up", "c"]), "chain-known")
+    while True:
+        x = open_.join(known, ["up", "c"])
         side = F.col("kind").isin("own", "far")
         stop = F.when(side, F.col("kc") >= F.col("kp")).when(F.col("kind") == "parent", F.col("pc") > F.col("pair")).otherwise(F.col("nc"))
         counts = (F.col("kind") == "parent") | (F.col("kind") == "own") | ((F.col("kind") == "far") & F.col("min_bound"))
         fresh = F.col("nc") & ~F.col("stop") & (F.col("best").isNull() | (F.col("pc") > F.col("best")))
-        x = materialize(x.withColumn("stop", stop).withColumn("prom", counts & fresh).withColumn("elev", side & F.col("nc") & ~F.col("stop")), "chain-walk")
-        seen_parts.append(x.where("elev or prom").select("up", "p", F.struct(F.col("c").alias("p"), "s", "elev", "prom").alias("sub")))
-        ends.append(x.where("stop and kind in ('parent', 'pthresh')").select("up", "p", "kind", "c"))
+        x = x.withColumn("stop", stop).withColumn("prom", counts & fresh).withColumn("elev", side & F.col("nc") & ~F.col("stop"))
+        x, more = materialize_counting(x, "chain-walk", ~F.col("stop") & F.col("nxt").isNotNull())
+        steps.append(x)
         open_ = x.where("not stop and nxt is not null").select("up", "p", "s", "kp", "pair", "min_bound", "kind", F.col("nxt").alias("c"), F.when(F.col("prom"), F.col("pc")).otherwise(F.col("best")).alias("best"))
-    out = base.select("up", "p", "s", "thresh", "min_bound", "notable")
-    subs_t = "array<struct<p:long,s:long,elev:boolean,prom:boolean>>"
-    if not ends:
-        return out.select("up", "p", "s", "thresh", F.lit(None).cast("long").alias("pthresh"), F.lit(None).cast("long").alias("parent"), "min_bound", "notable", F.array().cast(subs_t).alias("subs"))
-    e, sp = ends[0], seen_parts[0]
-    for y in ends[1:]:
-        e = e.union(y)
-    for y in seen_parts[1:]:
-        sp = sp.union(y)
-    e = e.groupBy("up", "p").agg(F.max(F.when(F.col("kind") == "parent", F.col("c"))).alias("parent"), F.max(F.when(F.col("kind") == "pthresh", F.col("c"))).alias("pthresh"))
-    sp = sp.groupBy("up", "p", F.col("sub.p").alias("sp"), F.col("sub.s").alias("ss")).agg(F.max("sub.elev").alias("elev"), F.max("sub.prom").alias("prom"))
+        if not more:
+            break
+    every = reduce(DataFrame.union, steps)
+    e = every.where("stop and kind in ('parent', 'pthresh')").groupBy("up", "p").agg(F.max(F.when(F.col("kind") == "parent", F.col("c"))).alias("parent"), F.max(F.when(F.col("kind") == "pthresh", F.col("c"))).alias("pthresh"))
+    sp = every.where("elev or prom").groupBy("up", "p", F.col("c").alias("sp"), F.col("s").alias("ss")).agg(F.max("elev").alias("elev"), F.max("prom").alias("prom"))
     sp = sp.groupBy("up", "p").agg(F.collect_list(F.struct(F.col("sp").alias("p"), F.col("ss").alias("s"), "elev", "prom")).alias("subs"))
-    out = out.join(e, ["up", "p"], "left").join(sp, ["up", "p"], "left")
-    return out.select("up", "p", "s", "thresh", "pthresh", "parent", "min_bound", "notable", F.coalesce("subs", F.array().cast(subs_t)).alias("subs"))
+    out = base.select("up", "p", "s", "thresh", "min_bound", "notable").join(e, ["up", "p"], "left").join(sp, ["up", "p"], "left")
+    return out.select("up", "p", "s", "thresh", "pthresh", "parent", "min_bound", "notable", F.coalesce("subs", F.array().cast("array<struct<p:long,s:long,elev:boolean,prom:boolean>>")).alias("subs"))
 
 
 def ranked(rel: DataFrame, pts: DataFrame) -> DataFrame:
@@ -314,8 +208,6 @@ def ranked(rel: DataFrame, pts: DataFrame) -> DataFrame:
     sorts everything.
     """
     r = with_keys(rel.where("notable").select("up", "p", "s"), pts).withColumn("pair", pair_key(F.col("kp"), F.col("ks")))
-    from pyspark.sql import Window
-
     r = r.withColumn("band", F.floor(F.log2(F.col("drop") + 1e-9) * 8).cast("int"))
     counts = r.groupBy("up", "band").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("up").orderBy(F.desc("band"))) - F.col("n")).drop("n")  # a few hundred rows
@@ -323,56 +215,19 @@ def ranked(rel: DataFrame, pts: DataFrame) -> DataFrame:
     return r.withColumn("_i", num).join(F.broadcast(before), ["up", "band"]).select("up", "p", (F.col("before") + F.col("_i")).alias("rank"))
 
 
-TREE = "up boolean, node long, next long, s long, depth int"
-
-
-def _tree_local(pdf: pd.DataFrame) -> pd.DataFrame:
-    near: dict[int, list] = {}
-    rows = []
-    for kind, s, m, n in zip(pdf["kind"], pdf["s"].astype(object), pdf["m"].astype(object), pdf["n"].astype(object), strict=True):
-        v = None if pd.isna(n) else int(n)
-        if kind == "edge":
-            near.setdefault(int(m), []).append((v, int(s)))
-        else:
-            rows.append((int(m), v, None if pd.isna(s) else int(s), 0))
-    done = {r[0] for r in rows}
-    for node, _, _, depth in rows:  # grows while it is read
-        for v, s in near.get(node, ()):
-            if v not in done:
-                done.add(v)
-                rows.append((v, node, s, depth + 1))
-    out = pd.DataFrame(rows, columns=["node", "next", "s", "depth"])
-    out.insert(0, "up", bool(pdf["up"].iloc[0]))
-    for c in ("next", "s"):
-        out[c] = pd.array([None if v is None or v != v else int(v) for v in out[c].astype(object)], dtype="Int64")
-    return out
-
-
-def tree(g: DataFrame, f: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def tree(g: DataFrame, f: DataFrame) -> DataFrame:
     """(up, node, next, s, depth): each peak's arrow over a merge saddle towards its component's root.
 
     A component is rooted where it leaves the data: at the peak next to its min_bound saddle, whose
-    arrow goes over that saddle; the component of the highest peak is rooted there. Oriented by widening
-    the frontier from the roots, each round one join with the edges not used yet.
+    arrow goes over that saddle; the component of the highest peak is rooted there. Depth counts the
+    arrows inside the component.
     """
     merges = f.where("not min_bound").select("up", "s", F.col("q_own").alias("m"), F.col("q_far").alias("n"))
-    both = materialize(merges.union(merges.select("up", "s", F.col("n"), F.col("m"))), "tree-edges")
-    exits = f.where("min_bound").select("up", F.col("q_own").alias("node"), F.col("q_far").alias("next"), "s", F.lit(0).alias("depth"))
+    exits = f.where("min_bound").select("up", F.col("q_own").alias("node"), F.col("q_far").alias("next"), "s")
     peaks = g.select("up", F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
-    free = peaks.join(f.select("up", F.col("p").alias("node")), ["up", "node"], "left_anti").select("up", "node", F.lit(None).cast("long").alias("next"), F.lit(None).cast("long").alias("s"), F.lit(0).alias("depth"))
-    if both.count() <= 2 * local_edges:
-        rows = both.select("up", F.lit("edge").alias("kind"), "s", "m", "n").union(exits.union(free).select("up", F.lit("root"), "s", "node", "next"))
-        return rows.groupBy("up").applyInPandas(_tree_local, TREE)
-    front = materialize(exits.union(free), "tree-front")
-    parts = [front]
-    for d in range(1, MOST_ROUNDS * 50):
-        if front.isEmpty():
-            break
-        came = F.col("fs").isNull() | (F.col("s") != F.col("fs"))
-        step = both.join(front.select("up", F.col("node").alias("m"), F.col("s").alias("fs")), ["up", "m"]).where(came)
-        front = materialize(step.select("up", F.col("n").alias("node"), F.col("m").alias("next"), "s", F.lit(d).alias("depth")), "tree-front")
-        parts.append(front)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    none = F.lit(None).cast("long")
+    free = peaks.join(f.select("up", F.col("p").alias("node")), ["up", "node"], "left_anti").select("up", "node", none.alias("next"), none.alias("s"))
+    roots = materialize(exits.union(free), "tree-roots")
+    arrows = materialize(forest.rooted(merges, roots.select("up", "node")), "tree-arrows")
+    depth = forest.ranked(arrows.select("up", "node", "next").union(roots.select("up", "node", none)))
+    return arrows.union(roots).join(depth.select("up", "node", F.col("depth").cast("int").alias("depth")), ["up", "node"])

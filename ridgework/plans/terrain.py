@@ -47,7 +47,7 @@ class Terrain:
 
     @cached_property
     def relations(self) -> DataFrame:
-        return materialize(peaks.relations(self.graph, self.cutoff), "t-relations")
+        return materialize(peaks.relations(self.graph, self.cutoff, self.facts), "t-relations")
 
     @cached_property
     def ranks(self) -> DataFrame:
@@ -65,21 +65,20 @@ class Terrain:
 
     @cached_property
     def ways_up(self) -> DataFrame:
-        """Ways to the root of all path ends and of what domains start from."""
-        ends = self.tasks.select("up", F.explode(F.array("p", "target")).alias("start")).where("start is not null")
+        """Ways to the root of what domains start from."""
         pid = lambda x, y: F.when(F.col(x).isNotNull(), ids.pack(0, x, y))
         used = self.relations.where("notable").select((~F.col("up")).alias("up"), "s").union(self.relations.select((~F.col("up")).alias("up"), F.explode("subs").alias("x")).where("x.prom").select("up", "x.s")).distinct()
         anch = self.edges.select("up", ids.pack(0, "sx", "sy", "seq").alias("s"), F.explode(F.array(pid("ax", "ay"), pid("bx", "by"))).alias("start")).where("start is not null").join(used, ["up", "s"], "left_semi").select("up", "start")
-        return materialize(paths.ancestors(self.tree, ends.union(anch)), "t-ways")
+        return materialize(paths.ancestors(self.tree, anch), "t-ways")
 
     @cached_property
     def between(self) -> DataFrame:
-        return materialize(paths.between(self.ways_up, self.tasks), "t-between")
+        return materialize(paths.between(self.tree, self.tasks), "t-between")
 
     @cached_property
     def pruned(self) -> DataFrame:
         keys = self.tasks.select("up", F.explode(F.array("p", "target")).alias("node")).where("node is not null").distinct()
-        return materialize(paths.pruned(self.ways_up, keys), "t-pruned")
+        return materialize(paths.pruned(self.tree, keys), "t-pruned")
 
     @cached_property
     def traces(self) -> DataFrame:

@@ -1,5 +1,7 @@
 """A plain-Python model of the terrain operators, straight from their definitions."""
 
+from itertools import groupby
+
 RING = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 
 
@@ -22,34 +24,37 @@ def classify(c, z):
     return "saddle" if turns > 2 else "slope"
 
 
+def steeper(p, q, c, z):
+    """Whether the way from c to p is steeper than that to q; heights and, where both are c's own, x - y count."""
+    length = {n: 1.0 if n[0] == c[0] or n[1] == c[1] else 2**0.5 for n in (p, q)}
+    rise = {n: z[n] - z[c] for n in (p, q)}
+    if not any(rise.values()):
+        rise = {n: (n[0] - n[1]) - (c[0] - c[1]) for n in (p, q)}
+    if not any(rise.values()):
+        return length[q] > length[p]
+    if rise[q] == 0:
+        return rise[p] > 0
+    return rise[p] / rise[q] > length[p] / length[q]
+
+
 def leads(c, z):
-    """[(trace, up, best)] by the fold over each run of the ring."""
+    """[(trace, up, best)]: the ring begins at the first place where it turns, and falls into runs there."""
     ns = around(c)
-    up = [key(n, z) > key(c, z) for n in ns]
-    k, cohort = 0, []
-    for i in range(len(ns)):
-        if i and up[i] != up[i - 1]:
-            k += 1
-        cohort.append(k)
-    n = (k + 1) // 2 * 2
-    cohort = [(x + (0 if up[0] else 1)) % n for x in cohort]
+    up = {n: key(n, z) > key(c, z) for n in ns}
+    turn = next((i for i in range(1, len(ns)) if up[ns[i]] != up[ns[i - 1]]), 0)
+    # the run that holds the ring's first neighbour is scanned from there on, then from the seam's other side
+    runs = [list(r) for _, r in groupby(ns[turn:] + ns[:turn], key=up.get)]
+    first = sorted(runs.pop(), key=ns.index)
+    runs.insert(0, first)
+    if not up[first[0]]:  # runs of higher neighbours have even numbers
+        runs.insert(0, runs.pop())
     out = []
-    for t in range(n):
-        best = None
-        for i, p in enumerate(ns):
-            if cohort[i] != t:
-                continue
-            d = 1.0 if p[0] == c[0] or p[1] == c[1] else 2**0.5
-            if best is None:
-                best, bd = p, d
-                continue
-            a, b = z[p] - z[c], z[best] - z[c]
-            if a == 0 and b == 0:
-                a, b = (p[0] - p[1]) - (c[0] - c[1]), (best[0] - best[1]) - (c[0] - c[1])
-            ratio = 1.0 if a == 0 and b == 0 else (float("inf") if a > 0 else float("-inf")) if b == 0 else a / b
-            if ratio > d / bd:
-                best, bd = p, d
-        out.append((t, key(best, z) > key(c, z), best))
+    for t, run in enumerate(runs):
+        best = run[0]
+        for p in run[1:]:
+            if steeper(p, best, c, z):
+                best = p
+        out.append((t, up[best], best))
     return out
 
 

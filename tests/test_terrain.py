@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from reference_model import classify, edges, leads, search
 
 from ridgework.functions import ids
-from ridgework.operators import mesh, network, paths, peaks
+from ridgework.operators import forest, mesh, network, paths, peaks
 from ridgework.plans.terrain import Terrain
 
 
@@ -51,15 +51,15 @@ def test_empty(spark):
     assert mesh.classify(none).count() == 0 and network.edges(none).count() == 0
 
 
-def facts_of(spark, z, cutoff, local=peaks.LOCAL_EDGES):
+def facts_of(spark, z, cutoff, last=peaks.LAST):
     g = peaks.graph(network.edges(raster(spark, z))).cache()
-    return g, {(r.up, r.p): r for r in peaks.relations(g, cutoff, local).collect()}
+    return g, {(r.up, r.p): r for r in peaks.relations(g, cutoff, peaks.facts(g, last)).collect()}
 
 
-@pytest.mark.parametrize("local", [peaks.LOCAL_EDGES, 0], ids=["one task", "rounds"])
-def test_key_saddles_by_search(spark, local):
+@pytest.mark.parametrize("last", [peaks.LAST, 0], ids=["last in one task", "rounds alone"])
+def test_key_saddles_by_search(spark, last):
     z = rough(16, 5)
-    g, rel = facts_of(spark, z, 0.3, local)
+    g, rel = facts_of(spark, z, 0.3, last)
     for up in (True, False):
         graph, kp, ks = {}, {}, {}
         for r in g.where(F.col("up") == up).collect():
@@ -117,8 +117,10 @@ def test_tree_ways_and_lines(spark):
     tree = {(r.up, r.node): (r.next, r.s) for r in t.tree.collect()}
     g = t.graph.collect()
     assert {k for k in tree} == {(r.up, p) for r in g for p in (r.a, r.b) if p is not None}
-    by_joins = {(r.up, r.node): (r.next, r.s) for r in peaks.tree(t.graph, t.facts, 0).collect()}
-    assert tree == by_joins
+    exits = {(r.up, r.q_own): (r.q_far, r.s) for r in t.facts.where("min_bound").collect()}
+    merges = {(r.up, r.s): {r.q_own, r.q_far} for r in t.facts.where("not min_bound").collect()}
+    for (up, n), (o, s) in tree.items():
+        assert exits.get((up, n), (None, None)) == (o, s) if (up, n) in exits or s is None else merges[up, s] == {n, o}
 
     def way(up, n):
         out = []
@@ -129,7 +131,7 @@ def test_tree_ways_and_lines(spark):
 
     starts = t.tasks.select("up", F.col("p").alias("start"))
     a = sorted(map(tuple, paths.ancestors(t.tree, starts).select("up", "start", "pos", "node").collect()))
-    assert a == sorted(map(tuple, paths.ancestors(t.tree, starts, 0).select("up", "start", "pos", "node").collect()))
+    assert a == sorted({(r.up, r.p, i, n) for r in t.tasks.collect() for i, n in enumerate(way(r.up, r.p))})
     for r in t.between.where("target is not null and right is not null").collect():
         left, right = way(r.up, r.p), way(r.up, r.target)
         meet = next((n for n in left if n in right), None)
@@ -161,13 +163,77 @@ def test_ranks(spark):
         assert d == sorted(d, reverse=True)
 
 
-def test_runoff():
-    meet = paths._meet
-    assert meet([[1, 5, 6, None], [2, 6, 7, None]]) == [[1, 5, 6], [2, 6]]
-    assert meet([[1, 5, None]]) == [[1, 5, None]]
-    assert meet([[1, 5, None], [2, 6, None]]) == [[1, 5, None], [2, 6, None]]
-    got = meet([[1, 9, 8, 7, None], [2, 9, 8, 7, None], [3, 9, 8, 7, None]])
-    assert sum(p[-1] == 9 for p in got) == 2 and sum(p[-1] is None for p in got) == 1
+def test_settled():
+    go = paths.settled
+    assert go([[1, 5, 6, 7, None], [2, 6, 7, None]]) == [[1, 5, 6], [2, 6]]
+    assert go([[1, 5, None]]) == [[1, 5, None]]
+    assert go([[1, 5, None], [2, 6, None]]) == [[1, 5, None], [2, 6, None]]
+    assert go([[1, 9, 8, None], [2, 9, 8, None], [3, 9, 8, None]]) == [[1, 9], [2, 9], [3, 9, 8, None]]
+    # the third of 9 meets the one that comes from 4 at 8
+    assert go([[1, 9, 8, None], [2, 9, 8, None], [3, 9, 8, None], [4, 8, None]]) == [[1, 9], [2, 9], [3, 9, 8], [4, 8]]
+    assert go([[1, 5, 9, None], [1, 9, None], [2, 5, 9, None]]) == [[1, 5], [1, 9, None], [2, 5]]
+
+
+def test_settled_is_what_nodes_see():
+    """Rootwards over every node: traces that are still running there pair off, an odd one goes on."""
+    r = random.Random(4)
+    for _ in range(200):
+        n = r.randrange(2, 25)
+        up = {i: r.randrange(i) for i in range(1, n)}
+        seeds = []
+        for t in range(r.randrange(1, 9)):
+            way, i = [], r.randrange(n)
+            while i is not None:
+                way.append(i)
+                i = up.get(i)
+            seeds.append([100 + t, *way, None])
+        here = {node: [] for node in range(n)}
+        ends = {}
+
+        def arrive(node, running):
+            running.sort()
+            for _, t in running[: len(running) // 2 * 2]:
+                ends[t] = node
+            return running[len(running) // 2 * 2 :]
+
+        for node in reversed(range(n)):  # children have larger numbers
+            running = here[node] + [(1, t) for t, s in enumerate(seeds) if s[1] == node]
+            for step, t in arrive(node, running):
+                if node:
+                    here[up[node]].append((step + 1, t))
+        want = [s[: s.index(ends[t]) + 1] if t in ends else s for t, s in enumerate(seeds)]
+        assert paths.settled(seeds) == want
+
+
+def test_forests(spark):
+    """A way of 3,000 nodes and bushy trees: ranks, ways, meeting points and arrows from edges without direction."""
+    r = random.Random(6)
+    up = {i: i - 1 for i in range(1, 3000)} | {i: r.choice([r.randrange(3000, i), r.randrange(max(3000, i - 3), i)]) for i in range(3001, 3400)}
+    nodes = range(3400)
+    ptr = spark.createDataFrame([(True, i, up.get(i)) for i in nodes], "up boolean, node long, next long").cache()
+
+    def way(i):
+        out = [i]
+        while out[-1] in up:
+            out.append(up[out[-1]])
+        return out
+
+    rank = forest.ranked(ptr)
+    assert {(x.node, x.root, x.depth) for x in rank.collect()} == {(i, way(i)[-1], len(way(i)) - 1) for i in nodes}
+    table = forest.jumps(ptr)
+    starts = r.sample(nodes, 40) + [2999]
+    legs = [(True, i, i, r.randrange(1, len(way(i)) + 1)) for i in starts]
+    got = forest.expanded(table, spark.createDataFrame(legs, "up boolean, id long, node long, n long"), ["id"])
+    assert sorted((x.id, x.pos, x.node) for x in got.collect()) == sorted((i, k, v) for _, i, _, n in legs for k, v in enumerate(way(i)[:n]))
+    pairs = {(r.choice(nodes), r.choice(nodes)) for _ in range(300)} | {(r.randrange(3000, 3400), r.randrange(3000, 3400)) for _ in range(300)} | {(5, 5), (2999, 0), (0, 2999), (1, 17), (16, 32)}
+    for x in forest.meets(table, rank, spark.createDataFrame([(True, *p) for p in pairs], "up boolean, a long, b long")).collect():
+        a, b = way(x.a), way(x.b)
+        at = next((n for n in a if n in set(b)), None)
+        assert (x.meet, x.i, x.j) == ((at, a.index(at), b.index(at)) if at is not None else (None, None, None)), x
+    edges = [(True, i + 10_000, *r.sample([i, o], 2)) for i, o in up.items()]
+    roots = spark.createDataFrame([(True, 0), (True, 3000)], "up boolean, node long")
+    arrows = forest.rooted(spark.createDataFrame(edges, "up boolean, s long, m long, n long"), roots).collect()
+    assert {(x.node, x.next, x.s) for x in arrows} == {(i, o, i + 10_000) for i, o in up.items()}
 
 
 def test_trim(spark):

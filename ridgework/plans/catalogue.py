@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgework.functions import ids
 from ridgework.operators import combine, mesh, network
-from ridgework.plans import viewer
+from ridgework.plans import twins, viewer
 from ridgework.plans.terrain import Terrain
 from ridgework.sources import rasters
 
 CUTOFF = 20000.0
+#: Ids of cells with x from 64 to 79.
+PREFIX = "00000004"
 _TERRAINS: dict = {}
 
 
@@ -143,7 +145,7 @@ def m18_bounds(spark, sf_dir):
 
 def m37_in_prefix(spark, sf_dir):
     t = terrain(spark, sf_dir)
-    return viewer.peaks_in(t.point_table(), t.prom_table(), "0000000", True)
+    return viewer.peaks_in(t.point_table(), t.prom_table(), PREFIX, True)
 
 
 def _most(up: bool):
@@ -154,19 +156,41 @@ def _most(up: bool):
     return query
 
 
+def _busiest(t: Terrain) -> int:
+    """The peak of the tables with the most secondary saddles."""
+    first = t.subsaddle_table().join(t.prom_table().select("point"), "point", "left_semi").groupBy("point").count().orderBy(F.desc("count"), "point").first()
+    return first.point if first else ids.NULL_ID
+
+
 def m36_view(spark, sf_dir):
-    """A great summit with everything around it."""
+    """A peak with everything around it."""
     t = terrain(spark, sf_dir)
-    first = t.ranks.where("up and rank = 100").first()
-    return viewer.around(t.point_table(), t.prom_table(), t.subsaddle_table(), first.p if first else ids.NULL_ID)
+    return viewer.around(t.point_table(), t.prom_table(), t.subsaddle_table(), _busiest(t))
 
 
 def j20_behind_saddles(spark, sf_dir):
-    """The peaks behind the secondary saddles of a great summit, by SQL."""
+    """The peaks behind the secondary saddles of a peak, by SQL."""
     t = terrain(spark, sf_dir)
     viewer.register(t.point_table(), t.prom_table(), t.subsaddle_table())
-    first = t.ranks.where("up and rank = 100").first()
-    return viewer.around_sql(spark, first.p if first else ids.NULL_ID)
+    return viewer.around_sql(spark, _busiest(t))
+
+
+def _cells(c: str) -> Column:
+    """Cells as text, a step off the data as an empty one."""
+    return F.array_join(F.transform(c, lambda e: F.concat_ws(":", e["x"].cast("string"), e["y"].cast("string"))), ",")
+
+
+def m31_traces(spark, sf_dir):
+    return terrain(spark, sf_dir).traces.select("x", "y", "seq", "up", "trace", _cells("cells").alias("cells"))
+
+
+def m32_lines(spark, sf_dir):
+    return terrain(spark, sf_dir).lines.select("up", "p", "target", _cells("cells").alias("cells"))
+
+
+def m28_domains(spark, sf_dir):
+    lines = F.transform("lines", lambda ln: F.array_join(ln.cast("array<string>"), ","))
+    return terrain(spark, sf_dir).domains.select("up", "p", F.array_join(lines, ";").alias("lines"))
 
 
 def a1_consolidate(spark, sf_dir):
@@ -250,9 +274,9 @@ QUERIES = {
     "m19_tree": lambda spark, sf_dir: terrain(spark, sf_dir).tree,
     "m24_ways": lambda spark, sf_dir: terrain(spark, sf_dir).between.select("up", "p", "target", F.concat_ws(",", F.transform("left", lambda v: v.cast("string"))).alias("left"), F.concat_ws(",", F.transform("right", lambda v: v.cast("string"))).alias("right")),
     "m29_pruned": lambda spark, sf_dir: terrain(spark, sf_dir).pruned.select("up", "src", "dst", F.concat_ws(",", F.transform("interim", lambda v: v.cast("string"))).alias("interim")),
-    "m31_traces": lambda spark, sf_dir: terrain(spark, sf_dir).traces.select("x", "y", "seq", "up", "trace", F.size("cells").alias("n")),
-    "m32_lines": lambda spark, sf_dir: terrain(spark, sf_dir).lines.select("up", "p", "target", F.size("cells").alias("n")),
-    "m28_domains": lambda spark, sf_dir: terrain(spark, sf_dir).domains.select("up", "p", F.size("lines").alias("n"), F.size(F.flatten("lines")).alias("nodes")),
+    "m31_traces": m31_traces,
+    "m32_lines": m32_lines,
+    "m28_domains": m28_domains,
     "db_points": lambda spark, sf_dir: terrain(spark, sf_dir).point_table(),
     "db_prom": lambda spark, sf_dir: terrain(spark, sf_dir).prom_table(),
     "db_subsaddles": lambda spark, sf_dir: terrain(spark, sf_dir).subsaddle_table(),
@@ -398,3 +422,34 @@ FROM edges JOIN cells ON cells.x = sx AND cells.y = sy WHERE ax IS NOT NULL AND
     "j3_only_up": _sql(R2, "SELECT sx, sy, seq FROM edges WHERE up AND (sx, sy, seq) NOT IN (SELECT (sx, sy, seq) FROM edges WHERE NOT up)", *_ALL),
     "j4_anchors": _sql(R2, f"SELECT sx, sy, seq, tag, px AS qx, py AS qy FROM halves WHERE NOT up AND (sx, sy, seq) IN (SELECT (sx, sy, seq) FROM {_KEYS})", *_ALL),
 }
+
+_NET = (*_ALL, twins.GRAPH, twins.FACTS, twins.CHAINS.replace("{cutoff}", str(CUTOFF)))
+_TREE = (*_NET, twins.TREE)
+_LINED = (*_TREE, twins.WAYS, twins.TRACES, twins.LINES)
+_TABLES = (*_LINED, twins.DOMAINS, twins.TABLES)
+_TWINS = {
+    "m12_drop_up": ('SELECT p, s, "drop", min_bound, notable FROM rel WHERE up', _NET),
+    "m12_drop_down": ('SELECT p, s, "drop", min_bound, notable FROM rel WHERE NOT up', _NET),
+    "m13_thresh": ("SELECT up, p, thresh FROM rel", _NET),
+    "m14_pthresh": ("SELECT up, p, pthresh FROM rel WHERE notable", _NET),
+    "m15_parent": ("SELECT up, p, parent FROM rel WHERE notable", _NET),
+    "m16_elev_subsaddles": ("SELECT up, p, s FROM subs WHERE elev", _NET),
+    "m17_drop_subsaddles": ("SELECT up, p, s FROM subs WHERE prom", _NET),
+    "m18_bounds": ("SELECT up, min_bound, count(*) AS n FROM facts GROUP BY up, min_bound", _NET),
+    "a3_rank": ("SELECT up, p, rank FROM ranks", _NET),
+    "m19_tree": ("SELECT up, node, next, s, depth FROM arrow", _TREE),
+    "m24_ways": ("SELECT up, p, target, array_to_string(lft, ',') AS \"left\", coalesce(array_to_string(rgt, ','), '') AS \"right\" FROM sides", (*_TREE, twins.WAYS)),
+    "m29_pruned": ("SELECT up, src, arg_max(next, pos) AS dst, string_agg(CASE WHEN pos = 0 THEN CAST(s AS VARCHAR) ELSE node || ',' || s END, ',' ORDER BY pos) AS interim FROM leg GROUP BY up, src", (*_TREE, twins.WAYS, twins.PRUNED)),
+    "m31_traces": ("SELECT x, y, seq, up, trace, replace(array_to_string(cells, ','), 'off', '') AS cells FROM traced", (*_TREE, twins.TRACES)),
+    "m32_lines": ("SELECT up, p, target, replace(array_to_string(cells, ','), 'off', '') AS cells FROM lines", _LINED),
+    "m28_domains": ("SELECT up, p, string_agg(array_to_string(nodes, ','), ';' ORDER BY s, t) AS lines FROM bounds GROUP BY up, p", (*_TREE, twins.DOMAINS)),
+    "db_points": ("SELECT * FROM point_table", _TABLES),
+    "db_prom": ("SELECT * FROM prom_table", _TABLES),
+    "db_subsaddles": ("SELECT * FROM subsaddle_table", _TABLES),
+    "m37_summits": (twins.MOST.format(type=1, low=-(2**63), high=2**63 - 1), _TABLES),
+    "m37_sinks": (twins.MOST.format(type=-1, low=-(2**63), high=2**63 - 1), _TABLES),
+    "m37_in_prefix": (twins.MOST.format(type=1, low=ids.hex_limit(PREFIX, False), high=ids.hex_limit(PREFIX, True)), _TABLES),
+    "m36_view": ("SELECT * FROM shown", (*_TABLES, twins.VIEW)),
+    "j20_behind_saddles": ("SELECT point, saddle, prom_mm FROM prom_table WHERE saddle IN (SELECT saddle FROM mine)", (*_TABLES, twins.VIEW)),
+}
+ORACLES |= {name: twins.packed(_sql(R2, select, *more)) for name, (select, more) in _TWINS.items()}

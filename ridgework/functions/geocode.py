@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,14 +75,18 @@ def wkb_lines(paths: pd.Series) -> pd.Series:
     return paths.map(one)
 
 
-def wkt_point(x, y):
-    n = lambda c: F.regexp_replace(F.col(c).cast("double").cast("string") if isinstance(c, str) else c.cast("double").cast("string"), r"\.0$", "")
-    return F.concat(F.lit("POINT ("), n(x), F.lit(" "), n(y), F.lit(")"))
+def _number(c) -> Column:
+    """A coordinate with six decimals at most."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.regexp_replace(c.cast("double").cast("decimal(18,6)").cast("string"), r"\.?0+$", "")
 
 
-def wkt_line(path):
+def wkt_point(x, y) -> Column:
+    return F.concat(F.lit("POINT ("), _number(x), F.lit(" "), _number(y), F.lit(")"))
+
+
+def wkt_line(path) -> Column:
     """LINESTRING of array<struct<x, y>>; null elements are skipped and a single point counts twice."""
-    n = lambda c: F.regexp_replace(c.cast("double").cast("string"), r"\.0$", "")
     pts = F.filter(path, lambda p: p.isNotNull() & p["x"].isNotNull())
     pts = F.when(F.size(pts) == 1, F.concat(pts, pts)).otherwise(pts)
-    return F.when(F.size(pts) > 0, F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(pts, lambda p: F.concat(n(p["x"]), F.lit(" "), n(p["y"]))), ", "), F.lit(")")))
+    return F.when(F.size(pts) > 0, F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(pts, lambda p: F.concat(_number(p["x"]), F.lit(" "), _number(p["y"]))), ", "), F.lit(")")))

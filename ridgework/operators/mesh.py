@@ -6,9 +6,31 @@ cells with even x + y have eight neighbours, the others the four along the axes.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgework.functions import ids
+
+
+@dataclass(frozen=True)
+class Grid:
+    """A geographic grid: degrees per cell, and the even number of cells around it if x closes up."""
+
+    spacing: float
+    width: int | None = None
+    grid_id: int = 0
+
+    def __post_init__(self):
+        if self.width is not None and self.width % 2:
+            raise ValueError("a grid that closes up has an even number of cells around")
+
+    def stretch(self) -> Column:
+        """The length of a step in x, where a step in y is 1: the cosine of the latitude."""
+        return F.cos(F.radians(F.col("y") * self.spacing))
+
+
 #: Neighbour offsets clockwise from north.
 RING = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 CLASSES = ["indeterminate", "summit", "pit", "saddle", "slope"]
@@ -22,14 +44,19 @@ def present(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("z").isNotNull() & ~F.isnan("z")).select("x", "y", F.col("z").cast("double").alias("z"))
 
 
-def adjacency(cells: DataFrame) -> DataFrame:
+def _around(x: Column, grid: Grid | None) -> Column:
+    """X, or the same place of a grid that closes up."""
+    return x if grid is None or grid.width is None else ids.wrapped_x(x, grid.width).cast("int")
+
+
+def adjacency(cells: DataFrame, grid: Grid | None = None) -> DataFrame:
     """M1: (x, y, i, nx, ny) of every cell's neighbour places, present or not."""
     n = present(cells).select("x", "y", F.explode(offsets()).alias("o"))
     n = n.where((F.pmod(F.col("x") + F.col("y"), F.lit(2)) == 0) | (F.col("o.i") % 2 == 0))
-    return n.select("x", "y", "o.i", (F.col("x") + F.col("o.dx")).alias("nx"), (F.col("y") + F.col("o.dy")).alias("ny"))
+    return n.select("x", "y", "o.i", _around(F.col("x") + F.col("o.dx"), grid).alias("nx"), (F.col("y") + F.col("o.dy")).alias("ny"))
 
 
-def rings(cells: DataFrame) -> DataFrame:
+def rings(cells: DataFrame, grid: Grid | None = None) -> DataFrame:
     """(x, y, z, ring) with ring = array<struct<i, nz, nx, ny, up>> in ring order; up: the neighbour is higher.
 
     Each cell sends its height to the places that count it as a neighbour, so one grouping by place
@@ -38,7 +65,7 @@ def rings(cells: DataFrame) -> DataFrame:
     p = present(cells)
     sent = p.select("x", "y", "z", F.explode(F.concat(offsets(), F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("dx"), F.lit(0).alias("dy"))))).alias("o"))
     # the receiver lies at (x - dx, y - dy) and sees the sender at offset i
-    tx, ty = F.col("x") - F.col("o.dx"), F.col("y") - F.col("o.dy")
+    tx, ty = _around(F.col("x") - F.col("o.dx"), grid), F.col("y") - F.col("o.dy")
     sent = sent.where((F.col("o.i") % 2 != 1) | (F.pmod(tx + ty, F.lit(2)) == 0))
     g = sent.groupBy(tx.alias("x"), ty.alias("y")).agg(F.max(F.when(F.col("o.i") == -1, F.col("z"))).alias("z"), F.collect_list(F.when(F.col("o.i") >= 0, F.struct(F.col("o.i").alias("i"), F.col("z").alias("nz"), F.col("x").alias("nx"), F.col("y").alias("ny")))).alias("r"))
     key = lambda z, x, y: F.struct(z.alias("a"), (x - y).alias("b"), x.alias("c"))
@@ -57,24 +84,24 @@ def changes(ring: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + F.when(ring[i]["up"] != ring[F.pmod(i + 1, n)]["up"], 1).otherwise(0))
 
 
-def classify(cells: DataFrame) -> DataFrame:
+def classify(cells: DataFrame, grid: Grid | None = None) -> DataFrame:
     """M2: (x, y, z, ring, changes, class)."""
-    r = rings(cells).withColumn("changes", F.when(complete(), changes(F.col("ring"))))
+    r = rings(cells, grid).withColumn("changes", F.when(complete(), changes(F.col("ring"))))
     ups = F.exists("ring", lambda n: n["up"])
     c = F.when(F.col("changes").isNull(), "indeterminate").when((F.col("changes") == 0) & ~ups, "summit").when(F.col("changes") == 0, "pit").when(F.col("changes") > 2, "saddle").otherwise("slope")
     return r.withColumn("class", c)
 
 
-def leads(classified: DataFrame, stretch: Column | None = None) -> DataFrame:
+def leads(classified: DataFrame, grid: Grid | None = None) -> DataFrame:
     """M3: (x, y, z, class, trace, up, bx, by), the best neighbour of every cohort of slopes and saddles.
 
     The ring splits into runs of higher and lower neighbours; runs of higher ones have even trace
     numbers, counted clockwise, and the run over the seam is one. In a run, scanned in ring order, a
     neighbour takes over when its rise over the best one's exceeds the ratio of their distances; a best
-    one of equal height gives way to any higher and to no lower one. stretch is the length of a step
-    in x, 1 by default.
+    one of equal height gives way to any higher and to no lower one. A step in x is 1 long, or the
+    cosine of the latitude on a geographic grid.
     """
-    s = stretch if stretch is not None else F.lit(1.0)
+    s = grid.stretch() if grid is not None else F.lit(1.0)
     c = classified.where(F.col("class").isin("slope", "saddle")).withColumn("_s", s)
     ring = F.col("ring")
     n = F.size(ring)

@@ -44,14 +44,14 @@ def chase(classified: DataFrame, lead: DataFrame) -> DataFrame:
     return out
 
 
-def edges(cells: DataFrame, classes: DataFrame | None = None, leads: DataFrame | None = None) -> DataFrame:
+def edges(cells: DataFrame, classes: DataFrame | None = None, leads: DataFrame | None = None, grid: mesh.Grid | None = None) -> DataFrame:
     """M7, M8: (sx, sy, sz, seq, up, ax, ay, az, bx, by, bz, tag_a, tag_b), an edge per virtual saddle and direction.
 
     The ends are summits (up) or pits; an end off the data is null and an edge with both ends off the
     data is dropped (P25). Endpoint a has the lower tag.
     """
-    c = materialize(mesh.classify(cells), "mesh-classes") if classes is None else classes
-    lead = materialize(mesh.leads(c), "mesh-leads") if leads is None else leads
+    c = materialize(mesh.classify(cells, grid), "mesh-classes") if classes is None else classes
+    lead = materialize(mesh.leads(c, grid), "mesh-leads") if leads is None else leads
     end = chase(c.select("x", "y", "class"), lead)
     half = mesh.split_saddles(lead).join(end.select(F.col("x").alias("bx"), F.col("y").alias("by"), "up", "ex", "ey"), ["bx", "by", "up"], "left")
     tops = c.where(F.col("class").isin("summit", "pit")).select(F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("z").alias("ez"))

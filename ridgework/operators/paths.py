@@ -133,6 +133,26 @@ def trim(z: Column, level: Column, up: Column) -> Column:
     return F.when((n > 1) & (F.size(at) > 0), (n - 1 - i) + part).otherwise(F.lit(-1.0))
 
 
+def trimmed(lines: DataFrame, cells: DataFrame) -> DataFrame:
+    """Lines (up, p, target, cells) cut where they last cross the height of their first cell.
+
+    The points of the result are array<struct<x: double, y: double>>; its last one lies on the segment that
+    crosses. A line that never comes back to that height, or ends off the data, stays whole.
+    """
+    at = lines.select("up", "p", "target", F.posexplode("cells").alias("pos", "c")).select("up", "p", "target", "pos", "c.x", "c.y")
+    z = at.join(cells.select("x", "y", F.col("z").cast("double").alias("z")), ["x", "y"], "left")
+    line = z.groupBy("up", "p", "target").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y", "z"))).alias("l"))
+    heights = F.transform("l", lambda e: e["z"])
+    line = line.withColumn("t", F.when(F.exists("l", lambda e: e["x"].isNull()), F.lit(-1.0)).otherwise(trim(heights, heights[0], F.col("up"))))
+    i = F.size("l") - 1 - F.floor("t").cast("int")  # the segment's far end
+    part = F.col("t") - F.floor("t")
+    a, b = F.get("l", i), F.get("l", i - 1)
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    whole = F.transform("l", lambda e: point(e["x"], e["y"]))
+    end = F.array(point(a["x"] + part * (b["x"] - a["x"]), a["y"] + part * (b["y"] - a["y"])))
+    return line.select("up", "p", "target", F.when(F.col("t") < 0, whole).otherwise(F.concat(F.slice(whole, F.lit(1), F.greatest(i, F.lit(1))), end)).alias("points"))
+
+
 def settled(seeds: list[list]) -> list[list]:
     """Where each trace of a domain ends, as the part of it that is left.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgework.functions import ids
+from ridgework.functions import geocode, ids
 from ridgework.operators import combine, mesh, network
 from ridgework.plans import twins, viewer
 from ridgework.plans.terrain import Terrain
@@ -70,6 +70,30 @@ def _classes(raster):
     return lambda spark, sf_dir: mesh.classify(raster(spark, sf_dir)).select("x", "y", "class", "changes")
 
 
+#: A band around a small cylinder: half a degree per cell, 128 cells around.
+GEO = mesh.Grid(0.5, 128)
+
+
+def r4(spark, sf_dir):
+    """The cells of R2, x from -64 on, on a grid that closes up."""
+    return rasters.r2(spark, sf_dir).withColumn("x", ids.wrapped_x("x", 128).cast("int"))
+
+
+def m1_seam(spark, sf_dir):
+    return mesh.adjacency(r4(spark, sf_dir), GEO)
+
+
+def m3_leads_geo(spark, sf_dir):
+    """Classes and leads over the seam, with steps in x as short as their latitude makes them."""
+    return mesh.leads(mesh.classify(r4(spark, sf_dir), GEO), GEO).select("x", "y", "class", "trace", "up", "bx", "by")
+
+
+def f4_lat_lon(spark, sf_dir):
+    c = r4(spark, sf_dir).withColumn("seq", -F.pmod("x", F.lit(3)).cast("int"))
+    lat, lon = ids.lat_lon("x", "y", GEO.spacing, seq=F.col("seq"))
+    return c.select("x", "y", "seq", geocode.wkt_point(lon, lat).alias("loc"))
+
+
 def m2_class_counts(spark, sf_dir):
     return mesh.classify(rasters.r2(spark, sf_dir)).groupBy("class").agg(F.count("*").alias("n"))
 
@@ -251,6 +275,9 @@ QUERIES = {
     "m2_classify_smooth": _classes(rasters.r3),
     "m3_leads": _leads(rasters.r2),
     "m3_leads_ties": _leads(rasters.r1q),
+    "m1_seam": m1_seam,
+    "m3_leads_geo": m3_leads_geo,
+    "f4_lat_lon": f4_lat_lon,
     "m4_next": m4_next,
     "m5_chase": m5_chase,
     "m6_saddles": m6_saddles,
@@ -295,13 +322,17 @@ R1Q = f"SELECT x, y, CAST(CAST(round(z * 20) AS INT) AS DOUBLE) AS z FROM ({R1})
 R3 = "SELECT CAST(p_partkey % 32 AS INT) AS x, CAST(p_partkey // 32 AS INT) AS y, p_retailprice AS z FROM part"
 
 
-def _ring(raster: str) -> str:
+R4 = "SELECT CAST((o_orderkey % 128 + 64) % 128 - 64 AS INT) AS x, CAST(o_orderkey // 128 AS INT) AS y, o_totalprice AS z FROM orders"
+NX = "(c.x + o.dx + 192) % 128 - 64"
+
+
+def _ring(raster: str, nx: str = "c.x + o.dx") -> str:
     values = ", ".join(f"({i}, {dx}, {dy})" for i, (dx, dy) in enumerate(mesh.RING))
     return f"""
 cells AS ({raster}),
 off(i, dx, dy) AS (VALUES {values}),
 ring AS (SELECT c.x, c.y, c.z, o.i, n.z AS nz, n.x AS nx, n.y AS ny, row(n.z, n.x - n.y, n.x) > row(c.z, c.x - c.y, c.x) AS up
-         FROM cells c JOIN off o ON (c.x + c.y) % 2 = 0 OR o.i % 2 = 0 JOIN cells n ON n.x = c.x + o.dx AND n.y = c.y + o.dy),
+         FROM cells c JOIN off o ON (c.x + c.y) % 2 = 0 OR o.i % 2 = 0 JOIN cells n ON n.x = {nx} AND n.y = c.y + o.dy),
 turn AS (SELECT *, coalesce(lag(up) OVER (PARTITION BY x, y ORDER BY i), last_value(up) OVER (PARTITION BY x, y ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS before FROM ring),
 summed AS (SELECT x, y, count(*) AS n, sum(CASE WHEN up <> before THEN 1 ELSE 0 END) AS changes, bool_or(up) AS any_up FROM turn GROUP BY x, y),
 cls AS (SELECT c.x, c.y, c.z, CASE WHEN f THEN CAST(changes AS INT) END AS changes,
@@ -452,4 +483,10 @@ _TWINS = {
     "m36_view": ("SELECT * FROM shown", (*_TABLES, twins.VIEW)),
     "j20_behind_saddles": ("SELECT point, saddle, prom_mm FROM prom_table WHERE saddle IN (SELECT saddle FROM mine)", (*_TABLES, twins.VIEW)),
 }
+_SLANTED = _LEADS.replace("CASE WHEN nx = x OR ny = y THEN 1.0::DOUBLE ELSE sqrt(2.0::DOUBLE) END", "CASE WHEN nx = x THEN 1.0::DOUBLE WHEN ny = y THEN cos(radians(y * 0.5)) ELSE sqrt(cos(radians(y * 0.5)) * cos(radians(y * 0.5)) + 1.0) END")
+ORACLES |= {
+    "m1_seam": f"WITH RECURSIVE {_ring(R4, NX)} SELECT c.x, c.y, o.i, {NX} AS nx, c.y + o.dy AS ny FROM cells c JOIN off o ON (c.x + c.y) % 2 = 0 OR o.i % 2 = 0",
+    "m3_leads_geo": f"WITH RECURSIVE {_ring(R4, NX)}{_SLANTED} SELECT x, y, class, trace, up, bx, \"by\" FROM leads JOIN cls USING (x, y)",
+    "f4_lat_lon": f"SELECT x, y, seq, 'POINT (' || regexp_replace(CAST(CAST(x * 0.5 AS DECIMAL(18,6)) AS VARCHAR), '\\.?0+$', '') || ' ' || regexp_replace(CAST(CAST(y * 0.5 + seq * 3e-6 AS DECIMAL(18,6)) AS VARCHAR), '\\.?0+$', '') || ')' AS loc FROM (SELECT *, CAST(-((x % 3 + 3) % 3) AS INT) AS seq FROM ({R4}))",
+}
 ORACLES |= {name: twins.packed(_sql(R2, select, *more)) for name, (select, more) in _TWINS.items()}

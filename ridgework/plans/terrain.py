@@ -6,7 +6,7 @@ import sqlite3
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgework.functions import geocode, ids
@@ -20,14 +20,15 @@ class Terrain:
 
     cells: DataFrame
     cutoff: float
+    grid: mesh.Grid | None = None  # of a geographic raster: neighbours over its seam, true steepness, degrees in the tables
 
     @cached_property
     def classes(self) -> DataFrame:
-        return materialize(mesh.classify(self.cells), "t-classes")
+        return materialize(mesh.classify(self.cells, self.grid), "t-classes")
 
     @cached_property
     def leads(self) -> DataFrame:
-        return materialize(mesh.leads(self.classes), "t-leads")
+        return materialize(mesh.leads(self.classes, self.grid), "t-leads")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -90,6 +91,18 @@ class Terrain:
     def lines(self) -> DataFrame:
         return materialize(paths.detailed(self.between, self.tree, paths.hops(self.edges, self.traces)), "t-lines")
 
+    @cached_property
+    def thresh_lines(self) -> DataFrame:
+        """The lines to the next higher peak, up to where they reach this peak's height."""
+        of = self.tasks.where("kind = 'thresh'").select("up", "p", "target")
+        return materialize(paths.trimmed(self.lines.join(of, ["up", "p", "target"], "left_semi"), mesh.present(self.cells)), "t-thresh-lines")
+
+    def _line(self, points: Column) -> Column:
+        """Points of the grid as text, in degrees on a geographic one."""
+        if self.grid is not None:
+            points = F.transform(points, lambda e: F.when(e["x"].isNotNull(), F.struct((e["x"] * self.grid.spacing).alias("x"), (e["y"] * self.grid.spacing).alias("y"))))
+        return geocode.wkt_line(points)
+
     @cached_property
     def domains(self) -> DataFrame:
         return materialize(paths.domains(self.relations, self.edges, self.ways_up), "t-domains")
@@ -106,15 +119,21 @@ class Terrain:
         xy = ids.unpack("id")
         iso = (F.col("key.iso") * sign).cast("long")
         cm = F.when(iso == 0, 0).when(iso > 0, iso - 2147483647).otherwise(iso + 2147483647 + 1).cast("int")
-        out = k.select(F.col("id").alias("geocode"), (F.col("t") * sign).cast("int").alias("type"), ids.millimetres(F.col("key.z") * sign).alias("elev_mm"), cm.alias("isodist_cm"), F.lit(-1).alias("elev_rank"), geocode.wkt_point(xy["x"], xy["y"]).alias("loc"))
-        return out.dropDuplicates(["geocode", "type"])
+        where = geocode.wkt_point(xy["x"], xy["y"])
+        if self.grid is not None:
+            lat, lon = ids.lat_lon(xy["x"], xy["y"], self.grid.spacing, seq=xy["seq"])
+            where = geocode.wkt_point(lon, lat)
+        out = k.select(F.col("id").alias("geocode"), (F.col("t") * sign).cast("int").alias("type"), ids.millimetres(F.col("key.z") * sign).alias("elev_mm"), cm.alias("isodist_cm"), F.lit(-1).alias("elev_rank"), where.alias("loc"))
+        return out.distinct()  # a saddle of both directions is one row
 
     def prom_table(self) -> DataFrame:
         """prom(point, saddle, prom_mm, prom_rank, min_bound, prom_parent, line_parent, thresh_path, parent_path, domain)."""
         r = self.relations.where("notable").join(self.ranks, ["up", "p"])
-        line = lambda kind: self.lines.join(self.tasks.where(F.col("kind") == kind).select("up", "p", "target"), ["up", "p", "target"], "left_semi").select("up", "p", geocode.wkt_line(F.col("cells")).alias(f"{kind}_path"))
-        domain = self.domains.select("up", "p", F.transform("lines", lambda ln: geocode.wkt_line(F.transform(F.filter(ln, lambda v: v != -1), lambda v: F.struct(F.shiftright(F.shiftleft(v, 12), 40).alias("x"), F.shiftright(F.shiftleft(v, 36), 40).alias("y"))))).alias("domain"))
-        out = r.join(line("thresh"), ["up", "p"], "left").join(line("parent"), ["up", "p"], "left").join(domain, ["up", "p"], "left")
+        parent = self.lines.join(self.tasks.where("kind = 'parent'").select("up", "p", "target"), ["up", "p", "target"], "left_semi").select("up", "p", self._line(F.col("cells")).alias("parent_path"))
+        thresh = self.thresh_lines.select("up", "p", self._line(F.col("points")).alias("thresh_path"))
+        node = lambda v: F.struct(*[ids.unpack(v)[k].alias(k) for k in ("x", "y")])
+        domain = self.domains.select("up", "p", F.transform("lines", lambda ln: self._line(F.transform(F.filter(ln, lambda v: v != -1), node))).alias("domain"))
+        out = r.join(thresh, ["up", "p"], "left").join(parent, ["up", "p"], "left").join(domain, ["up", "p"], "left")
         return out.select(F.col("p").alias("point"), F.col("s").alias("saddle"), ids.millimetres("drop").alias("prom_mm"), F.col("rank").cast("int").alias("prom_rank"), F.col("min_bound").cast("int").alias("min_bound"), F.col("parent").alias("prom_parent"), F.col("pthresh").alias("line_parent"), "thresh_path", "parent_path", F.array_join("domain", "; ").alias("domain"))
 
     def subsaddle_table(self) -> DataFrame:

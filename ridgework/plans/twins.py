@@ -152,11 +152,19 @@ point_table AS (
          -1 AS elev_rank, 'POINT (' || x || ' ' || y || ')' AS loc
   FROM used_points JOIN places USING (up, id)),
 drawn AS (SELECT up, p, target, 'LINESTRING (' || array_to_string(list_transform(CASE WHEN len(k) = 1 THEN k || k ELSE k END, lambda c: replace(c, ':', ' ')), ', ') || ')' AS path FROM (SELECT *, list_filter(cells, lambda c: c <> 'off') AS k FROM lines) WHERE len(k) > 0),
+uphill AS (
+  SELECT l.up, l.p, l.target, g.i, g.c, CAST(split_part(g.c, ':', 1) AS INT) AS x, CAST(split_part(g.c, ':', 2) AS INT) AS y FROM lines l JOIN noted n ON n.up = l.up AND n.p = l.p AND n.thresh = l.target, unnest(l.cells) WITH ORDINALITY AS g(c, i) WHERE NOT list_contains(l.cells, 'off')),
+profile AS MATERIALIZED (SELECT u.*, h.z * CASE WHEN u.up THEN 1 ELSE -1 END AS k, first_value(k) OVER w AS level, lag(k) OVER w AS k0, lag(u.x) OVER w AS x0, lag(u.y) OVER w AS y0 FROM uphill u JOIN heights h ON h.x = u.x AND h.y = u.y WINDOW w AS (PARTITION BY u.up, u.p ORDER BY i)),
+crossed AS (SELECT up, p, max(i) AS i FROM profile WHERE k >= level AND k0 < level GROUP BY up, p),
+cut_points AS (
+  SELECT f.up, f.p, f.i, CASE WHEN f.i = c.i THEN f.x + (f.k - f.level) / (f.k - f.k0) * (f.x0 - f.x) ELSE f.x END AS x, CASE WHEN f.i = c.i THEN f.y + (f.k - f.level) / (f.k - f.k0) * (f.y0 - f.y) ELSE f.y END AS y
+  FROM profile f LEFT JOIN crossed c ON c.up = f.up AND c.p = f.p WHERE f.i <= coalesce(c.i, f.i)),
+cut_lines AS (SELECT up, p, 'LINESTRING (' || string_agg(regexp_replace(CAST(CAST(x AS DECIMAL(18,6)) AS VARCHAR), '\\.?0+$', '') || ' ' || regexp_replace(CAST(CAST(y AS DECIMAL(18,6)) AS VARCHAR), '\\.?0+$', ''), ', ' ORDER BY i) || ')' AS path FROM cut_points GROUP BY up, p),
 xy AS (SELECT nodes, up, p, s, t, list_transform(list_filter(nodes, lambda v: v <> -1), lambda v: (v >> 28 & 16777215) || ' ' || (v >> 4 & 16777215)) AS k FROM bounds),
 domain_table AS (SELECT up, p, string_agg('LINESTRING (' || array_to_string(CASE WHEN len(k) = 1 THEN k || k ELSE k END, ', ') || ')', '; ' ORDER BY s, t) AS domain FROM xy GROUP BY up, p),
 prom_table AS MATERIALIZED (
-  SELECT n.p AS point, n.s AS saddle, CAST(trunc("drop" * 1000.0) AS INT) AS prom_mm, CAST(rank AS INT) AS prom_rank, CAST(n.min_bound AS INT) AS min_bound, n.parent AS prom_parent, n.pthresh AS line_parent, d1.path AS thresh_path, d2.path AS parent_path, m.domain
-  FROM noted n JOIN ranks USING (up, p) LEFT JOIN drawn d1 ON d1.up = n.up AND d1.p = n.p AND d1.target = n.thresh LEFT JOIN drawn d2 ON d2.up = n.up AND d2.p = n.p AND d2.target = n.parent LEFT JOIN domain_table m ON m.up = n.up AND m.p = n.p),
+  SELECT n.p AS point, n.s AS saddle, CAST(trunc("drop" * 1000.0) AS INT) AS prom_mm, CAST(rank AS INT) AS prom_rank, CAST(n.min_bound AS INT) AS min_bound, n.parent AS prom_parent, n.pthresh AS line_parent, coalesce(c1.path, d1.path) AS thresh_path, d2.path AS parent_path, m.domain
+  FROM noted n JOIN ranks USING (up, p) LEFT JOIN cut_lines c1 ON c1.up = n.up AND c1.p = n.p LEFT JOIN drawn d1 ON d1.up = n.up AND d1.p = n.p AND d1.target = n.thresh LEFT JOIN drawn d2 ON d2.up = n.up AND d2.p = n.p AND d2.target = n.parent LEFT JOIN domain_table m ON m.up = n.up AND m.p = n.p),
 subsaddle_table AS MATERIALIZED (SELECT p AS point, s AS saddle, max(CAST(elev AS INT)) AS is_elev, max(CAST(prom AS INT)) AS is_prom FROM subs WHERE elev OR prom GROUP BY ALL),
 busiest AS (SELECT arg_max(point, row(k, -point)) AS point FROM (SELECT point, count(*) AS k FROM subsaddle_table SEMI JOIN prom_table USING (point) GROUP BY point))"""
 

@@ -199,18 +199,24 @@ def pages(extents: DataFrame, res: int, width: int | None = None) -> DataFrame:
     return rows.withColumn("tile_y", F.explode(F.sequence(ids.tile("y0", res), ids.tile("y1", res)))).distinct()
 
 
-def read_raw(dems: DataFrame, root: str) -> DataFrame:
+def read_raw(dems: DataFrame, root: str, glob: str = "*") -> DataFrame:
     """Raster rows (path, row, values) of headerless little-endian float32 files under root.
 
-    A file that is not in the catalog, or of another size than its entry says, is left out.
+    A file that matches glob and is not in the catalog, a file of another size than its entry says, and
+    an entry without a file are errors, so that no part of a raster is missing unnoticed.
     """
-    files = dems.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = dems.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     name = F.element_at(F.split("path", "/" + re.escape(root.rstrip("/").rsplit("/", 1)[-1]) + "/"), -1)
-    held = files.select(name.alias("path"), "content").join(dems.select("path", "width", "height"), "path").where(F.length("content") == F.col("width").cast("long") * F.col("height") * 4)
+    absent = dems.select("path").join(files.select(name.alias("path")), "path", "left_anti").first()
+    if absent is not None:
+        raise FileNotFoundError(f"{absent.path} is in the catalog but not under {root}")
+    held = files.select(name.alias("path"), "content").join(dems.select("path", "width", "height"), "path", "left")
 
     def rows(batches):
         for b in batches:
             for path, content, w, h in zip(*(b.column(c).to_pylist() for c in ("path", "content", "width", "height")), strict=True):
+                if w is None or len(content) != 4 * w * h:
+                    raise ValueError(f"{path}: {len(content)} bytes, not what the catalog says")
                 v = np.frombuffer(content, "<f4").reshape(h, w)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * h), pa.array(np.arange(h), pa.int32()), pa.array(list(v), pa.list_(pa.float32()))], names=["path", "row", "values"])
 

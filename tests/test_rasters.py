@@ -1,6 +1,9 @@
 import json
 import math
 
+import numpy as np
+import pytest
+
 from ridgework.sources import rasters
 
 
@@ -76,3 +79,19 @@ def test_files(spark, tmp_path):
         (tmp_path / n).write_bytes(b"x")
     got = rasters.files_of(spark, f"file://{tmp_path}", {"one": "*.tif"}).collect()
     assert [r.path.rsplit("/")[-1] for r in got] == ["a.tif", "b.tif"]
+
+
+def test_raw_files_are_whole_or_an_error(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    np.arange(6, dtype="<f4").tofile(tmp_path / "d" / "one.f32")
+    entry = lambda name, w: spark.createDataFrame([(name, w, 2)], "path string, width int, height int")
+    root = f"file://{tmp_path}/d"
+    assert [(r.row, r["values"]) for r in rasters.read_raw(entry("one.f32", 3), root).orderBy("row").collect()] == [(0, [0.0, 1.0, 2.0]), (1, [3.0, 4.0, 5.0])]
+    with pytest.raises(Exception, match="not what the catalog says"):
+        rasters.read_raw(entry("one.f32", 4), root).collect()
+    (tmp_path / "d" / "other.f32").write_bytes(b"1234")
+    with pytest.raises(Exception, match="not what the catalog says"):
+        rasters.read_raw(entry("one.f32", 3), root).collect()
+    assert rasters.read_raw(entry("one.f32", 3), root, "one*").count() == 2
+    with pytest.raises(FileNotFoundError):
+        rasters.read_raw(entry("two.f32", 3), root)

@@ -39,6 +39,53 @@ def test_classes_leads_edges(spark, z):
     assert e == edges(z)
 
 
+def test_seam(spark):
+    """A cylinder that is turned by an even number of cells has the same classes and leads, turned; no class is missing at the seam."""
+    r, width = random.Random(3), 16
+    z = {(x - 8, y): r.random() for x in range(width) for y in range(9)}
+    turn = lambda x, k: (x + 8 + k) % width - 8
+    grid, got = mesh.Grid(2.0, width), []
+    for k in (0, 6):
+        cells = raster(spark, {(turn(x, k), y): v for (x, y), v in z.items()})
+        c = mesh.classify(cells, grid)
+        rows = {(turn(r.x, -k), r.y): r["class"] for r in c.collect()}
+        ways = {(turn(r.x, -k), r.y, r.trace, r.up, turn(r.bx, -k), r.by) for r in mesh.leads(c, grid).collect()}
+        assert all((v == "indeterminate") == (y in (0, 8)) for (x, y), v in rows.items())
+        got.append((rows, ways))
+    assert got[0] == got[1]
+    with pytest.raises(ValueError):
+        mesh.Grid(1.0, 7)
+
+
+def test_steps_shrink_with_latitude(spark):
+    """At 60 degrees a step in x is half as long, so a lower neighbour there can be the steeper one."""
+    z = {(x, y): 0.0 for x in range(2, 5) for y in range(59, 62)} | {(3, 60): 10.0, (4, 60): 16.0, (3, 61): 19.0}  # a cell with four neighbours
+    flat, steep = ({r.trace: (r.bx, r.by) for r in mesh.leads(mesh.classify(raster(spark, z)), g).where("x = 3 and y = 60").collect()} for g in (None, mesh.Grid(1.0)))
+    assert flat[0] == (3, 61) and steep[0] == (4, 60)
+
+
+def test_thresh_lines_end_at_the_height_they_began(small):
+    t = small
+    z, whole, cut = rough(16, 9), {(r.up, r.p, r.target): r.cells for r in t.lines.collect()}, 0
+    for r in t.thresh_lines.collect():
+        cells = [(c.x, c.y) for c in whole[r.up, r.p, r.target]]
+        got = [(c.x, c.y) for c in r.points]
+        if (None, None) in cells:
+            assert got == cells
+            continue
+        sign = 1 if r.up else -1
+        k = [z[c] * sign for c in cells]
+        i = max((i for i in range(1, len(k)) if k[i] >= k[0] > k[i - 1]), default=None)
+        if i is None:
+            assert got == cells
+            continue
+        cut += 1
+        f = (k[0] - k[i - 1]) / (k[i] - k[i - 1])
+        end = tuple(a + f * (b - a) for a, b in zip(cells[i - 1], cells[i], strict=True))
+        assert got[:-1] == cells[:i] and got[-1] == pytest.approx(end)
+    assert cut
+
+
 def test_missing_and_null_heights(spark):
     z = cones()
     holes = raster(spark, {k: v for k, v in z.items() if k != (3, 3)}).union(spark.createDataFrame([(3, 3, None)], "x int, y int, z double"))
@@ -112,8 +159,13 @@ def test_cones(spark):
     assert (r.s, r.drop, r.thresh, r.pthresh, r.parent, r.min_bound) == (pid(4, 3), 10.0, pid(1, 3), pid(1, 3), pid(1, 3), False)
 
 
-def test_tree_ways_and_lines(spark):
-    t = Terrain(raster(spark, rough(16, 9)), 0.3)
+@pytest.fixture(scope="module")
+def small(spark):
+    return Terrain(raster(spark, rough(16, 9)), 0.3)
+
+
+def test_tree_ways_and_lines(small):
+    t = small
     tree = {(r.up, r.node): (r.next, r.s) for r in t.tree.collect()}
     g = t.graph.collect()
     assert {k for k in tree} == {(r.up, p) for r in g for p in (r.a, r.b) if p is not None}

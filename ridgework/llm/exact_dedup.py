@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, read, text_or_empty
+from ridgework.functions.store import materialize_counting
+
+from .common import materialize, partitions, read, remove, text_or_empty
+
+#: Bits of the directory at most: a value of 16 MB in each task.
+MOST_BITS = 24
 
 #: A run of white space that is not one single space already; replacing only those is the same as replacing all runs.
 RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -18,56 +24,69 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(text_or_empty(text), RUNS, " ")
 
 
-def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(fp, keep_id, group_size, text_sha256), a row per distinct text.
+def fingerprint(norm: Column) -> Column:
+    """The 64-bit key of a normalised text in the index."""
+    return F.xxhash64(norm)
 
-    Rows are grouped by the fingerprint and the text itself, so equality is decided on bytes: two texts
-    of one fingerprint stay two rows. Copies are combined on the map side, so a text that a third of
-    all rows repeat leaves each map task once.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("norm"))
-    return (
-        rows.groupBy(F.xxhash64("norm").alias("fp"), "norm")
-        .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("fp", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
-    )
 
+def directory(keys: DataFrame, capacity: int, max_depth: int | None = None) -> tuple[DataFrame, int]:
+    """(prefix, depth) of the extendible-hash directory over the top bits of distinct keys (fp), and those bits.
 
-def directory(entries: DataFrame, capacity: int, max_depth: int | None = None) -> DataFrame:
-    """(prefix, depth, bucket): the extendible-hash directory over the top bits of fp.
-
-    Starting from one bucket, every bucket with more than capacity entries is split by one more bit,
-    which doubles the directory, until all fit or max_depth (default: three doublings beyond an even
-    spread) is reached; entries that still share a bucket then, such as equal fingerprints, are chained.
-    The directory has at most 2**max_depth rows, whatever the number of copies.
+    It begins as one bucket. In every round all buckets with more than capacity keys split by one more
+    bit, which doubles the directory where its deepest bucket splits, until all fit or max_depth (default:
+    three doublings beyond an even spread) is reached; keys that still share a bucket then are chained in
+    it. Rounds work on counts per prefix, 2**max_depth rows at most, whatever the number of copies.
     """
-    n = entries.count()
-    deep = max_depth if max_depth is not None else min(24, 3 + max(0, math.ceil(math.log2(max(1, n) / capacity))))
+    cells, path = materialize(keys.select("fp"), "dedup-keys", with_path=True)
+    n = cells.count()
+    deep = max_depth if max_depth is not None else min(MOST_BITS, 3 + max(0, math.ceil(math.log2(max(1, n) / capacity))))
     top = F.shiftrightunsigned("fp", 64 - deep) if deep else F.lit(0).cast("long")
-    cells = entries.groupBy(top.alias("prefix")).agg(F.count("*").alias("n"))
-    levels = cells.select("prefix", "n", F.explode(F.sequence(F.lit(0), F.lit(deep))).alias("depth"))
-    levels = levels.withColumn("bucket", F.expr(f"shiftright(prefix, {deep} - depth)"))
-    sizes = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("size"))
-    fits = levels.join(sizes, ["depth", "bucket"]).where((F.col("size") <= capacity) | (F.col("depth") == deep))
-    return fits.groupBy("prefix").agg(F.min("depth").cast("int").alias("depth")).select("prefix", "depth", F.expr(f"shiftleft(shiftright(prefix, {deep} - depth), {deep} - depth)").alias("bucket"), F.lit(deep).alias("max_depth"))
+    d = materialize(cells.groupBy(top.alias("prefix")).agg(F.count("*").alias("n")).withColumn("depth", F.lit(0)), "dedup-directory")
+    remove(keys.sparkSession, path)
+    for _ in range(deep):
+        d = d.withColumn("bucket", bucket_of(F.col("prefix"), F.col("depth"), deep))
+        full = d.groupBy("depth", "bucket").agg(F.sum("n").alias("held")).where(F.col("held") > capacity).drop("held").withColumn("splits", F.lit(1))
+        d, some = materialize_counting(d.join(full, ["depth", "bucket"], "left").select("prefix", "n", (F.col("depth") + F.coalesce("splits", F.lit(0))).alias("depth"), "splits"), "dedup-directory", F.col("splits").isNotNull())
+        d = d.drop("splits")
+        if not some:
+            break
+    return d.select("prefix", "depth"), deep
+
+
+def bucket_of(prefix: Column, depth: Column, deep: int) -> Column:
+    """The first prefix of the bucket of that depth which holds a prefix of deep bits."""
+    rest = F.lit(deep) - depth
+    return F.call_function("shiftleft", F.call_function("shiftright", prefix, rest), rest)
+
+
+def router(where: DataFrame, deep: int):
+    """An expression from a key to its bucket: the directory as one array of depths, a value of 2**deep small numbers."""
+    every = where.sparkSession.range(1 << deep).select(F.col("id").alias("prefix")).join(where, "prefix", "left").select(F.struct("prefix", F.coalesce("depth", F.lit(deep)).cast("tinyint").alias("depth")).alias("x"))
+    table = materialize(every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["depth"]).alias("depths")), "dedup-router")
+
+    def bucket(fp: Column) -> Column:
+        prefix = F.shiftrightunsigned(fp, 64 - deep) if deep else F.lit(0).cast("long")
+        return bucket_of(prefix, F.get(table.scalar(), prefix.cast("int")).cast("int"), deep)
+
+    return bucket
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 65536, max_depth: int | None = None) -> DataFrame:
-    """The index as a table of shared files: (bucket, depth, fp, chain, keep_id, group_size, text_sha256).
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 65536, max_depth: int | None = None) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """The index as a table of shared files, (bucket, fp, chain, keep_id, group_size, text_sha256), and the way from a key to its bucket.
 
-    Owner tasks each take one range of keys, in directory order, and write their buckets' entries sorted
-    by fp; chain numbers the different texts of one fingerprint, from 0.
+    The directory is grown from the distinct keys first. Texts then go to their bucket, where those of one
+    key are compared by their bytes: each different text is an entry, and entries of one key are chained
+    from 0. Copies are combined on the map side, so a text that a third of all rows repeat leaves each map
+    task once. Owner tasks each take one range of buckets and write their entries in key order.
     """
     spark = docs.sparkSession
-    entries = materialize(distinct_texts(docs, id_col, text_col), "dedup-entries")
-    where = directory(entries, capacity, max_depth)
-    deep = where.first()
-    bits = deep.max_depth if deep else 0
-    top = F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long")
-    chain = F.row_number().over(Window.partitionBy("fp").orderBy("text_sha256")) - 1
-    placed = entries.withColumn("prefix", top).join(where.drop("max_depth"), "prefix").withColumn("chain", chain)
-    owned = placed.repartitionByRange(partitions(spark), "bucket", "fp").sortWithinPartitions("bucket", "fp", "chain")
-    return materialize(owned.select("bucket", "depth", "fp", "chain", "keep_id", "group_size", "text_sha256"), "dedup-index")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("norm")).withColumn("fp", fingerprint(F.col("norm")))
+    bucket = router(*directory(rows.select("fp").distinct(), capacity, max_depth))
+    held = rows.groupBy(bucket(F.col("fp")).alias("bucket"), "fp", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    entries = held.select("bucket", "fp", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
+    chain = F.row_number().over(Window.partitionBy("bucket", "fp").orderBy("text_sha256")) - 1
+    owned = entries.repartitionByRange(partitions(spark), "bucket", "fp").withColumn("chain", chain).sortWithinPartitions("bucket", "fp", "chain")
+    return materialize(owned.select("bucket", "fp", "chain", "keep_id", "group_size", "text_sha256"), "dedup-index"), bucket
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 65536, max_depth: int | None = None) -> DataFrame:
@@ -76,13 +95,13 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     Texts are equal when their bytes are after white-space runs become single spaces; null counts as
     empty, and empty texts form a group like any other. The smallest id of a group stays. A row with a
     null id belongs to its group and stays only if the group has no id at all; rows that repeat both id
-    and text are one document and share its verdict. An empty table gives an empty result. The probe
-    joins by fingerprint and digest, narrow rows only, and a hot group is split by the skew join.
+    and text are one document and share its verdict. Other columns of docs are not read, so their names
+    don't matter, and an empty table gives an empty result. A probe goes to its key's bucket and along the
+    chain there by digest, so rows are narrow, and a hot group is split by the skew join.
     """
-    index = build_index(docs, id_col, text_col, capacity, max_depth)
-    norm = normalised(text_col)
-    probe = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm")).select("_id", F.xxhash64("_norm").alias("fp"), F.sha2("_norm", 256).alias("text_sha256"))
-    out = probe.join(index.select("fp", "text_sha256", "keep_id", "group_size", "chain"), ["fp", "text_sha256"])
+    index, bucket = build_index(docs, id_col, text_col, capacity, max_depth)
+    probe = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_norm")).select("_id", fingerprint(F.col("_norm")).alias("fp"), F.sha2("_norm", 256).alias("text_sha256"))
+    out = probe.withColumn("bucket", bucket(F.col("fp"))).join(index, ["bucket", "fp", "text_sha256"])
     return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "chain")
 
 

@@ -1,5 +1,8 @@
 import hashlib
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from ridgework.llm import exact_dedup
 
@@ -36,19 +39,29 @@ def test_deduplicate_keeps_columns(odd):
 
 def test_directory_splits(spark):
     df = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
-    i = exact_dedup.build_index(df, capacity=50)
-    assert i.count() == 3000 and i.agg({"depth": "max"}).first()[0] > 3
-    sizes = [r["count"] for r in i.groupBy("bucket", "depth").count().collect()]
-    assert max(sizes) <= 50 and len(sizes) >= 60
-    one = exact_dedup.build_index(df, capacity=50, max_depth=2)
+    i, bucket = exact_dedup.build_index(df, capacity=50)
+    rows = i.withColumn("again", bucket(F.col("fp"))).collect()
+    assert len(rows) == 3000 and all(r.bucket == r.again for r in rows)
+    sizes = Counter(r.bucket for r in rows)
+    assert max(sizes.values()) <= 50 and len(sizes) >= 60
+    where, deep = exact_dedup.directory(i.select("fp"), 50)
+    held = Counter((r.fp % 2**64) >> (64 - deep) for r in rows)
+    depth = {r.prefix: r.depth for r in where.collect()}
+    buddies = {(d, p >> (deep - d + 1)) for p, d in depth.items()}
+    for d, parent in buddies:  # a bucket was split because its parent was too full
+        assert sum(n for p, n in held.items() if p >> (deep - d + 1) == parent) > 50
+    assert len({d for d in depth.values()}) > 1
+    one, _ = exact_dedup.build_index(df, capacity=50, max_depth=2)
     assert one.select("bucket").distinct().count() == 4
 
 
 def test_chains_of_one_fingerprint(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
-    real = exact_dedup.distinct_texts
-    monkeypatch.setattr(exact_dedup, "distinct_texts", lambda *a: real(*a).selectExpr("cast(7 as long) as fp", "keep_id", "group_size", "text_sha256"))
-    assert sorted(r.chain for r in exact_dedup.build_index(df).collect()) == [0, 1]
+    """All texts share one key: bytes tell them apart, and each finds its own place in the chain."""
+    monkeypatch.setattr(exact_dedup, "fingerprint", lambda norm: F.when(norm.isNotNull(), F.lit(7).cast("long")))
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c")], "doc_id long, text string")
+    got = exact_dedup.annotate(df, capacity=1).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(1, 1, 2), (3, 1, 2), (2, 2, 1), (4, 4, 1)}
+    assert sorted({(r.text_sha256, r.chain) for r in got})[0][1] == 0 and {r.chain for r in got} == {0, 1, 2}
 
 
 def test_null_ids_by_text(spark):

@@ -26,7 +26,10 @@ def test_raw_files(spark, tmp_path):
     (tmp_path / "a" / "bad").write_bytes(b"12")
     e = [{**rasters.describe(f"a/{n}", (0.0, 1.0, 0, 2.0, 0, -1.0), 3, 2, "epsg:4326"), "sidecars": []} for n in ("one", "bad")]
     _, dems = rasters.index_catalog(spark, e)
-    rows = rasters.read_raw(dems, f"file://{tmp_path}")
+    with pytest.raises(Exception, match="not what the catalog says"):
+        rasters.read_raw(dems, f"file://{tmp_path}").collect()
+    (tmp_path / "a" / "bad").unlink()
+    rows = rasters.read_raw(dems.where("path = 'a/one'"), f"file://{tmp_path}")
     assert {(r.path, r.row): list(r["values"]) for r in rows.collect()} == {("a/one", 0): [1, 2, 3], ("a/one", 1): [4, 5, 6]}
     assert rasters.samples(rows, dems).count() == 6
 

@@ -172,6 +172,16 @@ def m37_in_prefix(spark, sf_dir):
     return viewer.peaks_in(t.point_table(), t.prom_table(), PREFIX, True)
 
 
+def s19_features(spark, sf_dir):
+    """The peaks of an id range as GeoJSON features."""
+    top = m37_in_prefix(spark, sf_dir)
+    return top.select("point", viewer.feature(F.col("loc"), geo="geo", prom_mm="prom_mm", prom_class="prom_class").alias("feature"))
+
+
+def s19_collection(spark, sf_dir):
+    return viewer.collection(s19_features(spark, sf_dir), "point")
+
+
 def _most(up: bool):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = terrain(spark, sf_dir)
@@ -310,6 +320,8 @@ QUERIES = {
     "m37_summits": _most(True),
     "m37_sinks": _most(False),
     "m37_in_prefix": m37_in_prefix,
+    "s19_features": s19_features,
+    "s19_collection": s19_collection,
     "m36_view": m36_view,
     "j20_behind_saddles": j20_behind_saddles,
 }
@@ -458,6 +470,8 @@ _NET = (*_ALL, twins.GRAPH, twins.FACTS, twins.CHAINS.replace("{cutoff}", str(CU
 _TREE = (*_NET, twins.TREE)
 _LINED = (*_TREE, twins.WAYS, twins.TRACES, twins.LINES)
 _TABLES = (*_LINED, twins.DOMAINS, twins.TABLES)
+_IN_PREFIX = twins.MOST.format(type=1, low=ids.hex_limit(PREFIX, False), high=ids.hex_limit(PREFIX, True))
+_FEATURES = f"""SELECT point, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || replace(regexp_extract(loc, '\\((.*)\\)', 1), ' ', ',') || ']}},"properties":{{"geo":"' || geo || '","prom_mm":' || prom_mm || ',"prom_class":' || prom_class || '}}}}' AS feature FROM ({_IN_PREFIX})"""
 _TWINS = {
     "m12_drop_up": ('SELECT p, s, "drop", min_bound, notable FROM rel WHERE up', _NET),
     "m12_drop_down": ('SELECT p, s, "drop", min_bound, notable FROM rel WHERE NOT up', _NET),
@@ -479,7 +493,9 @@ _TWINS = {
     "db_subsaddles": ("SELECT * FROM subsaddle_table", _TABLES),
     "m37_summits": (twins.MOST.format(type=1, low=-(2**63), high=2**63 - 1), _TABLES),
     "m37_sinks": (twins.MOST.format(type=-1, low=-(2**63), high=2**63 - 1), _TABLES),
-    "m37_in_prefix": (twins.MOST.format(type=1, low=ids.hex_limit(PREFIX, False), high=ids.hex_limit(PREFIX, True)), _TABLES),
+    "m37_in_prefix": (_IN_PREFIX, _TABLES),
+    "s19_features": (_FEATURES, _TABLES),
+    "s19_collection": (f"SELECT '{{\"type\":\"FeatureCollection\",\"features\":[' || coalesce(string_agg(feature, ',' ORDER BY point), '') || ']}}' AS document FROM ({_FEATURES})", _TABLES),
     "m36_view": ("SELECT * FROM shown", (*_TABLES, twins.VIEW)),
     "j20_behind_saddles": ("SELECT point, saddle, prom_mm FROM prom_table WHERE saddle IN (SELECT saddle FROM mine)", (*_TABLES, twins.VIEW)),
 }

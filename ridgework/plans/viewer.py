@@ -18,9 +18,23 @@ def register(points: DataFrame, prom: DataFrame, subsaddles: DataFrame) -> None:
     subsaddles.createOrReplaceTempView("subsaddles")
 
 
-def feature(geometry: Column, **properties) -> Column:
-    """One GeoJSON feature as text; geometry is its WKT, kept as a property for the map to draw."""
-    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(geometry.alias("wkt"), *[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in properties.items()]).alias("properties")))
+def geometry(wkt: Column) -> Column:
+    """A point or line as GeoJSON text; null without one."""
+    inside = F.regexp_extract(wkt, r"\((.*)\)", 1)
+    pairs = F.regexp_replace(F.regexp_replace(inside, ", ", "],["), " ", ",")
+    return F.when(wkt.startswith("POINT"), F.concat(F.lit('{"type":"Point","coordinates":['), pairs, F.lit("]}"))).when(wkt.startswith("LINESTRING"), F.concat(F.lit('{"type":"LineString","coordinates":[['), pairs, F.lit("]]}")))
+
+
+def feature(wkt: Column, **properties: Column | str) -> Column:
+    """One GeoJSON feature as text, with its geometry and properties."""
+    props = F.to_json(F.struct(*[(v if isinstance(v, Column) else F.col(v)).alias(k) for k, v in properties.items()]))
+    return F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(geometry(wkt), F.lit("null")), F.lit(',"properties":'), props, F.lit("}"))
+
+
+def collection(features: DataFrame, order: str, feature_col: str = "feature") -> DataFrame:
+    """The features of a view, MOST of them unless its caller asked for more, as one GeoJSON document."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, feature_col))), lambda x: x[feature_col])
+    return features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(listed, ","), F.lit("]}")).alias("document"))
 
 
 def peaks_in(points: DataFrame, prom: DataFrame, prefix: str = "", up: bool = True, most: int = MOST) -> DataFrame:

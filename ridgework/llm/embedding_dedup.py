@@ -281,7 +281,8 @@ def annotate(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id,
     link with nothing and are components of their own. Equal vectors are searched once and counted as
-    often as they occur; vectors of different lengths never link. An empty table gives an empty result.
+    often as they occur; vectors of different lengths never link. A row that repeats an id is a vector of
+    its own; other columns are not read, so their names don't matter. An empty table gives an empty result.
     """
     member, counts, edges = links(vectors, id_col, vec_col, threshold)
     mult = member.where("rep is not null").groupBy("rep").agg(F.count("*").alias("mult"))

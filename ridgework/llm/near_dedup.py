@@ -351,7 +351,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
     always one class, and kept marks the one that stays. Null and empty texts, and texts without words,
     link only with texts equal to them. Rows with a null id take the class of their text and never stay
     when another row has the text; alone they have a null class. Rows that repeat an id and text share
-    their row's class. An empty table gives an empty result. Copies are collapsed before anything is
+    their row's class. Other columns of docs are not read, so their names don't matter, and an empty table
+    gives an empty result. Copies are collapsed before anything is
     compared, hot buckets go by pivot and blocks, and joins on hot keys are left to the skew join.
     """
     small_batches(docs.sparkSession)

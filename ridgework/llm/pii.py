@@ -180,7 +180,8 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     terms: array<struct<s, e, action>> with action generalised or removed, of every occurrence in any
     document; a term that discloses several entities goes by the largest share. Null texts count as empty
-    and have no spans, rows that repeat an id are annotated each, and an empty table gives an empty result.
+    and have no spans, rows that repeat an id are annotated each, other columns are not read, so their names
+    don't matter, and an empty table gives an empty result.
     """
     found = find(docs, id_col, text_col)
     bad = materialize(disclosing(found).groupBy("term").agg(F.max("disclosure").alias("d")), "pii-terms")

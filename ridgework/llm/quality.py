@@ -175,7 +175,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, score), a row per row of docs; fits on labels first.
 
     Texts are read once: their statistics, a few hundred bytes a document, are kept in the shared folder.
-    Repeated ids and ids without labels are scored like any other; an empty table gives an empty result.
+    Repeated ids and ids without labels are scored like any other, equal texts alike; null texts count as
+    empty. Other columns are not read, so their names don't matter; an empty table gives an empty result.
     """
     stats = materialize(describe(docs, id_col, text_col), "quality-stats")
     model = fit(stats, labels, label_col)

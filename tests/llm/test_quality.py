@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -10,6 +12,37 @@ def test_held_out_accuracy(spark):
     assert len(got) > 50 and np.mean([r.predicted == r.quality for r in got]) >= 0.95
 
 
+def test_against_plain_algebra(spark, docs, data):
+    """The same fit by least squares over one matrix, and the isotonic steps by their max-min formula."""
+    x = {r.doc_id: np.array(r.stats) for r in quality.describe(docs).collect()}
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.quality is not None and r.doc_id in x}
+    ids = sorted(x)
+    every = np.array([x[i] for i in ids])
+    rng = np.random.default_rng(quality.SEED)
+    w = rng.normal(0, np.sqrt(2 * quality.GAMMA), (every.shape[1], quality.FEATURES))
+    b = rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    sd = every.std(axis=0)
+    z = np.clip((every - every.mean(axis=0)) / np.where(sd > 1e-9, sd, 1), -8, 8)
+    z = np.c_[np.sqrt(2 / quality.FEATURES) * np.cos(z @ w + b), np.ones(len(z))]
+    fold = np.array([zlib.crc32(str(i).encode()) % 4 for i in ids])
+    y = np.array([label.get(i, np.nan) for i in ids], float)
+    fit = ~np.isnan(y) & (fold != quality.HELD_OUT) & (fold != quality.CALIBRATE)
+    coef = np.linalg.lstsq(np.r_[z[fit], np.sqrt(fit.sum() * quality.RIDGE) * np.eye(z.shape[1])], np.r_[y[fit], np.zeros(z.shape[1])], rcond=None)[0]
+    raw = z @ coef
+    held = ~np.isnan(y) & (fold == quality.CALIBRATE)
+    cell = np.floor(np.clip(raw, -0.5, 1.5) * (quality.BINS / 2))
+    bins = [(raw[held & (cell == c)].mean(), y[held & (cell == c)].sum(), (held & (cell == c)).sum()) for c in sorted(set(cell[held]))]
+    mean = lambda j, k: sum(v[1] for v in bins[j : k + 1]) / sum(v[2] for v in bins[j : k + 1])
+    steps = [max(min(mean(j, k) for k in range(i, len(bins))) for j in range(i + 1)) for i in range(len(bins))]
+    knots = {}
+    for (at, _, n), v in zip(bins, steps, strict=True):
+        knots.setdefault(round(v, 9), []).append((at, n))
+    kx = [np.average([a for a, _ in k], weights=[n for _, n in k]) for k in knots.values()]
+    want = np.clip(0.98 * np.interp(raw, kx, list(knots)) + 0.02 * np.clip(raw, 0, 1), 0, 1)
+    got = {r.doc_id: r.score for r in quality.scored(docs, spark.read.parquet(f"{data}/labels.parquet")).collect()}
+    assert len(label) > 40 and np.allclose([got[i] for i in ids], want, atol=1e-6)
+
+
 def test_no_leak(spark, docs, data):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     held = quality.remainder() == quality.HELD_OUT

@@ -26,12 +26,17 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--index")
     p.add_argument("--series", default="")
     p.add_argument("--bound", default=":global")
+    p.add_argument("--grid", type=int, help="the grid of an index that holds several")
     p.add_argument("--debug", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.index:
         _, dems = rasters.load_catalog(spark, a.index)
         dems = rasters.select_dems(dems, a.bound, a.series)
+        held = [r.grid_id for r in dems.select("grid_id").distinct().orderBy("grid_id").collect()]  # a row per grid
+        if a.grid is None and len(held) > 1:
+            raise SystemExit(f"the files are of grids {held}, whose cells would fall on one another: choose one by --grid")
+        dems = dems if a.grid is None else dems.where(dems.grid_id == a.grid)
         cells = rasters.overlaid(rasters.samples(rasters.read_raw(dems, a.cells), dems))
     else:
         cells = spark.read.parquet(a.cells)

@@ -20,6 +20,14 @@ def test_stages(spark, tmp_path):
     assert spark.read.parquet(f"{out}/full/debug/fullmst").count() > 0
 
 
+def test_grids_do_not_fall_on_one_another(spark, tmp_path, monkeypatch):
+    dems = spark.createDataFrame([("a", 0), ("b", 1)], "path string, grid_id int")
+    monkeypatch.setattr(rasters, "load_catalog", lambda *a: (None, dems))
+    monkeypatch.setattr(rasters, "select_dems", lambda d, *a: d)
+    with pytest.raises(SystemExit, match="choose one"):
+        cli.main(["nowhere", f"file://{tmp_path}", "--index", "i"])
+
+
 def test_raw_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "one").write_bytes(struct.pack("<6f", 1, 2, 3, 4, 5, 6))

@@ -71,7 +71,13 @@ def router(where: DataFrame, deep: int):
     return bucket
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 65536, max_depth: int | None = None) -> tuple[DataFrame, Callable[[Column], Column]]:
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, text_sha256), a narrow row per row of docs, kept in the shared folder."""
+    norm = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
+    return materialize(norm.select("id", fingerprint(F.col("norm")).alias("fp"), F.sha2("norm", 256).alias("text_sha256")), "dedup-keyed")
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 65536, max_depth: int | None = None, keys: DataFrame | None = None) -> tuple[DataFrame, Callable[[Column], Column]]:
     """The index as a table of shared files, (bucket, fp, chain, keep_id, group_size, text_sha256), and the way from a key to its bucket.
 
     The directory is grown from the distinct keys first. Texts then go to their bucket, where those of one
@@ -81,7 +87,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("norm")).withColumn("fp", fingerprint(F.col("norm")))
-    bucket = router(*directory(rows.select("fp").distinct(), capacity, max_depth))
+    keys = keyed(docs, id_col, text_col) if keys is None else keys
+    bucket = router(*directory(keys.select("fp").distinct(), capacity, max_depth))
     held = rows.groupBy(bucket(F.col("fp")).alias("bucket"), "fp", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     entries = held.select("bucket", "fp", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
     chain = F.row_number().over(Window.partitionBy("bucket", "fp").orderBy("text_sha256")) - 1
@@ -99,10 +106,10 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     don't matter, and an empty table gives an empty result. A probe goes to its key's bucket and along the
     chain there by digest, so rows are narrow, and a hot group is split by the skew join.
     """
-    index, bucket = build_index(docs, id_col, text_col, capacity, max_depth)
-    probe = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_norm")).select("_id", fingerprint(F.col("_norm")).alias("fp"), F.sha2("_norm", 256).alias("text_sha256"))
-    out = probe.withColumn("bucket", bucket(F.col("fp"))).join(index, ["bucket", "fp", "text_sha256"])
-    return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "chain")
+    keys = keyed(docs, id_col, text_col)
+    index, bucket = build_index(docs, id_col, text_col, capacity, max_depth, keys)
+    out = keys.withColumn("bucket", bucket(F.col("fp"))).join(index, ["bucket", "fp", "text_sha256"])
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "chain")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from ridgework.functions.store import materialize, materialize_counting
 from ridgework.operators import forest
 
 #: Connections between components, of both directions, that are left to one task each at the end.
-LAST = 2000
+LAST = 20_000
 KEY = "struct<z:double,iso:int,x:int,seq:int>"
 
 

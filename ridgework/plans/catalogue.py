@@ -192,7 +192,7 @@ def _most(up: bool):
 
 def _busiest(t: Terrain) -> int:
     """The peak of the tables with the most secondary saddles."""
-    first = t.subsaddle_table().join(t.prom_table().select("point"), "point", "left_semi").groupBy("point").count().orderBy(F.desc("count"), "point").first()
+    first = t.subsaddle_table().join(t.prom_facts().select("point"), "point", "left_semi").groupBy("point").count().orderBy(F.desc("count"), "point").first()
     return first.point if first else ids.NULL_ID
 
 
@@ -203,9 +203,9 @@ def m36_view(spark, sf_dir):
 
 
 def j20_behind_saddles(spark, sf_dir):
-    """The peaks behind the secondary saddles of a peak, by SQL."""
+    """The peaks behind the secondary saddles of a peak, by SQL; the view prom holds the columns without lines."""
     t = terrain(spark, sf_dir)
-    viewer.register(t.point_table(), t.prom_table(), t.subsaddle_table())
+    viewer.register(t.point_table(), t.prom_facts(), t.subsaddle_table())
     return viewer.around_sql(spark, _busiest(t))
 
 

@@ -126,6 +126,11 @@ class Terrain:
         out = k.select(F.col("id").alias("geocode"), (F.col("t") * sign).cast("int").alias("type"), ids.millimetres(F.col("key.z") * sign).alias("elev_mm"), cm.alias("isodist_cm"), F.lit(-1).alias("elev_rank"), where.alias("loc"))
         return out.distinct()  # a saddle of both directions is one row
 
+    def prom_facts(self) -> DataFrame:
+        """prom's columns that need no tree and no lines: (point, saddle, prom_mm, min_bound, prom_parent, line_parent)."""
+        r = self.relations.where("notable")
+        return r.select(F.col("p").alias("point"), F.col("s").alias("saddle"), ids.millimetres("drop").alias("prom_mm"), F.col("min_bound").cast("int").alias("min_bound"), F.col("parent").alias("prom_parent"), F.col("pthresh").alias("line_parent"))
+
     def prom_table(self) -> DataFrame:
         """prom(point, saddle, prom_mm, prom_rank, min_bound, prom_parent, line_parent, thresh_path, parent_path, domain)."""
         r = self.relations.where("notable").join(self.ranks, ["up", "p"])

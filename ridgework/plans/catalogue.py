@@ -185,7 +185,7 @@ def s19_collection(spark, sf_dir):
 def _most(up: bool):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = terrain(spark, sf_dir)
-        return viewer.peaks_in(t.point_table(), t.prom_table(), "", up)
+        return viewer.peaks_in(t.point_table(), t.prom_facts(), "", up)
 
     return query
 

@@ -13,7 +13,7 @@ def terrain(spark):
     return Terrain(raster(spark, rough(16, 9)), 0.3)
 
 
-@pytest.mark.parametrize("name", ["j20_behind_saddles"])
+@pytest.mark.parametrize("name", ["j20_behind_saddles", "m37_sinks", "m37_summits"])
 def test_no_lines_for_numbers(spark, terrain, monkeypatch, name):
     for made in LINES & set(vars(terrain)):
         delattr(terrain, made)

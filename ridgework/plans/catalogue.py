@@ -169,7 +169,7 @@ def m18_bounds(spark, sf_dir):
 
 def m37_in_prefix(spark, sf_dir):
     t = terrain(spark, sf_dir)
-    return viewer.peaks_in(t.point_table(), t.prom_table(), PREFIX, True)
+    return viewer.peaks_in(t.point_table(), t.prom_facts(), PREFIX, True)
 
 
 def s19_features(spark, sf_dir):

@@ -60,18 +60,25 @@ def rings(cells: DataFrame, grid: Grid | None = None) -> DataFrame:
     """(x, y, z, ring) with ring = array<struct<i, nz, nx, ny, up>> in ring order; up: the neighbour is higher.
 
     Each cell sends its height to the places that count it as a neighbour, so one grouping by place
-    builds every ring; nothing is joined.
+    builds every ring; nothing is joined. Cells are one a place, as overlaid() makes them; of several the
+    highest counts.
     """
     p = present(cells)
     sent = p.select("x", "y", "z", F.explode(F.concat(offsets(), F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("dx"), F.lit(0).alias("dy"))))).alias("o"))
     # the receiver lies at (x - dx, y - dy) and sees the sender at offset i
     tx, ty = _around(F.col("x") - F.col("o.dx"), grid), F.col("y") - F.col("o.dy")
     sent = sent.where((F.col("o.i") % 2 != 1) | (F.pmod(tx + ty, F.lit(2)) == 0))
-    g = sent.groupBy(tx.alias("x"), ty.alias("y")).agg(F.max(F.when(F.col("o.i") == -1, F.col("z"))).alias("z"), F.collect_list(F.when(F.col("o.i") >= 0, F.struct(F.col("o.i").alias("i"), F.col("z").alias("nz"), F.col("x").alias("nx"), F.col("y").alias("ny")))).alias("r"))
+    sent = sent.select(tx.alias("x"), ty.alias("y"), "z", F.col("o.i").alias("i"))
+    # nine numbers a place, which are combined before the shuffle; a list of structs would not be
+    at = [F.max(F.when(F.col("i") == i, F.col("z"))) for i in range(len(RING))]
+    g = sent.groupBy("x", "y").agg(F.max(F.when(F.col("i") == -1, F.col("z"))).alias("z"), *[h.alias(f"z{i}") for i, h in enumerate(at)])
+    g = g.where("z is not null")
     key = lambda z, x, y: F.struct(z.alias("a"), (x - y).alias("b"), x.alias("c"))
     me = key(F.col("z"), F.col("x"), F.col("y"))
-    ring = F.transform(F.array_sort("r"), lambda n: F.struct(n["i"].alias("i"), n["nz"].alias("nz"), n["nx"].alias("nx"), n["ny"].alias("ny"), (key(n["nz"], n["nx"], n["ny"]) > me).alias("up")))
-    return g.where("z is not null").select("x", "y", "z", ring.alias("ring"))
+    places = [(F.col(f"z{i}"), _around(F.col("x") + dx, grid), F.col("y") + dy) for i, (dx, dy) in enumerate(RING)]
+    near = F.array(*[F.struct(F.lit(i).alias("i"), z.alias("nz"), x.alias("nx"), y.alias("ny"), (key(z, x, y) > me).alias("up")) for i, (z, x, y) in enumerate(places)])
+    ring = F.filter(near, lambda n: n["nz"].isNotNull())
+    return g.select("x", "y", "z", ring.alias("ring"))
 
 
 def complete() -> Column:

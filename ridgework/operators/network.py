@@ -56,9 +56,12 @@ def edges(cells: DataFrame, classes: DataFrame | None = None, leads: DataFrame |
     half = mesh.split_saddles(lead).join(end.select(F.col("x").alias("bx"), F.col("y").alias("by"), "up", "ex", "ey"), ["bx", "by", "up"], "left")
     tops = c.where(F.col("class").isin("summit", "pit")).select(F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("z").alias("ez"))
     half = half.join(tops, ["ex", "ey"], "left")
-    g = half.groupBy("x", "y", "seq", "up").agg(F.max("z").alias("z"), F.array_sort(F.collect_list(F.struct(F.col("trace").alias("t"), "ex", "ey", "ez"))).alias("h"))
-    a, b = F.col("h")[0], F.col("h")[1]
-    e = g.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "seq", "up", a["ex"].alias("ax"), a["ey"].alias("ay"), a["ez"].alias("az"), b["ex"].alias("bx"), b["ey"].alias("by"), b["ez"].alias("bz"), a["t"].alias("tag_a"), b["t"].alias("tag_b"))
+    # a saddle has two leads a direction; the first, of the lower tag, is known by its number, so plain numbers are grouped
+    first = F.col("trace") == F.when(F.col("up"), -2 * F.col("seq")).otherwise(1 - 2 * F.col("seq"))
+    end_of = lambda own, c, name: F.max(F.when(own, F.col(c))).alias(name)
+    sides = [end_of(own, c, name) for own, names in ((first, ("ax", "ay", "az", "tag_a")), (~first, ("bx", "by", "bz", "tag_b"))) for c, name in zip(("ex", "ey", "ez", "trace"), names, strict=True)]
+    g = half.groupBy("x", "y", "seq", "up").agg(F.max("z").alias("z"), *sides)
+    e = g.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "seq", "up", "ax", "ay", "az", "bx", "by", "bz", "tag_a", "tag_b")
     return e.where("ax is not null or bx is not null")
 
 

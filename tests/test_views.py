@@ -1,6 +1,7 @@
 import pytest
 from test_terrain import raster, rough
 
+from ridgework.operators import mesh
 from ridgework.plans import catalogue
 from ridgework.plans.terrain import Terrain
 
@@ -20,3 +21,11 @@ def test_no_lines_for_numbers(spark, terrain, monkeypatch, name):
     monkeypatch.setattr(catalogue, "terrain", lambda spark, sf_dir: terrain)
     catalogue.QUERIES[name](spark, "").collect()
     assert not LINES & set(vars(terrain))
+
+
+def test_a_place_given_twice_counts_once(spark):
+    z = rough(5, 3)
+    cells = raster(spark, z)
+    twice = cells.union(cells.where("x = 2 and y = 2").selectExpr("x", "y", "z - 1"))
+    rows = [sorted(map(tuple, mesh.classify(c).select("x", "y", "z", "class").collect())) for c in (cells, twice)]
+    assert rows[0] == rows[1]

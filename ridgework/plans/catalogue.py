@@ -199,7 +199,7 @@ def _busiest(t: Terrain) -> int:
 def m36_view(spark, sf_dir):
     """A peak with everything around it."""
     t = terrain(spark, sf_dir)
-    return viewer.around(t.point_table(), t.prom_table(), t.subsaddle_table(), _busiest(t))
+    return viewer.around(t.point_table(), t.prom, t.subsaddle_table(), _busiest(t))
 
 
 def j20_behind_saddles(spark, sf_dir):

@@ -141,6 +141,11 @@ class Terrain:
         out = r.join(thresh, ["up", "p"], "left").join(parent, ["up", "p"], "left").join(domain, ["up", "p"], "left")
         return out.select(F.col("p").alias("point"), F.col("s").alias("saddle"), ids.millimetres("drop").alias("prom_mm"), F.col("rank").cast("int").alias("prom_rank"), F.col("min_bound").cast("int").alias("min_bound"), F.col("parent").alias("prom_parent"), F.col("pthresh").alias("line_parent"), "thresh_path", "parent_path", F.array_join("domain", "; ").alias("domain"))
 
+    @cached_property
+    def prom(self) -> DataFrame:
+        """prom_table(), kept for queries that read it more than once."""
+        return materialize(self.prom_table(), "t-prom")
+
     def subsaddle_table(self) -> DataFrame:
         """subsaddles(point, saddle, is_elev, is_prom)."""
         x = self.relations.select(F.explode("subs").alias("x")).select("x.*")

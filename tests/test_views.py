@@ -29,3 +29,11 @@ def test_a_place_given_twice_counts_once(spark):
     twice = cells.union(cells.where("x = 2 and y = 2").selectExpr("x", "y", "z - 1"))
     rows = [sorted(map(tuple, mesh.classify(c).select("x", "y", "z", "class").collect())) for c in (cells, twice)]
     assert rows[0] == rows[1]
+
+
+def test_view_makes_prom_once(spark, terrain, monkeypatch):
+    made, make = [], Terrain.prom_table
+    monkeypatch.setattr(Terrain, "prom_table", lambda self: made.append(1) or make(self))
+    monkeypatch.setattr(catalogue, "terrain", lambda spark, sf_dir: terrain)
+    paths = catalogue.m36_view(spark, "").inputFiles()
+    assert len(made) == 1 and any("/t-prom-" in p for p in paths)

@@ -12,8 +12,9 @@ from ridgework.functions.store import materialize, materialize_counting
 
 
 def ranked(ptr: DataFrame) -> DataFrame:
-    """(up, node, root, depth): where each node's way ends, and after how many steps."""
-    state = materialize(ptr.select("up", "node", F.coalesce("next", "node").alias("root"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("depth")), "forest-rank")
+    """(up, node, root, depth): where each node's way ends, and after how many steps; a pointer with w counts as w steps."""
+    one = F.col("w") if "w" in ptr.columns else F.lit(1)
+    state = materialize(ptr.select("up", "node", F.coalesce("next", "node").alias("root"), F.when(F.col("next").isNull(), 0).otherwise(one).cast("long").alias("depth")), "forest-rank")
     while True:  # every round makes ways four times as long, so the rounds end by themselves
         step = state
         for i in range(3):
@@ -65,9 +66,11 @@ def expanded(table: tuple[DataFrame, list[DataFrame]], legs: DataFrame, ids: lis
     return got.select(*ids, "up", (F.col("from") + F.col("at")).alias("pos"), "node")
 
 
-def meets(table: tuple[DataFrame, list[DataFrame]], rank: DataFrame, pairs: DataFrame) -> DataFrame:
+def meets(table: tuple[DataFrame, list[DataFrame]], rank: DataFrame, pairs: DataFrame, before: bool = False) -> DataFrame:
     """(up, a, b, meet, i, j): the first common node of the ways from a and from b, i and j steps on; null if there is none.
 
+    With `before` also (u, v), the nodes before it on the two ways, null if it is a or b itself.
+
     The longer way is shortened to the other's length by jumps; then both jump as long as they differ,
     and the lists beside the last two nodes hold the place where they meet.
     """
@@ -95,7 +98,8 @@ def meets(table: tuple[DataFrame, list[DataFrame]], rank: DataFrame, pairs: Data
     same = F.array_position(F.zip_with("wu", "wv", lambda p, q: p == q), True) - 1
     y = y.withColumn("k", F.when(same >= 0, same))
     steps = lambda d0: F.when(F.col("k").isNotNull(), F.col(d0) - F.col("d") + F.col("k"))
-    return y.select("up", "a", "b", F.get("wu", F.col("k").cast("int")).alias("meet"), steps("da").alias("i"), steps("db").alias("j"))
+    last = [F.when(F.col("k") > 0, F.get(w, F.col("k").cast("int") - 1)).alias(c) for c, w in (("u", "wu"), ("v", "wv"))] if before else []
+    return y.select("up", "a", "b", F.get("wu", F.col("k").cast("int")).alias("meet"), steps("da").alias("i"), steps("db").alias("j"), *last)
 
 
 def rooted(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgework.functions import ids
 from ridgework.functions.store import materialize, remove
-from ridgework.operators import mesh
+from ridgework.operators import blocks, mesh
 
 MOST_ROUNDS = 40
 
@@ -44,15 +45,33 @@ def chase(classified: DataFrame, lead: DataFrame) -> DataFrame:
     return out
 
 
-def edges(cells: DataFrame, classes: DataFrame | None = None, leads: DataFrame | None = None, grid: mesh.Grid | None = None) -> DataFrame:
+def cell_ways(classified: DataFrame, lead: DataFrame) -> blocks.Ways:
+    """M4: the ways of all cells in both directions, as a forest of packed places."""
+    place = lambda x, y: ids.pack(0, x, y)
+    steps = mesh.next_cells(lead).select("up", place("x", "y").alias("node"), place("nx", "ny").alias("next"))
+    every = F.array(F.lit(True), F.lit(False))
+    stays = (F.col("class") == "indeterminate") | F.when(F.col("up"), F.col("class") == "summit").otherwise(F.col("class") == "pit")
+    ends = classified.select("x", "y", "class", F.explode(every).alias("up")).where(stays).select("up", place("x", "y").alias("node"), F.lit(None).cast("long").alias("next"))
+    return blocks.Ways(materialize(steps.union(ends), "cell-ways"))
+
+
+def arrivals(classified: DataFrame, ways: blocks.Ways) -> DataFrame:
+    """chase() by the ways of all cells: (x, y, up, ex, ey)."""
+    off = classified.where("class = 'indeterminate'").select(ids.pack(0, "x", "y").alias("root"), F.lit(True).alias("off"))
+    n, r = ids.unpack("node"), ids.unpack("root")
+    on = F.col("off").isNull()
+    return ways.rank.join(off, "root", "left").select(n["x"].alias("x"), n["y"].alias("y"), "up", F.when(on, r["x"]).alias("ex"), F.when(on, r["y"]).alias("ey"))
+
+
+def edges(cells: DataFrame, classes: DataFrame | None = None, leads: DataFrame | None = None, grid: mesh.Grid | None = None, ways: blocks.Ways | None = None) -> DataFrame:
     """M7, M8: (sx, sy, sz, seq, up, ax, ay, az, bx, by, bz, tag_a, tag_b), an edge per virtual saddle and direction.
 
     The ends are summits (up) or pits; an end off the data is null and an edge with both ends off the
-    data is dropped (P25). Endpoint a has the lower tag.
+    data is dropped (P25). Endpoint a has the lower tag. With the ways of cell_ways() nothing is chased.
     """
     c = materialize(mesh.classify(cells, grid), "mesh-classes") if classes is None else classes
     lead = materialize(mesh.leads(c, grid), "mesh-leads") if leads is None else leads
-    end = chase(c.select("x", "y", "class"), lead)
+    end = chase(c.select("x", "y", "class"), lead) if ways is None else arrivals(c, ways)
     half = mesh.split_saddles(lead).join(end.select(F.col("x").alias("bx"), F.col("y").alias("by"), "up", "ex", "ey"), ["bx", "by", "up"], "left")
     tops = c.where(F.col("class").isin("summit", "pit")).select(F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("z").alias("ez"))
     half = half.join(tops, ["ex", "ey"], "left")

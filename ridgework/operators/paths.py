@@ -2,43 +2,50 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgework.functions import ids
 from ridgework.functions.store import materialize
-from ridgework.operators import forest
-
+from ridgework.operators import blocks, forest
 
-def _nodes(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Nodes of each leg as a list, in order."""
-    return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda e: e["node"]).alias(name))
+#: What follows the last node of a trace that leaves the data.
+OFF = np.array([-1])
 
 
-def ancestors(tree: DataFrame, starts: DataFrame) -> DataFrame:
+def ancestors(tree: DataFrame, starts: DataFrame, ways: blocks.Ways | None = None) -> DataFrame:
     """(up, start, pos, node): the way from each start to its root, pos 0 the start itself."""
-    rank = forest.ranked(tree)
-    legs = starts.select("up", F.col("start")).distinct().join(rank.select("up", F.col("node").alias("start"), (F.col("depth") + 1).alias("n")), ["up", "start"]).withColumn("node", F.col("start"))
-    return forest.expanded(forest.jumps(tree), legs, ["start"])
+    chains = chains_of(tree, starts, ways)
+    return chains.select("up", "start", F.posexplode("chain").alias("pos", "node")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def chains_of(tree: DataFrame, starts: DataFrame, ways: blocks.Ways | None = None) -> DataFrame:
+    """(start, up, chain): ancestors() as lists."""
+    ways = ways or blocks.Ways(tree)
+    legs = starts.select("up", F.col("start")).distinct().join(ways.rank.select("up", F.col("node").alias("start"), (F.col("depth") + 1).alias("n")), ["up", "start"]).withColumn("node", F.col("start"))
+    return ways.lists(legs, ["start"], "chain")
 
 
-def between(tree: DataFrame, tasks: DataFrame) -> DataFrame:
+def between(tree: DataFrame, tasks: DataFrame, ways: blocks.Ways | None = None) -> DataFrame:
     """(up, p, target, left, right): nodes of the way from p, and from target, to the first common one.
 
     tasks: (up, p, target). Both lists end with the node where they meet; without one, or without a
-    target, each goes on to its root. The meeting point is found on doubled pointers, so only nodes
-    of the result are ever written.
+    target, each goes on to its root. Ways are followed block by block, so only nodes of the result are
+    ever written.
     """
-    rank, table = forest.ranked(tree), forest.jumps(tree)
+    ways = ways or blocks.Ways(tree)
     k = tasks.select("up", "p", "target").distinct()
-    met = forest.meets(table, rank, k.where("target is not null").select("up", F.col("p").alias("a"), F.col("target").alias("b")))
+    met = ways.meets(k.where("target is not null").select("up", F.col("p").alias("a"), F.col("target").alias("b")))
     met = materialize(met.select("up", F.col("a").alias("p"), F.col("b").alias("target"), "i", "j"), "way-meets")
-    depth = lambda c: rank.select("up", F.col("node").alias(c), (F.col("depth") + 1).alias(f"n_{c}"))
+    depth = lambda c: ways.rank.select("up", F.col("node").alias(c), (F.col("depth") + 1).alias(f"n_{c}"))
     x = k.join(met, ["up", "p", "target"], "left").join(depth("p"), ["up", "p"]).join(depth("target"), ["up", "target"], "left")
     sides = F.array(F.struct(F.lit("left").alias("side"), F.col("p").alias("node"), F.coalesce(F.col("i") + 1, F.col("n_p")).alias("n")), F.struct(F.lit("right").alias("side"), F.col("target").alias("node"), F.coalesce(F.col("j") + 1, F.col("n_target")).alias("n")))
     legs = x.select("up", "p", "target", F.explode(sides).alias("l")).select("up", "p", "target", "l.*").where("node is not null and n is not null")
-    lists = _nodes(forest.expanded(table, legs, ["p", "target", "side"]), ["up", "p", "target", "side"], "nodes")
+    lists = ways.lists(legs, ["p", "target", "side"], "nodes")
     pick = lambda side: F.max(F.when(F.col("side") == side, F.col("nodes"))).alias(side)
     return lists.groupBy("up", "p", "target").agg(pick("left"), pick("right")).select("up", "p", "target", "left", "right").where("left is not null and (target is null or right is not null)")
 
@@ -70,25 +77,20 @@ def pruned(tree: DataFrame, keys: DataFrame) -> DataFrame:
     return x.select("up", l0["node"].alias("src"), F.element_at("l", -1)["next"].alias("dst"), F.flatten(F.transform("l", lambda e: F.when(e["k"] == l0["k"], F.array(e["s"])).otherwise(F.array(e["node"], e["s"])))).alias("interim"))
 
 
-def traces(split: DataFrame, nxt: DataFrame) -> DataFrame:
+def traces(split: DataFrame, ways: blocks.Ways, classified: DataFrame) -> DataFrame:
     """(x, y, seq, up, trace, cells): the cells from a saddle to where its lead ends.
 
     cells begins with the saddle; a last element without x says that the way leaves the data. Ways are
-    found on pointers doubled over the cells; a cell of a result is written once.
+    those of network.cell_ways(), followed block by block; a cell of a result is written once.
     """
-    place = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     gone = F.struct(F.lit(None).cast("int").alias("x"), F.lit(None).cast("int").alias("y"))
-    steps = nxt["next"].select("up", place("x", "y").alias("node"), place("nx", "ny").alias("next"))
-    off = nxt["ends"].where("class = 'indeterminate'").select(place("x", "y").alias("root"), F.lit(True).alias("off"))
-    ends = nxt["ends"].select(F.explode(F.array(F.lit(True), F.lit(False))).alias("up"), place("x", "y").alias("node")).join(steps.select("up", "node"), ["up", "node"], "left_anti")
-    ptr = materialize(steps.union(ends.select("up", "node", F.lit(None).cast(steps.schema["next"].dataType))), "trace-ptr")
-    rank = forest.ranked(ptr)
-    ids = ["x", "y", "seq", "trace"]
-    first = split.select(*ids, "up", place("bx", "by").alias("node")).join(rank, ["up", "node"]).join(off, "root", "left")
-    first = materialize(first.select(*ids, "up", "node", (F.col("depth") + 1).alias("n"), "off"), "trace-first")
-    way = _nodes(forest.expanded(forest.jumps(ptr), first, ids), [*ids, "up"], "way")
-    out = first.select(*ids, "up", "off").join(way, [*ids, "up"])
-    whole = F.concat(F.array(F.struct("x", "y")), "way", F.when(F.col("off"), F.array(gone)).otherwise(F.array().cast("array<struct<x:int,y:int>>")))
+    off = classified.where("class = 'indeterminate'").select(ids.pack(0, "x", "y").alias("root"), F.lit(True).alias("off"))
+    by = ["x", "y", "seq", "trace"]
+    first = split.select(*by, "up", ids.pack(0, "bx", "by").alias("node")).join(ways.rank, ["up", "node"]).join(off, "root", "left")
+    first = materialize(first.select(*by, "up", "node", (F.col("depth") + 1).alias("n"), "off"), "trace-first")
+    out = first.select(*by, "up", "off").join(ways.lists(first, by, "way"), [*by, "up"])
+    at = F.transform("way", lambda v: F.struct(ids.unpack(v)["x"].alias("x"), ids.unpack(v)["y"].alias("y")))
+    whole = F.concat(F.array(F.struct("x", "y")), at, F.when(F.col("off"), F.array(gone)).otherwise(F.array().cast("array<struct<x:int,y:int>>")))
     return out.select("x", "y", "seq", "up", "trace", whole.alias("cells"))
 
 
@@ -161,42 +163,79 @@ def settled(seeds: list[list]) -> list[list]:
     that are still running and come together there close off in pairs, in order of their steps so far
     and then of the seeds; an odd one runs on. One that closes with no other leaves the data.
     """
-    visits: dict[int, list] = {}
-    for t, way in enumerate(seeds):
-        for step, node in enumerate(way[1:-1], 1):
-            visits.setdefault(node, []).append((step, t))
-    meetings = [(max(len(seeds[t]) - step for step, t in v), node) for node, v in visits.items() if len(v) > 1]
-    stop = [len(way) for way in seeds]
-    for _, node in sorted(meetings, reverse=True):
-        running = sorted(v for v in visits[node] if stop[v[1]] == len(seeds[v[1]]))
-        for step, t in running[: len(running) // 2 * 2]:
-            stop[t] = step + 1
-    return [way[:n] for way, n in zip(seeds, stop, strict=True)]
-
-
-def domains(rel: DataFrame, edges: DataFrame, other_anc: DataFrame) -> DataFrame:
+    ways = [np.array(way[1:-1], np.int64) for way in seeds]
+    return [way[:n] for way, n in zip(seeds, _stops(ways), strict=True)]
+
+
+def _stops(ways: list[np.ndarray]) -> list[int]:
+    """settled() for the nodes of each trace: how much of it is left, its saddle and its end included.
+
+    Sorted from their roots on, traces that share a node stand side by side, so those that come together are
+    found from the common beginnings of neighbours, the longest first.
+    """
+    stop = [len(w) + 2 for w in ways]
+    if len(ways) < 2:
+        return stop
+    down = [w[::-1] for w in ways]
+    order = sorted(range(len(ways)), key=lambda t: down[t].astype(">u8").tobytes())
+    common = []
+    for i in range(1, len(order)):
+        p, q = down[order[i - 1]], down[order[i]]
+        n = min(len(p), len(q))
+        differ = np.flatnonzero(p[:n] != q[:n])
+        common.append((int(differ[0]) if len(differ) else n, i))
+    group, running = list(range(len(order))), [[t] for t in order]
+
+    def home(i):
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    for shared, at in groupby(sorted((c for c in common if c[0]), reverse=True), key=lambda c: c[0]):
+        met = set()
+        for _, i in at:
+            p, q = home(i - 1), home(i)
+            group[q] = p
+            running[p] += running[q]
+            met.add(p)
+        for i in {home(i) for i in met}:
+            here = sorted((len(ways[t]) - shared + 1, t) for t in running[i])
+            for step, t in here[: len(here) // 2 * 2]:
+                stop[t] = step + 1
+            running[i] = [t for _, t in here[len(here) // 2 * 2 :]]
+    return stop
+
+
+def domains(rel: DataFrame, edges: DataFrame, chains: DataFrame) -> DataFrame:
     """(up, p, lines): the boundary of each notable peak's domain, as lists of node ids.
 
     From p's key saddle and the saddles where p's neighbourhood ends by drop, both leads in the opposite
     direction follow the opposite tree until they meet each other or leave the data (a last -1). Order of
-    seeds: by saddle and trace, so the result doesn't depend on arrival.
+    seeds: by saddle and trace, so the result doesn't depend on arrival. chains: (up, start, chain) of that tree.
     """
     own = rel.where("notable").select("up", "p", "s")
     subs = rel.select("up", F.explode("subs").alias("x")).where("x.prom").select("up", F.col("x.p").alias("p"), F.col("x.s").alias("s"))
     seeds = own.unionByName(subs.join(own.select("up", "p"), ["up", "p"], "left_semi")).distinct()
     pid = lambda x, y: F.when(F.col(x).isNotNull(), ids.pack(0, x, y))
     anch = edges.select((~F.col("up")).alias("up"), ids.pack(0, "sx", "sy", "seq").alias("s"), F.explode(F.array(F.struct(F.col("tag_a").alias("t"), pid("ax", "ay").alias("q")), F.struct(F.col("tag_b").alias("t"), pid("bx", "by").alias("q")))).alias("h")).select("up", "s", "h.*").where("q is not null")
-    chains = other_anc.groupBy("up", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda e: e["node"]).alias("chain")).select((~F.col("up")).alias("up"), F.col("start").alias("q"), "chain")
-    x = seeds.join(anch, ["up", "s"]).join(chains, ["up", "q"])
+    x = seeds.join(anch, ["up", "s"]).join(chains.select((~F.col("up")).alias("up"), F.col("start").alias("q"), "chain"), ["up", "q"])
 
     tasks = x.groupBy("up", "p").agg(F.array_sort(F.collect_list(F.struct("s", "t", "chain"))).alias("seeds"))
 
     def run(batches):
         for b in batches:
-            out = []
-            for seeds in b.column("seeds").to_pylist():
-                lines = settled([[v["s"], *v["chain"], None] for v in seeds])
-                out.append([[-1 if v is None else v for v in ln] for ln in lines])
-            yield pa.RecordBatch.from_arrays([b.column("up"), b.column("p"), pa.array(out, pa.list_(pa.list_(pa.int64())))], names=["up", "p", "lines"])
+            of = b.column("seeds")
+            saddle, chain = of.values.field("s").to_numpy(), of.values.field("chain")
+            first, at, nodes = of.offsets.to_numpy(), chain.offsets.to_numpy(), chain.values.to_numpy()
+            lines, size = [], []
+            for i in range(len(of)):
+                ways = [nodes[at[k] : at[k + 1]] for k in range(first[i], first[i + 1])]
+                for k, way, n in zip(range(first[i], first[i + 1]), ways, _stops(ways), strict=True):
+                    lines += [saddle[k : k + 1], way[: n - 1], OFF[: n - 1 - len(way)]]
+                    size.append(min(n, len(way) + 2))
+            values = np.concatenate(lines) if lines else np.empty(0, np.int64)
+            inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pa.array(values, pa.int64()))
+            out = pa.ListArray.from_arrays(pa.array(first - first[0], pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([b.column("up"), b.column("p"), out], names=["up", "p", "lines"])
 
     return tasks.mapInArrow(run, "up boolean, p long, lines array<array<long>>")

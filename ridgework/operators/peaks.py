@@ -12,13 +12,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgework.functions import ids
 from ridgework.functions.store import materialize, materialize_counting
-from ridgework.operators import forest
+from ridgework.operators import blocks, forest
 
 #: Connections between components, of both directions, that are left to one task each at the end.
 LAST = 20_000
@@ -74,6 +76,42 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.assign(up=bool(pdf["up"].iloc[0]), min_bound=[r[4] for r in rows])[["up", "p", "s", "q_own", "q_far", "min_bound"]]
 
 
+def _contracted(t: pa.Table) -> pa.Table:
+    """What a block merges by itself: (up, c, root, top, s, own, far), by the rounds of facts(), until nothing more merges.
+
+    Rows are ends (c, p, own) of connections that lead to o, far (null: off the data); the peak of o is
+    known if o lies in the block too. A component whose highest connection leads elsewhere waits.
+    """
+    col = lambda c: t[c].fill_null(0).to_numpy()
+    comp, first, c = np.unique(col("c"), return_index=True, return_inverse=True)
+    found = np.searchsorted(comp, col("o")).clip(max=len(comp) - 1)
+    o = np.where(t["o"].is_valid().to_numpy() & (comp[found] == col("o")), found, -1)
+    places = lambda name: [t[name].combine_chunks().field(f).to_numpy() for f in ("seq", "x", "iso", "z")]
+    row = np.lexsort([col("s"), *places("ks")])  # from the lowest connection up
+    peak = np.empty(len(comp), np.int64)
+    peak[np.lexsort([p[first] for p in places("p")])] = np.arange(len(comp))
+    home, via, c, o = np.arange(len(comp)), np.full(len(comp), -1), c[row], o[row]
+    while True:
+        mine, theirs = home[c], np.where(o >= 0, home[o], -1)
+        best = np.full(len(comp), -1)
+        live = np.flatnonzero(mine != theirs)
+        best[mine[live]] = live  # the last one is the highest
+        low = np.flatnonzero(best >= 0)
+        to = theirs[best[low]]
+        go = (to >= 0) & (peak[to] > peak[low])
+        low, to = low[go], to[go]
+        if not len(low):
+            break
+        via[low] = row[best[low]]
+        home[low] = to
+        while (home[home] != home).any():
+            home = home[home]
+    gone = np.flatnonzero(via >= 0)
+    at = lambda name: t[name].take(pa.array(via[gone]))
+    top = t["p"].take(pa.array(first[home[gone]]))
+    return pa.table({"up": pa.array(np.full(len(gone), t["up"][0].as_py())), "c": pa.array(comp[gone]), "root": pa.array(comp[home[gone]]), "top": top, "s": at("s"), "own": at("own"), "far": at("far")})
+
+
 def facts(g: DataFrame, last: int = LAST) -> DataFrame:
     """(up, p, s, q_own, q_far, min_bound), the key saddle s of every peak p.
 
@@ -85,12 +123,26 @@ def facts(g: DataFrame, last: int = LAST) -> DataFrame:
     conn = g.select("up", "a", "b", "s", "ks", F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("ka").alias("pa"), F.col("kb").alias("pb"))
     conn = _best(conn)
     half = lambda c, p, own, o, po, far: F.struct(F.col(c).alias("c"), F.col(p).alias("p"), F.col(own).alias("own"), F.col(o).alias("o"), F.col(po).alias("po"), F.col(far).alias("far"))
+    halves = lambda conn: conn.select("up", "s", "ks", F.explode(F.array(half("ca", "pa", "a", "cb", "pb", "b"), half("cb", "pb", "b", "ca", "pa", "a"))).alias("h")).select("up", "s", "ks", "h.*").where("c is not null")
+
+    def moved(conn, to):
+        """Connections between what components (up, c) have become."""
+        for side, key in (("ca", "pa"), ("cb", "pb")):
+            conn = conn.join(to.select("up", F.col("c").alias(side), F.col("root").alias("_t"), F.col("top").alias("_k")), ["up", side], "left").withColumns({side: F.coalesce("_t", side), key: F.coalesce("_k", key)}).drop("_t", "_k")
+        return _best(conn.select("up", "a", "b", "s", "ks", "ca", "cb", "pa", "pb").where("ca is null or cb is null or ca <> cb"))
+
+    # what lies inside blocks is merged there first; the rounds get what is left between them
+    conn = materialize(conn, "contract")
+    ends = halves(conn).drop("po").withColumn("block", blocks.block("c"))
+    here = materialize(ends.groupBy("up", "block").applyInArrow(_contracted, f"up boolean, c long, root long, top {KEY}, s long, own long, far long"), "contract-blocks")
+    found.append(here.select("up", F.col("c").alias("p"), "s", F.col("own").alias("q_own"), F.col("far").alias("q_far"), F.lit(False).alias("min_bound")))
+    conn = moved(conn, here)
     while True:
         conn, left = materialize_counting(conn, "contract", F.col("s").isNotNull())
         if left <= last and found:
             found.append(conn.groupBy("up").applyInPandas(_merged, "up boolean, p long, s long, q_own long, q_far long, min_bound boolean"))
             return reduce(DataFrame.union, found)
-        ends = conn.select("up", "s", "ks", F.explode(F.array(half("ca", "pa", "a", "cb", "pb", "b"), half("cb", "pb", "b", "ca", "pa", "a"))).alias("h")).select("up", "s", "ks", "h.*").where("c is not null")
+        ends = halves(conn)
         first = ends.groupBy("up", "c").agg(F.max_by(F.struct("s", "p", "own", "o", "po", "far"), F.struct("ks", "s")).alias("f")).select("up", "c", "f.*")
         first, some = materialize_counting(first.withColumn("merges", F.coalesce(F.col("po") > F.col("p"), F.lit(False))), "contract-first", F.col("merges"))
         merge = first.where("merges")
@@ -104,9 +156,7 @@ def facts(g: DataFrame, last: int = LAST) -> DataFrame:
         to = forest.ranked(steps.union(ends_at.select("up", "node", F.lit(None).cast("long"))))
         tops = merge.groupBy("up", F.col("o").alias("root")).agg(F.first("po").alias("top"))
         to = materialize(to.where("depth > 0").join(tops, ["up", "root"]).select("up", F.col("node").alias("c"), "root", "top"), "contract-arrows")
-        for side, key in (("ca", "pa"), ("cb", "pb")):
-            conn = conn.join(to.select("up", F.col("c").alias(side), F.col("root").alias("_t"), F.col("top").alias("_k")), ["up", side], "left").withColumns({side: F.coalesce("_t", side), key: F.coalesce("_k", key)}).drop("_t", "_k")
-        conn = _best(conn.select("up", "a", "b", "s", "ks", "ca", "cb", "pa", "pb").where("ca is null or cb is null or ca <> cb"))
+        conn = moved(conn, to)
 
 
 def _best(conn: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ridgework.functions import geocode, ids
 from ridgework.functions.store import materialize
-from ridgework.operators import mesh, network, paths, peaks
+from ridgework.operators import blocks, mesh, network, paths, peaks
 
 
 @dataclass
@@ -30,9 +30,14 @@ class Terrain:
     def leads(self) -> DataFrame:
         return materialize(mesh.leads(self.classes, self.grid), "t-leads")
 
+    @cached_property
+    def cell_ways(self) -> blocks.Ways:
+        """The ways of all cells, followed once for edges and traces."""
+        return network.cell_ways(self.classes, self.leads)
+
     @cached_property
     def edges(self) -> DataFrame:
-        return materialize(network.edges(self.cells, self.classes, self.leads), "t-edges")
+        return materialize(network.edges(self.cells, self.classes, self.leads, ways=self.cell_ways), "t-edges")
 
     @cached_property
     def graph(self) -> DataFrame:
@@ -58,6 +63,11 @@ class Terrain:
     def tree(self) -> DataFrame:
         return materialize(peaks.tree(self.graph, self.facts), "t-tree")
 
+    @cached_property
+    def ways(self) -> blocks.Ways:
+        """The ways of the tree, followed once for all that asks."""
+        return blocks.Ways(self.tree)
+
     @cached_property
     def tasks(self) -> DataFrame:
         """(up, p, kind, target) of notable peaks."""
@@ -70,11 +80,11 @@ class Terrain:
         pid = lambda x, y: F.when(F.col(x).isNotNull(), ids.pack(0, x, y))
         used = self.relations.where("notable").select((~F.col("up")).alias("up"), "s").union(self.relations.select((~F.col("up")).alias("up"), F.explode("subs").alias("x")).where("x.prom").select("up", "x.s")).distinct()
         anch = self.edges.select("up", ids.pack(0, "sx", "sy", "seq").alias("s"), F.explode(F.array(pid("ax", "ay"), pid("bx", "by"))).alias("start")).where("start is not null").join(used, ["up", "s"], "left_semi").select("up", "start")
-        return materialize(paths.ancestors(self.tree, anch), "t-ways")
+        return materialize(paths.chains_of(self.tree, anch, self.ways), "t-ways")
 
     @cached_property
     def between(self) -> DataFrame:
-        return materialize(paths.between(self.tree, self.tasks), "t-between")
+        return materialize(paths.between(self.tree, self.tasks, self.ways), "t-between")
 
     @cached_property
     def pruned(self) -> DataFrame:
@@ -85,7 +95,7 @@ class Terrain:
     def traces(self) -> DataFrame:
         used = self.tree.where("s is not null").select(*[c.alias(n) for n, c in ids.unpack("s").items() if n != "grid"], "up").distinct()
         split = mesh.split_saddles(self.leads).join(used, ["x", "y", "seq", "up"], "left_semi")
-        return materialize(paths.traces(split, {"next": mesh.next_cells(self.leads), "ends": self.classes}), "t-traces")
+        return materialize(paths.traces(split, self.cell_ways, self.classes), "t-traces")
 
     @cached_property
     def lines(self) -> DataFrame:

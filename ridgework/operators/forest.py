@@ -102,18 +102,25 @@ def meets(table: tuple[DataFrame, list[DataFrame]], rank: DataFrame, pairs: Data
     return y.select("up", "a", "b", F.get("wu", F.col("k").cast("int")).alias("meet"), steps("da").alias("i"), steps("db").alias("j"), *last)
 
 
-def rooted(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(up, node, next, s): the trees of edges (up, s, m, n), s the edge's own id, as arrows towards their roots (up, node).
+#: The top bit of an id.
+TOP = -(1 << 63)
+
+
+def rooted(edges: DataFrame, roots: DataFrame, rank=ranked) -> DataFrame:
+    """(up, node, next, s): the trees of edges (up, s, m, n), s the edge's own id from 0 up, as arrows towards their roots (up, node).
 
     Each edge is two arcs; the tour of all arcs of a tree is a list, whose ranks say which of the two comes
-    first: that one leaves the parent. Every tree has one root; no arrow begins at a root.
+    first: that one leaves the parent. Every tree has one root; no arrow begins at a root. An arc is the
+    edge's id, with the top bit set for the one from the greater end.
     """
     arcs = edges.select("up", "s", "m", "n").union(edges.select("up", "s", F.col("n"), F.col("m")))
     arcs = materialize(arcs.join(roots.select("up", F.col("node").alias("m"), F.lit(True).alias("root")), ["up", "m"], "left"), "tour-arcs")
+    arc = lambda start, end: F.when(F.col(start) > F.col(end), F.col("s").bitwiseXOR(F.lit(TOP))).otherwise(F.col("s"))
     w = Window.partitionBy("up", "m").orderBy("s")
-    after = F.coalesce(F.lead("s").over(w), F.when(F.col("root").isNull(), F.first("s").over(w)))  # a tour ends in its root
-    arc = lambda s, m: F.struct(s.alias("s"), m.alias("m"))
-    nxt = arcs.withColumn("f", after)
-    ptr = nxt.select("up", arc(F.col("s"), F.col("n")).alias("node"), F.when(F.col("f").isNotNull(), arc(F.col("f"), F.col("m"))).alias("next"))
-    left = ranked(ptr).select("up", F.col("node.s").alias("s"), F.col("node.m").alias("m"), "depth")  # arcs until the end
-    return left.groupBy("up", "s").agg(F.min_by("m", "depth").alias("node"), F.max_by("m", "depth").alias("next")).select("up", "node", "next", "s")
+    after = F.coalesce(F.lead("own").over(w), F.when(F.col("root").isNull(), F.first("own").over(w)))  # a tour ends in its root
+    ptr = arcs.withColumn("own", arc("m", "n")).withColumn("next", after).select("up", arc("n", "m").alias("node"), "next")
+    left = rank(ptr).select("up", F.col("node").bitwiseAND(F.lit(~TOP)).alias("s"), (F.col("node") < 0).alias("top"), "depth")  # arcs until the end
+    ends = left.groupBy("up", "s").agg(F.max(F.when(~F.col("top"), F.col("depth"))).alias("low"), F.max(F.when(F.col("top"), F.col("depth"))).alias("high"))
+    first = F.col("low") < F.col("high")
+    x = edges.select("up", "s", F.least("m", "n").alias("l"), F.greatest("m", "n").alias("h")).join(ends, ["up", "s"])
+    return x.select("up", F.when(first, F.col("l")).otherwise(F.col("h")).alias("node"), F.when(first, F.col("h")).otherwise(F.col("l")).alias("next"), "s")

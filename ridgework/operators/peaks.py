@@ -193,14 +193,14 @@ def tops(g: DataFrame, f: DataFrame, pts: DataFrame) -> DataFrame:
     return t.select("up", "p", none.cast("long").alias("s"), none.cast("long").alias("q_own"), none.cast("long").alias("q_far"), none.cast("boolean").alias("min_bound"), "kp", none.cast(KEY).alias("ks"))
 
 
-def relations(g: DataFrame, cutoff: float, f: DataFrame | None = None) -> DataFrame:
+def relations(g: DataFrame, cutoff: float, f: DataFrame | None = None, pts: DataFrame | None = None) -> DataFrame:
     """(up, p, s, drop, thresh, pthresh, parent, min_bound, notable, subs) of every peak with a key saddle.
 
     thresh: the first higher peak beyond the key saddle; pthresh: the first notable one from thresh on;
     parent: the first peak of a greater drop. Each follows the next-higher pointers from the saddle.
     subs: the saddles where this peak's neighbourhood ends for lower notable peaks.
     """
-    pts = materialize(points(g), "points")
+    pts = materialize(points(g), "points") if pts is None else pts
     f = materialize(facts(g), "facts") if f is None else f
     keyed = materialize(with_keys(f, pts), "facts-keyed")
     cols = ["up", "p", "s", "q_own", "q_far", "min_bound", "kp", "ks"]
@@ -278,6 +278,6 @@ def tree(g: DataFrame, f: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     free = peaks.join(f.select("up", F.col("p").alias("node")), ["up", "node"], "left_anti").select("up", "node", none.alias("next"), none.alias("s"))
     roots = materialize(exits.union(free), "tree-roots")
-    arrows = materialize(forest.rooted(merges, roots.select("up", "node")), "tree-arrows")
-    depth = forest.ranked(arrows.select("up", "node", "next").union(roots.select("up", "node", none)))
+    arrows = materialize(forest.rooted(merges, roots.select("up", "node"), lambda ptr: blocks.Ways(ptr).rank), "tree-arrows")
+    depth = blocks.Ways(arrows.select("up", "node", "next").union(roots.select("up", "node", none))).rank
     return arrows.union(roots).join(depth.select("up", "node", F.col("depth").cast("int").alias("depth")), ["up", "node"])

@@ -53,7 +53,7 @@ class Terrain:
 
     @cached_property
     def relations(self) -> DataFrame:
-        return materialize(peaks.relations(self.graph, self.cutoff, self.facts), "t-relations")
+        return materialize(peaks.relations(self.graph, self.cutoff, self.facts, self.points), "t-relations")
 
     @cached_property
     def ranks(self) -> DataFrame:
